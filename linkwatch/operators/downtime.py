@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from linkwatch import schema as S
 from linkwatch.functions.timefns import bucket, epoch_seconds, ts_literal
 from linkwatch.operators.filters import host_filter, since_hours, validate_params
+from linkwatch.session import ensure_checkpoint_dir
 
 CHUNK = "chunk"
 _INT = "int"
@@ -106,8 +107,16 @@ def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False) -> Data
         F.sum(F.col("local_start").cast(_INT)).over(running).alias("s_ord"),
         F.sum(F.col("local_end").cast(_INT)).over(running).alias("e_ord"),
     )
-    # One exchange of the (small) edge set, shared by both consumers below.
-    return stage3.repartition(S.HOST, CHUNK)
+    # The edge set feeds both the per-chunk summary and the numbering; it is
+    # written once to the shared checkpoint folder so the scan, shuffle and
+    # sort above run once (and lineage is cut for executor loss).
+    return materialize(stage3)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (eager)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _chunk_summary(edges: DataFrame) -> DataFrame:
@@ -146,33 +155,46 @@ def _chunk_summary(edges: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_edges(rows: DataFrame, chunk_unit: str) -> tuple[DataFrame, DataFrame]:
-    """(starts, ends) with their per-host ordinal ``rn``."""
+def _numbered_edges(rows: DataFrame, chunk_unit: str) -> DataFrame:
+    """Starts and ends in one DataFrame: ``target_host, rn, start_time,
+    end_time`` where exactly one of the two times is set."""
     edges = _edge_rows(rows, chunk_unit)
     j = edges.join(_chunk_summary(edges), on=[S.HOST, CHUNK], how="inner")
-    first_s = F.col("is_first") & F.col("first_start")
-    first_e = F.col("is_first") & F.col("first_end")
-    starts = j.where(first_s | F.col("local_start")).select(
+    is_start = F.col("local_start") | (F.col("is_first") & F.col("first_start"))
+    is_end = F.col("local_end") | (F.col("is_first") & F.col("first_end"))
+    s_rn = F.col("s_off") + F.col("first_start").cast("long") + F.col("s_ord")
+    e_rn = F.col("e_off") + F.col("first_end").cast("long") + F.col("e_ord")
+    return j.where(is_start | is_end).select(
         S.HOST,
-        F.col(S.TS).alias("start_time"),
-        (F.col("s_off") + F.col("first_start").cast("long") + F.col("s_ord")).cast("long").alias("rn"),
+        F.when(is_start, s_rn).otherwise(e_rn).cast("long").alias("rn"),
+        F.when(is_start, F.col(S.TS)).alias("start_time"),
+        F.when(is_end, F.col(S.TS)).alias("end_time"),
     )
-    ends = j.where(first_e | F.col("local_end")).select(
-        S.HOST,
-        F.col(S.TS).alias("end_time"),
-        (F.col("e_off") + F.col("first_end").cast("long") + F.col("e_ord")).cast("long").alias("rn"),
+
+
+def _paired(rows: DataFrame, chunk_unit: str) -> DataFrame:
+    """n-th start with n-th end per host: ``target_host, start_time, end_time``.
+
+    An aggregation on the unique key ``(host, rn)`` (at most one start and
+    one end per key) instead of a join of two filtered copies.
+    """
+    numbered = _numbered_edges(rows, chunk_unit)
+    pairs = numbered.groupBy(S.HOST, "rn").agg(
+        F.max("start_time").alias("start_time"), F.max("end_time").alias("end_time")
     )
-    return starts, ends
+    return pairs.where(F.col("start_time").isNotNull()).select(S.HOST, "start_time", "end_time")
 
 
 def outage_starts(pm: DataFrame, as_of=None, hours=None, host=None, chunk_unit: str = "hour") -> DataFrame:
     """Rows where an outage starts, numbered per host: ``target_host, start_time, rn``."""
-    return _numbered_edges(_window_rows(pm, as_of, hours, host), chunk_unit)[0]
+    n = _numbered_edges(_window_rows(pm, as_of, hours, host), chunk_unit)
+    return n.where(F.col("start_time").isNotNull()).select(S.HOST, "start_time", "rn")
 
 
 def outage_ends(pm: DataFrame, as_of=None, hours=None, host=None, chunk_unit: str = "hour") -> DataFrame:
     """Rows where an outage ends, numbered per host: ``target_host, end_time, rn``."""
-    return _numbered_edges(_window_rows(pm, as_of, hours, host), chunk_unit)[1]
+    n = _numbered_edges(_window_rows(pm, as_of, hours, host), chunk_unit)
+    return n.where(F.col("end_time").isNotNull()).select(S.HOST, "end_time", "rn")
 
 
 def downtime_periods(
@@ -191,9 +213,9 @@ def downtime_periods(
     its duration measured up to ``as_of``.
     """
     validate_params(min_duration_seconds=min_duration_seconds)
-    starts, ends = _numbered_edges(_window_rows(pm, as_of, hours, host), chunk_unit)
-    how = "left" if include_open else "inner"
-    j = starts.join(ends, on=[S.HOST, "rn"], how=how)
+    j = _paired(_window_rows(pm, as_of, hours, host), chunk_unit)
+    if not include_open:
+        j = j.where(F.col("end_time").isNotNull())
     dur = epoch_seconds("start_time", "end_time")
     if include_open:
         if as_of is None:
@@ -204,9 +226,12 @@ def downtime_periods(
 
 
 def downtime_pair_join(pm: DataFrame, as_of=None, hours=24, host=None, min_duration_seconds=30, chunk_unit="hour"):
-    """The literal start/end pairing: LEFT JOIN on the ordinal, then
-    ``end_time IS NOT NULL`` (Catalyst turns it into an inner join)."""
-    starts, ends = _numbered_edges(_window_rows(pm, as_of, hours, host), chunk_unit)
+    """The literal pairing form: starts LEFT JOIN ends on ``(host, rn)``, then
+    ``end_time IS NOT NULL`` (an inner join after Catalyst). Both sides are
+    read from the same materialised edge set."""
+    n = _numbered_edges(_window_rows(pm, as_of, hours, host), chunk_unit)
+    starts = n.where(F.col("start_time").isNotNull()).select(S.HOST, "rn", "start_time")
+    ends = n.where(F.col("end_time").isNotNull()).select(S.HOST, "rn", "end_time")
     j = starts.join(ends, on=[S.HOST, "rn"], how="left").where(F.col("end_time").isNotNull())
     dur = epoch_seconds("start_time", "end_time")
     return j.select(S.HOST, "start_time", "end_time", dur.alias("duration_seconds")).where(
