@@ -212,7 +212,8 @@ def downtime_periods(
     still running at the end of the data is kept with ``end_time`` NULL and
     its duration measured up to ``as_of``.
     """
-    validate_params(min_duration_seconds=min_duration_seconds)
+    if min_duration_seconds < 0:
+        raise ValueError("min_duration_seconds must be >= 0")
     j = _paired(_window_rows(pm, as_of, hours, host), chunk_unit)
     if not include_open:
         j = j.where(F.col("end_time").isNotNull())

@@ -78,3 +78,18 @@ def current_response(pm: DataFrame, as_of: datetime, preset: str = "1hr", host:
         "current_response_time",
         F.format_string("%.1fms", F.col("current_response_time")).alias("current_response_label"),
     )
+
+
+def latest_map(pm: DataFrame, shards: int = 1) -> DataFrame:
+    """Host -> latest row as a map (the API's response shape).
+
+    The latest rows (one per host) are grouped into ``shards`` maps by a hash
+    of the host, so one map holds about ``#hosts / shards`` entries; raise
+    ``shards`` with the number of hosts. Columns: ``shard, latest``.
+    """
+    rows = latest_per_host(pm)
+    cols = [c for c in rows.columns]
+    shard = F.pmod(F.xxhash64(S.HOST), F.lit(int(shards))).alias("shard")
+    return rows.groupBy(shard).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(S.HOST), F.struct(*cols)))).alias("latest")
+    )

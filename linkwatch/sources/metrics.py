@@ -82,3 +82,47 @@ def seed_rows(spark: SparkSession, as_of: datetime = S.FIXTURE_AS_OF) -> DataFra
         (i + 1, as_of, host, rt, False, None, as_of) for i, (host, rt) in enumerate(S.SEED_ROWS)
     ]
     return spark.createDataFrame(rows, S.METRICS_SCHEMA)
+
+
+def apply_retention(spark: SparkSession, path: str, as_of: datetime, days: int = 30) -> int:
+    """Delete rows older than ``as_of - days`` from the stored table; returns
+    the number of deleted rows.
+
+    Dates wholly before the cutoff are dropped as whole ``metric_date``
+    folders; the one date that straddles the cutoff is rewritten: its kept
+    rows go to a staging folder next to the table (never the folder being
+    read), then replace the old folder.
+    """
+    from datetime import timedelta
+
+    cutoff = as_of - timedelta(days=days)
+    table = scan_metrics(spark, path)
+    old = table.where(F.col(S.METRIC_DATE) <= F.lit(cutoff.date())).where(F.col(S.TS) < ts_literal(cutoff))
+    stats = old.groupBy(S.METRIC_DATE).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per date
+    if not stats:
+        return 0
+    deleted = int(sum(r["n"] for r in stats))
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    boundary = cutoff.date()
+    for r in stats:
+        d = r[S.METRIC_DATE]
+        if d < boundary:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{S.METRIC_DATE}={d.isoformat()}"), True)
+    if any(r[S.METRIC_DATE] == boundary for r in stats):
+        part = f"{path.rstrip('/')}/{S.METRIC_DATE}={boundary.isoformat()}"
+        staging = f"{path.rstrip('/')}_staging_{boundary.isoformat()}"
+        keep = (
+            spark.read.schema(METRICS_SCHEMA_NO_DATE).parquet(part)
+            .where(F.col(S.TS) >= ts_literal(cutoff))
+            .sortWithinPartitions(S.HOST, S.TS, S.ID)
+        )
+        keep.write.mode("overwrite").parquet(staging)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(part), True)
+        fs.rename(jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(part))
+    return deleted
+
+
+METRICS_SCHEMA_NO_DATE = S.METRICS_SCHEMA
