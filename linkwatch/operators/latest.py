@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from linkwatch import schema as S
 from linkwatch.operators.filters import chart_series, host_filter, since_hours, validate_params
 
-_ORDER_KEY = F.struct(F.col(S.TS), F.col(S.ID))
+
+def _order_key():
+    return F.struct(F.col(S.TS), F.col(S.ID))
 
 
 def latest_per_host(pm: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def latest_per_host(pm: DataFrame) -> DataFrame:
     task crosses the shuffle however the rows are skewed.
     """
     cols = [c for c in S.METRIC_COLUMNS if c in pm.columns]
-    latest = pm.groupBy(S.HOST).agg(F.max_by(F.struct(*cols), _ORDER_KEY).alias("_row"))
+    latest = pm.groupBy(S.HOST).agg(F.max_by(F.struct(*cols), _order_key()).alias("_row"))
     return latest.select(*[F.col(f"_row.{c}").alias(c) for c in cols])
 
 

@@ -28,14 +28,16 @@ def _run_dir(spark: SparkSession, tag: str) -> str:
     return scratch_path(spark, f"stream-{tag}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_files(df: DataFrame, path: str, n_files: int = STREAM_FILES, time_col: str = S.TS) -> str:
+def stage_files(
+    df: DataFrame, path: str, n_files: int = STREAM_FILES, time_col: str = S.TS, first_part: int = 0
+) -> str:
     """Write ``df`` as ``n_files`` Parquet files covering consecutive time
     ranges, one write after another, so the file source (which orders new
     files by modification time) replays them in event-time order."""
     b = df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
     lo, hi = b["lo"], b["hi"]
     if lo is None:
-        df.write.mode("overwrite").parquet(f"{path}/part=0")
+        df.write.mode("overwrite").parquet(f"{path}/part={first_part}")
         return path
     step = (hi - lo) / n_files
     for i in range(n_files):
@@ -43,7 +45,7 @@ def stage_files(df: DataFrame, path: str, n_files: int = STREAM_FILES, time_col:
         cond = F.col(time_col) >= F.lit(a).cast("timestamp_ntz") if i else F.lit(True)
         if i < n_files - 1:
             cond = cond & (F.col(time_col) < F.lit(lo + step * (i + 1)).cast("timestamp_ntz"))
-        df.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{path}/part={i}")
+        df.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{path}/part={first_part + i}")
     return path
 
 
