@@ -3,7 +3,7 @@
 Runs on ``local[$BENCH_CPUS]`` against ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) and prints ONE JSON line:
 ``{"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}``.
-Each query is run once to warm up, then ``$BENCH_RUNS`` times; the median
+Each query is run ``$BENCH_WARMUP`` (2) times to warm up, then ``$BENCH_RUNS`` (5) times; the median
 wall-clock time of a full evaluation (result written to a no-op sink) is
 reported.
 """
@@ -34,7 +34,8 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    warmup = int(os.environ.get("BENCH_WARMUP", "2"))
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
 
@@ -44,7 +45,7 @@ def main() -> None:
     spark = build_session(
         master=f"local[{cpus}]",
         app_name="linkwatch-bench",
-        shuffle_partitions=max(2 * cpus, 8),
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
         extra={
             "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
             "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
@@ -62,7 +63,8 @@ def main() -> None:
             df.write.format("noop").mode("overwrite").save()
             return time.perf_counter() - t0
 
-        once()  # warm-up (JIT, file listing, broadcast of small tables)
+        for _ in range(warmup):  # JIT, codegen caches
+            once()
         times[name] = round(statistics.median(once() for _ in range(runs)), 4)
         rows[name] = fn(spark, sf_dir).count()
     total = round(sum(times.values()), 4)

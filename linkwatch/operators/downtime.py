@@ -28,6 +28,7 @@ by the summary and the pairing branch.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from linkwatch import schema as S
 from linkwatch.functions.timefns import bucket, epoch_seconds, ts_literal
 from linkwatch.operators.filters import host_filter, since_hours, validate_params
-from linkwatch.session import ensure_checkpoint_dir
+from linkwatch.session import scratch_path
 
 CHUNK = "chunk"
 _INT = "int"
@@ -113,10 +114,18 @@ def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False) -> Data
     return materialize(stage3)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (eager)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, tag: str = "edges") -> DataFrame:
+    """Write ``df`` once as a Parquet table under the shared
+    ``spark.checkpoint.dir`` and read it back.
+
+    One pass (an eager ``checkpoint()`` computes its input twice: once to
+    count, once to write), a lineage cut that survives executor loss, and
+    exact size statistics for AQE's join choices downstream.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _chunk_summary(edges: DataFrame) -> DataFrame:

@@ -25,6 +25,12 @@ from linkwatch.operators.filters import (
 )
 
 
+def host_list(spark, hosts: Iterable[str]) -> DataFrame:
+    """A one-column ``target_host`` DataFrame built JVM-side from a driver list."""
+    hs = list(dict.fromkeys(hosts))
+    return spark.range(1).select(F.explode(F.array(*[F.lit(h) for h in hs])).alias(S.HOST))
+
+
 def _loss_rate(losses: Column, total: Column) -> Column:
     return F.try_divide(losses.cast("double"), total.cast("double"))
 
@@ -150,9 +156,8 @@ def host_summary(
     rows = hosts_filter(rows, req)
     summ = summarize(rows, [S.HOST])
     if req:
-        spark = pm.sparkSession
-        wanted = spark.createDataFrame([(h,) for h in dict.fromkeys(req)], f"{S.HOST} string")
         # The requested list is a driver-side list: its size is known here.
+        wanted = host_list(pm.sparkSession, req)
         summ = F.broadcast(wanted).join(summ, on=S.HOST, how="left")
     return summ.select(
         F.col(S.HOST).alias("host"),

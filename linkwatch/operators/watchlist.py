@@ -14,7 +14,9 @@ from linkwatch.functions.timefns import iso_text
 
 def watchlist(spark: SparkSession, hosts: Iterable[str] = S.DEFAULT_HOSTS) -> DataFrame:
     """A one-column ``target_host`` DataFrame from a driver-side list."""
-    return spark.createDataFrame([(h,) for h in dict.fromkeys(hosts)], f"{S.HOST} string")
+    from linkwatch.operators.stats import host_list
+
+    return host_list(spark, hosts)
 
 
 def watchlist_add(wl: DataFrame, hosts: DataFrame | Iterable[str]) -> DataFrame:

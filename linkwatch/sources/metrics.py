@@ -37,9 +37,26 @@ def pm_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+# Schema of the driver's ``events`` table (read without inference).
+EVENTS_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType(), True),
+        T.StructField("ts", T.TimestampNTZType(), True),
+        T.StructField("user_id", T.LongType(), True),
+        T.StructField("event_type", T.StringType(), True),
+        T.StructField("value", T.DoubleType(), True),
+        T.StructField("props", T.StringType(), True),
+    ]
+)
+
+
+def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+
+
 def load_pm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table derived from ``{sf_dir}/events.parquet``."""
-    return pm_from_events(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
+    return pm_from_events(load_events(spark, sf_dir))
 
 
 def scan_metrics(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:

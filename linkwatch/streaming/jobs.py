@@ -208,8 +208,9 @@ def start_feeds(routed: DataFrame, dns_path: str, all_path: str, checkpoint_base
 def stream_host_filter(src: DataFrame, subscriptions: DataFrame | Iterable[str]) -> DataFrame:
     """Rows of subscribed hosts only (stream-static left-semi join)."""
     if not isinstance(subscriptions, DataFrame):
-        spark = src.sparkSession
-        subscriptions = spark.createDataFrame([(h,) for h in dict.fromkeys(subscriptions)], f"{S.HOST} string")
+        from linkwatch.operators.stats import host_list
+
+        subscriptions = host_list(src.sparkSession, subscriptions)
     return src.join(subscriptions.select(S.HOST), on=S.HOST, how="left_semi")
 
 
