@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_UNITS = ("minute", "hour", "day", "week", "month")
+_UNITS = ("second", "minute", "hour", "day", "week", "month")
 
 
 def bucket(ts: Column | str, unit: str = "hour") -> Column:

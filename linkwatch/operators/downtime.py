@@ -214,6 +214,7 @@ def downtime_periods(
     min_duration_seconds: float = 30,
     include_open: bool = False,
     chunk_unit: str = "hour",
+    sort: bool = False,
 ) -> DataFrame:
     """Outages of every host (or one): ``target_host, start_time, end_time, duration_seconds``.
 
@@ -232,7 +233,10 @@ def downtime_periods(
             raise ValueError("include_open needs as_of to measure open outages")
         dur = F.coalesce(dur, epoch_seconds(F.col("start_time"), ts_literal(as_of)))
     out = j.select(S.HOST, "start_time", "end_time", dur.alias("duration_seconds"))
-    return out.where(F.col("duration_seconds") >= F.lit(float(min_duration_seconds)))
+    out = out.where(F.col("duration_seconds") >= F.lit(float(min_duration_seconds)))
+    if sort:  # API order: newest start first
+        out = out.orderBy(F.desc("start_time"), F.asc(S.HOST))
+    return out
 
 
 def downtime_pair_join(pm: DataFrame, as_of=None, hours=24, host=None, min_duration_seconds=30, chunk_unit="hour"):
@@ -396,11 +400,13 @@ def affected_pings(pm: DataFrame, dt: DataFrame) -> DataFrame:
     expanded into its hour buckets first (bounded by its duration).
     """
     o = dt.select(
-        S.HOST,
-        "start_time",
-        "end_time",
+        "*",
         F.explode(
-            F.sequence(bucket("start_time", "hour"), bucket("end_time", "hour"), F.expr("INTERVAL 1 HOUR"))
+            F.sequence(
+                bucket("start_time", "hour"),
+                F.coalesce(bucket("end_time", "hour"), bucket("start_time", "hour")),
+                F.expr("INTERVAL 1 HOUR"),
+            )
         ).alias("_hb"),
     )
     losses = pm.where(F.col(S.LOSS) == F.lit(True)).select(
@@ -412,14 +418,12 @@ def affected_pings(pm: DataFrame, dt: DataFrame) -> DataFrame:
         F.col("_lts") >= F.col("start_time"),
         F.col("_lts") < F.col("end_time"),
     ]
-    matched = (
+    keys = [c for c in dt.columns]
+    return (
         o.join(losses, cond, "left")
-        .groupBy(S.HOST, "start_time", "end_time")
+        .groupBy(*keys)
         .agg(F.count("_lts").alias("affected_pings"))
     )
-    return dt.join(matched, on=[S.HOST, "start_time", "end_time"], how="left").select(
-        *dt.columns, F.coalesce("affected_pings", F.lit(0)).cast("long").alias("affected_pings")
-    )
 
 
 def downtime_alerts(dt: DataFrame, min_hours: float) -> DataFrame:
