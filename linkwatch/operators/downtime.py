@@ -80,9 +80,19 @@ def loss_transitions(
 
 
 def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False) -> DataFrame:
+    """The materialised edge set (see ``edge_frame``)."""
+    # The edge set feeds both the per-chunk summary and the numbering; it is
+    # written once to the shared checkpoint folder so the scan, shuffle and
+    # sort run once (and lineage is cut for executor loss).
+    return materialize(edge_frame(rows, chunk_unit, keep_all))
+
+
+def edge_frame(rows: DataFrame, chunk_unit: str = "hour", keep_all: bool = False) -> DataFrame:
     """Window per (host, chunk): local edge flags and running ordinals.
 
-    Keeps starts, ends and the first and last row of every chunk.
+    Keeps starts, ends and the first and last row of every chunk (all rows
+    with ``keep_all``). Shuffled by ``(host, chunk)``: one host's history is
+    spread over as many tasks as it has chunks.
     """
     base = rows.select(S.HOST, S.TS, S.ID, S.LOSS, bucket(S.TS, chunk_unit).alias(CHUNK))
     w = Window.partitionBy(S.HOST, CHUNK).orderBy(S.TS, S.ID)
@@ -108,10 +118,7 @@ def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False) -> Data
         F.sum(F.col("local_start").cast(_INT)).over(running).alias("s_ord"),
         F.sum(F.col("local_end").cast(_INT)).over(running).alias("e_ord"),
     )
-    # The edge set feeds both the per-chunk summary and the numbering; it is
-    # written once to the shared checkpoint folder so the scan, shuffle and
-    # sort above run once (and lineage is cut for executor loss).
-    return materialize(stage3)
+    return stage3
 
 
 def materialize(df: DataFrame, tag: str = "edges") -> DataFrame:

@@ -63,3 +63,21 @@ def test_summary_is_two_stage(spark):
 def test_latest_partial_aggregation(spark):
     p = plan(L.latest_per_host(load_pm(spark, SF_SMALL)))
     assert "partial_max_by" in p
+
+
+def test_hot_host_is_spread_over_tasks(spark):
+    # one host, two days at one probe per 10 s: the outage window stage must
+    # not put the host into a single task
+    from pyspark.sql import functions as F
+
+    rows = flags_to_rows("FFTFTTFFFT" * 1728, host="hot", start=AS_OF - timedelta(days=2))
+    ef = D.edge_frame(make_pm(spark, rows), "hour")
+    p = ef._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(target_host" in p and "chunk#" in p.split("hashpartitioning(target_host")[1].split(")")[0]
+    # (AQE would merge the tiny test shuffle into one task; switch that off)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = ef.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parts > 1
