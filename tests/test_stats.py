@@ -138,3 +138,9 @@ def test_summary_by_range_matches_single_windows(spark):
             continue
         assert by[preset]["total_pings"] == one["total_pings"]
         assert by[preset]["median_response_time"] == one["median_response_time"]
+
+
+def test_host_input_and_url_component(spark):
+    df = spark.createDataFrame([("  my host/a b  ",)], "h string")
+    r = df.select(PR.host_input("h").alias("t"), PR.url_component(PR.host_input("h")).alias("u")).first()
+    assert r["t"] == "my host/a b" and r["u"] == "my%20host%2Fa%20b"
