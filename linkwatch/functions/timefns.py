@@ -42,8 +42,12 @@ def window_start(as_of: datetime, hours: float | None = None, minutes: float | N
 
 
 def ts_literal(value: datetime) -> Column:
-    """A TIMESTAMP_NTZ literal (the fact table stores NTZ in batch)."""
-    return F.lit(value).cast("timestamp_ntz")
+    """A TIMESTAMP_NTZ literal (the fact table stores NTZ in batch).
+
+    Built from ISO text so neither the Python process's nor the session's
+    time zone can shift the wall-clock value.
+    """
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def iso_text(ts: Column | str) -> Column:

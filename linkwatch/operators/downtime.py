@@ -112,11 +112,18 @@ def edge_frame(rows: DataFrame, chunk_unit: str = "hour", keep_all: bool = False
         stage2 = stage2.where(
             F.col("local_start") | F.col("local_end") | F.col("is_first") | F.col("is_last")
         )
+    # Running ordinals and whole-chunk totals in one more window pass over
+    # the same partitioning and order (no extra exchange or sort); dropping
+    # non-edge rows first changes neither (they count 0, the last row stays).
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     stage3 = stage2.select(
         "*",
         F.sum(F.col("local_start").cast(_INT)).over(running).alias("s_ord"),
         F.sum(F.col("local_end").cast(_INT)).over(running).alias("e_ord"),
+        F.sum(F.col("local_start").cast(_INT)).over(whole).cast("long").alias("n_local_start"),
+        F.sum(F.col("local_end").cast(_INT)).over(whole).cast("long").alias("n_local_end"),
+        F.last(S.LOSS).over(whole).alias("last_loss"),
     )
     return stage3
 
@@ -138,11 +145,14 @@ def materialize(df: DataFrame, tag: str = "edges") -> DataFrame:
 def _chunk_summary(edges: DataFrame) -> DataFrame:
     """One row per (host, chunk): how its first row pairs with the previous
     chunk, and how many starts/ends all earlier chunks of the host hold."""
-    per_chunk = edges.groupBy(S.HOST, CHUNK).agg(
-        F.max_by(S.LOSS, "is_first").alias("first_loss"),
-        F.max_by(S.LOSS, "is_last").alias("last_loss"),
-        F.count_if("local_start").alias("n_local_start"),
-        F.count_if("local_end").alias("n_local_end"),
+    # Every chunk's first row carries the chunk totals (see ``edge_frame``).
+    per_chunk = edges.where(F.col("is_first")).select(
+        S.HOST,
+        CHUNK,
+        F.col(S.LOSS).alias("first_loss"),
+        "last_loss",
+        "n_local_start",
+        "n_local_end",
     )
     ws = Window.partitionBy(S.HOST).orderBy(CHUNK)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)

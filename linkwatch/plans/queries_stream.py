@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from linkwatch import schema as S
 from linkwatch.plans.catalog import register, with_pm
 from linkwatch.plans.queries_core import PM_COLS, _DNS_IN, _LATEST_SQL, _r6, downtime_sql
+from linkwatch.functions.timefns import ts_literal
 from linkwatch.session import scratch_path
 from linkwatch.sources.ingest import raw_probes_from_metrics
 from linkwatch.sources.metrics import load_pm
@@ -42,9 +43,9 @@ def stage_files(
     step = (hi - lo) / n_files
     for i in range(n_files):
         a = lo + step * i
-        cond = F.col(time_col) >= F.lit(a).cast("timestamp_ntz") if i else F.lit(True)
+        cond = F.col(time_col) >= ts_literal(a) if i else F.lit(True)
         if i < n_files - 1:
-            cond = cond & (F.col(time_col) < F.lit(lo + step * (i + 1)).cast("timestamp_ntz"))
+            cond = cond & (F.col(time_col) < ts_literal(lo + step * (i + 1)))
         df.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{path}/part={first_part + i}")
     return path
 

@@ -77,3 +77,33 @@ def local_test_session(cores: int = 4, shuffle_partitions: int = 8) -> SparkSess
         shuffle_partitions=shuffle_partitions,
         extra={"spark.driver.memory": os.environ.get("LINKWATCH_DRIVER_MEMORY", "4g")},
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``linkwatch`` importable on executors (for the Pandas UDF paths).
+
+    Zips the package sources once per application and hands the archive to
+    ``SparkContext.addPyFile``, which distributes it to every executor.
+    """
+    import zipfile
+
+    import linkwatch
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(linkwatch.__file__)))
+    fd, path = tempfile.mkstemp(prefix="linkwatch-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "linkwatch")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

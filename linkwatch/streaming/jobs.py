@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkwatch import schema as S
+from linkwatch.session import ship_package
 from linkwatch.sources.ingest import normalize_probe
 from linkwatch.sources.metrics import with_metric_date
 
@@ -309,6 +310,7 @@ def stream_downtime(src: DataFrame, min_duration_seconds: float = 30) -> DataFra
     """Outages detected continuously: an outage is emitted on the row that
     ends it (append mode). Keyed state per host holds the last flag and the
     unmatched starts, so memory is per host, not per row."""
+    ship_package(src.sparkSession)
     rows = src.select(S.HOST, S.TS, S.ID, S.LOSS)
     return rows.groupBy(S.HOST).applyInPandasWithState(
         _outage_state_fn(min_duration_seconds),
