@@ -54,18 +54,20 @@ def main() -> None:
     qs = queries()
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
+    def once(fn) -> float:
+        t0 = time.perf_counter()
+        df = fn(spark, sf_dir)
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    # Warm up every query first (JIT, codegen caches) so the timed order
+    # does not favour later queries.
+    for _ in range(warmup):
+        for name in HEADLINE:
+            once(qs[name])
     for name in HEADLINE:
         fn = qs[name]
-
-        def once() -> float:
-            t0 = time.perf_counter()
-            df = fn(spark, sf_dir)
-            df.write.format("noop").mode("overwrite").save()
-            return time.perf_counter() - t0
-
-        for _ in range(warmup):  # JIT, codegen caches
-            once()
-        times[name] = round(statistics.median(once() for _ in range(runs)), 4)
+        times[name] = round(statistics.median(once(fn) for _ in range(runs)), 4)
         rows[name] = fn(spark, sf_dir).count()
     total = round(sum(times.values()), 4)
     print(

@@ -68,3 +68,18 @@ def test_stream_latest_and_host_filter(spark, tmp_path):
     assert got == want
     J.run_available_now(J.stream_host_filter(src, ["h1"]), f"{base}/sub", f"{base}/ck2")
     assert spark.read.parquet(f"{base}/sub").count() == sum(1 for r in rows if r[2] == "h1")
+
+
+def test_stream_late_rows_are_skipped(spark, tmp_path):
+    # newer half first, then a file with older rows: the older rows are late
+    # for every host and must not create or close outages
+    rows = _rows(seed=4, n=240)
+    old, new = rows[:120], rows[120:]
+    base = str(tmp_path)
+    stage_files(make_pm(spark, new), f"{base}/in", n_files=1)
+    src = J.read_metric_stream(spark, f"{base}/in")
+    J.run_available_now(J.stream_downtime(src, 30), f"{base}/out", f"{base}/ckpt")
+    stage_files(make_pm(spark, old), f"{base}/in", n_files=1, first_part=1)
+    src = J.read_metric_stream(spark, f"{base}/in")
+    J.run_available_now(J.stream_downtime(src, 30), f"{base}/out", f"{base}/ckpt")
+    assert _stream_out(spark, f"{base}/out") == _batch(spark, new)
