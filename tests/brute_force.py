@@ -1,4 +1,4 @@
-"""Brute-force Python versions of the reference semantics (test oracle)."""
+"""Brute-force Python versions of the outage semantics (test oracle)."""
 
 from __future__ import annotations
 

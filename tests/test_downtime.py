@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from conftest import AS_OF, T0, flags_to_rows, make_pm
 from linkwatch import schema as S
 from linkwatch.operators import downtime as D
-from reference_impl import outages
+from brute_force import outages
 
 COLS = [S.HOST, "start_time", "end_time", "duration_seconds"]
 
@@ -130,7 +130,7 @@ def test_property_random_series(spark, flags, step):
     want = outages(rows, min_duration=0)
     assert got == want
     # without NULL flags periods are ordered and disjoint (with NULLs the
-    # ordinal pairing can misalign starts and ends, as in the reference)
+    # ordinal pairing can misalign starts and ends, by definition)
     if "N" not in flags:
         for a, b in zip(got, got[1:]):
             assert a[2] <= b[1]

@@ -33,7 +33,7 @@ def test_apply_retention(spark, tmp_path):
     assert apply_retention(spark, path, AS_OF, days=10) == 0
 
 
-def test_ingest_pipeline(spark):
+def test_ingest_normalise_defaults_ids(spark):
     raw = spark.createDataFrame(
         [
             ("a", 12.345, False, None, "2024-01-02T03:04:05.123456"),
