@@ -88,6 +88,18 @@ def q_stream_downtime(spark, sf_dir):
     return _ntz(spark.read.parquet(f"{base}/out"))
 
 
+@register(
+    "stream_downtime_processor",
+    downtime_sql() + "\nSELECT * FROM dt",
+)
+def q_stream_downtime_processor(spark, sf_dir):
+    """Outages from the stream via transformWithStateInPandas (RocksDB state)."""
+    base = _run_dir(spark, "downtime-tws")
+    src = _metric_stream(spark, sf_dir, base)
+    J.run_available_now(J.stream_downtime(src, 30, api="processor"), f"{base}/out", f"{base}/ckpt")
+    return _ntz(spark.read.parquet(f"{base}/out"))
+
+
 _LATE = "1 hour"
 
 

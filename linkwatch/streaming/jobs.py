@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from linkwatch import schema as S
 from linkwatch.session import ship_package
@@ -246,72 +247,130 @@ def _to_us(ts: pd.Series) -> np.ndarray:
     return s.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def _outage_state_fn(min_duration_seconds: float):
-    """Per-host state machine with the batch operator's pairing rule:
-    the n-th start pairs with the n-th end (a FIFO of unmatched starts).
+def _advance(host, pdf: pd.DataFrame, carry: tuple, pending: list, min_duration_seconds: float):
+    """One micro-batch of one host through the outage state machine.
 
-    Rows of a micro-batch are sorted by (timestamp, id); rows not newer than
-    the last processed row of the host are counted in ``late_rows`` and
-    skipped (the history they belong to has been emitted already).
+    ``carry`` = (seen, last_loss, last_ts_us, last_id, late_rows); ``pending``
+    = unmatched start times (µs), oldest first. The n-th start pairs with
+    the n-th end, as in the batch operator. Rows are sorted by (timestamp,
+    id); rows not newer than the last processed row of the host are counted
+    in ``late_rows`` and skipped (their history has been emitted already).
+    Returns (outages, carry, pending).
     """
+    seen, last_loss, last_ts, last_id, late = carry
+    late = int(late or 0)
+    ts = _to_us(pdf[S.TS])
+    ids = pdf[S.ID].to_numpy(dtype="int64")
+    flag = pdf[S.LOSS].astype("boolean")
+    order = np.lexsort((ids, ts))
+    ts, ids = ts[order], ids[order]
+    flag = flag.iloc[order].reset_index(drop=True)
+    if seen and last_ts is not None:
+        newer = (ts > last_ts) | ((ts == last_ts) & (ids > last_id))
+        late += int((~newer).sum())
+        ts, ids, flag = ts[newer], ids[newer], flag[newer].reset_index(drop=True)
+    out = pd.DataFrame({c: [] for c in DOWNTIME_OUT_SCHEMA.names})
+    if len(ts):
+        is_true = flag.fillna(False).to_numpy(dtype=bool)
+        is_false = (~flag).fillna(False).to_numpy(dtype=bool)
+        prev_true = np.empty(len(ts), dtype=bool)
+        prev_true[0] = bool(seen and last_loss is True)
+        prev_true[1:] = is_true[:-1]
+        # start: loss AND (prev FALSE or NULL or none); end: not loss AND prev TRUE
+        starts = ts[is_true & ~prev_true]
+        ends = ts[is_false & prev_true]
+        queue = np.concatenate([np.asarray(pending, dtype="int64"), starts])
+        k = min(len(queue), len(ends))
+        s_us, e_us = queue[:k], ends[:k]
+        pending = [int(x) for x in queue[k:]]
+        dur = (e_us - s_us) / 1e6
+        keep = dur >= float(min_duration_seconds)
+        out = pd.DataFrame(
+            {
+                S.HOST: host,
+                "start_time": pd.to_datetime(s_us[keep], unit="us"),
+                "end_time": pd.to_datetime(e_us[keep], unit="us"),
+                "duration_seconds": dur[keep],
+            }
+        )
+        last = flag.iloc[-1]
+        last_loss = None if pd.isna(last) else bool(last)
+        last_ts, last_id, seen = int(ts[-1]), int(ids[-1]), True
+    return out, (seen, last_loss, last_ts, last_id, late), pending
+
+
+def _outage_state_fn(min_duration_seconds: float):
+    """``applyInPandasWithState`` function: state is one row per host."""
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        host = key[0]
         if state.exists:
             seen, last_loss, last_ts, last_id, pending, late = state.get
-            pending = list(pending or [])
+            carry, pending = (seen, last_loss, last_ts, last_id, late), list(pending or [])
         else:
-            seen, last_loss, last_ts, last_id, pending, late = False, None, None, None, [], 0
+            carry, pending = (False, None, None, None, 0), []
         pdf = pd.concat(list(pdfs), ignore_index=True)
-        ts = _to_us(pdf[S.TS])
-        ids = pdf[S.ID].to_numpy(dtype="int64")
-        flag = pdf[S.LOSS].astype("boolean")
-        order = np.lexsort((ids, ts))
-        ts, ids = ts[order], ids[order]
-        flag = flag.iloc[order].reset_index(drop=True)
-        if seen and last_ts is not None:
-            newer = (ts > last_ts) | ((ts == last_ts) & (ids > last_id))
-            late = int(late or 0) + int((~newer).sum())
-            ts, ids, flag = ts[newer], ids[newer], flag[newer].reset_index(drop=True)
-        out = pd.DataFrame({c: [] for c in DOWNTIME_OUT_SCHEMA.names})
-        if len(ts):
-            is_true = flag.fillna(False).to_numpy(dtype=bool)
-            is_false = (~flag).fillna(False).to_numpy(dtype=bool)
-            prev_true = np.empty(len(ts), dtype=bool)
-            prev_true[0] = bool(seen and last_loss is True)
-            prev_true[1:] = is_true[:-1]
-            # start: loss AND (prev FALSE or NULL or none); end: not loss AND prev TRUE
-            starts = ts[is_true & ~prev_true]
-            ends = ts[is_false & prev_true]
-            queue = np.concatenate([np.asarray(pending, dtype="int64"), starts])
-            k = min(len(queue), len(ends))
-            s_us, e_us = queue[:k], ends[:k]
-            pending = [int(x) for x in queue[k:]]
-            dur = (e_us - s_us) / 1e6
-            keep = dur >= float(min_duration_seconds)
-            out = pd.DataFrame(
-                {
-                    S.HOST: host,
-                    "start_time": pd.to_datetime(s_us[keep], unit="us"),
-                    "end_time": pd.to_datetime(e_us[keep], unit="us"),
-                    "duration_seconds": dur[keep],
-                }
-            )
-            last = flag.iloc[-1]
-            last_loss = None if pd.isna(last) else bool(last)
-            last_ts, last_id, seen = int(ts[-1]), int(ids[-1]), True
-        state.update((seen, last_loss, last_ts, last_id, pending, int(late or 0)))
+        out, carry, pending = _advance(key[0], pdf, carry, pending, min_duration_seconds)
+        seen, last_loss, last_ts, last_id, late = carry
+        state.update((seen, last_loss, last_ts, last_id, pending, late))
         yield out
 
     return fn
 
 
-def stream_downtime(src: DataFrame, min_duration_seconds: float = 30) -> DataFrame:
+_CARRY_SCHEMA = "seen boolean, last_loss boolean, last_ts_us bigint, last_id bigint, late_rows bigint"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class OutageProcessor(StatefulProcessor):
+    """``transformWithStateInPandas`` processor: the host's carry in a value
+    state, its unmatched starts in a list state (RocksDB-backed)."""
+
+    def __init__(self, min_duration_seconds: float = 30):
+        self.min_duration_seconds = min_duration_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.carry = handle.getValueState("carry", _CARRY_SCHEMA)
+        self.pending = handle.getListState("pending", "start_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        carry = tuple(self.carry.get()) if self.carry.exists() else (False, None, None, None, 0)
+        pending = [int(r[0]) for r in self.pending.get()] if self.pending.exists() else []
+        pdf = pd.concat(list(rows), ignore_index=True)
+        out, carry, pending = _advance(key[0], pdf, carry, pending, self.min_duration_seconds)
+        self.carry.update(carry)
+        if pending:
+            self.pending.put([(p,) for p in pending])
+        else:
+            self.pending.clear()
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def stream_downtime(src: DataFrame, min_duration_seconds: float = 30, api: str = "group_state") -> DataFrame:
     """Outages detected continuously: an outage is emitted on the row that
     ends it (append mode). Keyed state per host holds the last flag and the
-    unmatched starts, so memory is per host, not per row."""
-    ship_package(src.sparkSession)
+    unmatched starts, so memory is per host, not per row. A micro-batch's
+    rows of one host are processed together (bound them with the source's
+    ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` / ``maxOffsetsPerTrigger``).
+
+    ``api="group_state"`` uses ``applyInPandasWithState``;
+    ``api="processor"`` uses ``transformWithStateInPandas`` with the RocksDB
+    state store (set for the session if no provider is configured).
+    """
+    spark = src.sparkSession
+    ship_package(spark)
     rows = src.select(S.HOST, S.TS, S.ID, S.LOSS)
+    if api == "processor":
+        key = "spark.sql.streaming.stateStore.providerClass"
+        if ROCKSDB_PROVIDER not in (spark.conf.get(key, "") or ""):
+            spark.conf.set(key, ROCKSDB_PROVIDER)
+        return rows.groupBy(S.HOST).transformWithStateInPandas(
+            OutageProcessor(min_duration_seconds), DOWNTIME_OUT_SCHEMA, "Append", "None"
+        )
+    if api != "group_state":
+        raise ValueError("api must be 'group_state' or 'processor'")
     return rows.groupBy(S.HOST).applyInPandasWithState(
         _outage_state_fn(min_duration_seconds),
         DOWNTIME_OUT_SCHEMA,

@@ -83,3 +83,16 @@ def test_stream_late_rows_are_skipped(spark, tmp_path):
     src = J.read_metric_stream(spark, f"{base}/in")
     J.run_available_now(J.stream_downtime(src, 30), f"{base}/out", f"{base}/ckpt")
     assert _stream_out(spark, f"{base}/out") == _batch(spark, new)
+
+
+def test_stream_downtime_processor_api_equals_batch(spark, tmp_path):
+    rows = _rows(seed=5)
+    half = len(rows) // 2
+    base = str(tmp_path)
+    stage_files(make_pm(spark, rows[:half]), f"{base}/in", n_files=2)
+    src = J.read_metric_stream(spark, f"{base}/in")
+    J.run_available_now(J.stream_downtime(src, 30, api="processor"), f"{base}/out", f"{base}/ckpt")
+    stage_files(make_pm(spark, rows[half:]), f"{base}/in", n_files=2, first_part=2)
+    src = J.read_metric_stream(spark, f"{base}/in")
+    J.run_available_now(J.stream_downtime(src, 30, api="processor"), f"{base}/out", f"{base}/ckpt")
+    assert _stream_out(spark, f"{base}/out") == _batch(spark, rows)
