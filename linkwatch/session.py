@@ -96,6 +96,11 @@ def ship_package(spark: SparkSession) -> None:
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    # Opt out where the package is installed on the executors already
+    # (wheel in the image, --py-files at submit time).
+    if (spark.conf.get("spark.linkwatch.shipPackage", "true") or "true").lower() == "false":
+        _SHIPPED.add(key)
+        return
     root = os.path.dirname(os.path.dirname(os.path.abspath(linkwatch.__file__)))
     fd, path = tempfile.mkstemp(prefix="linkwatch-", suffix=".zip")
     os.close(fd)
