@@ -15,15 +15,28 @@ def _order_key():
     return F.struct(F.col(S.TS), F.col(S.ID))
 
 
-def latest_per_host(pm: DataFrame) -> DataFrame:
+def latest_per_host(pm: DataFrame, method: str = "semi_join") -> DataFrame:
     """Newest row of every host (ties on timestamp broken by the larger id).
 
-    ``max_by`` aggregates partially on each map task, so one row per host and
-    task crosses the shuffle however the rows are skewed.
+    ``semi_join`` (default) stays on hash operators: a narrow
+    ``max(timestamp)`` per host (partial + final hash aggregate over two
+    columns), a semi join of the rows onto those maxima (one row per host on
+    the build side; AQE broadcasts it after measuring it), and the id
+    tie-break over the few candidate rows. ``max_by`` is the one-pass form;
+    its struct buffer makes Spark sort every map partition (sort aggregate).
     """
     cols = [c for c in S.METRIC_COLUMNS if c in pm.columns]
-    latest = pm.groupBy(S.HOST).agg(F.max_by(F.struct(*cols), _order_key()).alias("_row"))
-    return latest.select(*[F.col(f"_row.{c}").alias(c) for c in cols])
+    if method == "max_by":
+        latest = pm.groupBy(S.HOST).agg(F.max_by(F.struct(*cols), _order_key()).alias("_row"))
+        return latest.select(*[F.col(f"_row.{c}").alias(c) for c in cols])
+    if method != "semi_join":
+        raise ValueError("method must be 'semi_join' or 'max_by'")
+    newest = pm.groupBy(F.col(S.HOST).alias("_h")).agg(F.max(S.TS).alias("_t"))
+    cand = pm.select(*cols).join(
+        newest, (F.col(S.HOST) == F.col("_h")) & (F.col(S.TS) == F.col("_t")), "left_semi"
+    )
+    w = Window.partitionBy(S.HOST).orderBy(F.desc(S.ID))
+    return cand.select(*cols, F.row_number().over(w).alias("_rn")).where(F.col("_rn") == 1).drop("_rn")
 
 
 def latest_per_host_rank(pm: DataFrame) -> DataFrame:

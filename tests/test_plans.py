@@ -60,9 +60,11 @@ def test_summary_is_two_stage(spark):
     assert p.count("HashAggregate") + p.count("ObjectHashAggregate") + p.count("SortAggregate") >= 4
 
 
-def test_latest_partial_aggregation(spark):
+def test_latest_stays_on_hash_operators(spark):
     p = plan(L.latest_per_host(load_pm(spark, SF_SMALL)))
-    assert "partial_max_by" in p
+    # narrow partial max per host, semi join onto it; no sort-based aggregate
+    assert "partial_max(" in p and "LeftSemi" in p and "SortAggregate" not in p
+    assert "SortAggregate" in plan(L.latest_per_host(load_pm(spark, SF_SMALL), method="max_by"))
 
 
 def test_hot_host_is_spread_over_tasks(spark):

@@ -74,7 +74,8 @@ def test_latest_two_forms_and_ties(spark):
     pm = make_pm(spark, rows)
     a = sorted(tuple(r) for r in L.latest_per_host(pm).collect())
     b = sorted(tuple(r) for r in L.latest_per_host_rank(pm).collect())
-    assert a == b and [r[0] for r in a] == [2, 3]
+    c = sorted(tuple(r) for r in L.latest_per_host(pm, method="max_by").collect())
+    assert a == b == c and [r[0] for r in a] == [2, 3]
     assert L.latest_metric(pm, "h").first()[S.ID] == 2
     m = L.latest_map(pm).first()["latest"]
     assert set(m) == {"h", "g"} and m["h"][S.ID] == 2
