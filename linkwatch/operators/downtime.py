@@ -295,7 +295,7 @@ def downtime_next_edge(
     w = Window.partitionBy(S.HOST, CHUNK).orderBy(S.TS, S.ID)
     e = e.select("*", F.lead(S.TS).over(w).alias("next_ts"))
     # First edge time of each chunk, then of the next chunk that has edges.
-    firsts = e.groupBy(S.HOST, CHUNK).agg(F.min_by(S.TS, F.struct(S.TS, S.ID)).alias("first_edge_ts"))
+    firsts = e.groupBy(S.HOST, CHUNK).agg(F.min(S.TS).alias("first_edge_ts"))
     wc = Window.partitionBy(S.HOST).orderBy(CHUNK)
     nxt = firsts.select(S.HOST, CHUNK, F.lead("first_edge_ts").over(wc).alias("next_chunk_edge"))
     out = (

@@ -31,12 +31,16 @@ def latest_per_host(pm: DataFrame, method: str = "semi_join") -> DataFrame:
         return latest.select(*[F.col(f"_row.{c}").alias(c) for c in cols])
     if method != "semi_join":
         raise ValueError("method must be 'semi_join' or 'max_by'")
-    newest = pm.groupBy(F.col(S.HOST).alias("_h")).agg(F.max(S.TS).alias("_t"))
-    cand = pm.select(*cols).join(
-        newest, (F.col(S.HOST) == F.col("_h")) & (F.col(S.TS) == F.col("_t")), "left_semi"
-    )
-    w = Window.partitionBy(S.HOST).orderBy(F.desc(S.ID))
-    return cand.select(*cols, F.row_number().over(w).alias("_rn")).where(F.col("_rn") == 1).drop("_rn")
+    return latest_rows(pm.select(*cols))
+
+
+def latest_rows(df: DataFrame, key: str = S.HOST, ts: str = S.TS, tie: str = S.ID) -> DataFrame:
+    """Row with the greatest ``(ts, tie)`` per ``key``, on hash operators:
+    max ``ts`` per key, semi join back, then the tie-break over candidates."""
+    newest = df.groupBy(F.col(key).alias("_k")).agg(F.max(ts).alias("_t"))
+    cand = df.join(newest, (F.col(key) == F.col("_k")) & (F.col(ts) == F.col("_t")), "left_semi")
+    w = Window.partitionBy(key).orderBy(F.desc(tie))
+    return cand.select("*", F.row_number().over(w).alias("_rn")).where(F.col("_rn") == 1).drop("_rn")
 
 
 def latest_per_host_rank(pm: DataFrame) -> DataFrame:
@@ -84,10 +88,8 @@ def current_response(pm: DataFrame, as_of: datetime, preset: str = "1hr", host:
     """Latest answered response time per host within the chart window,
     with its display label ``%.1fms`` (columns ``target_host,
     current_response_time, current_response_label``)."""
-    pts = chart_series(pm, as_of, host=host, preset=preset)
-    cur = pts.groupBy(S.HOST).agg(
-        F.max_by("response_time", F.struct(F.col(S.TS), F.col(S.ID))).alias("current_response_time")
-    )
+    pts = chart_series(pm, as_of, host=host, preset=preset).select(S.HOST, S.TS, S.ID, "response_time")
+    cur = latest_rows(pts).select(S.HOST, F.col("response_time").alias("current_response_time"))
     return cur.select(
         S.HOST,
         "current_response_time",
