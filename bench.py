@@ -84,6 +84,9 @@ def main() -> None:
             }
         )
     )
+    from linkwatch.session import drop_scratch
+
+    drop_scratch(spark)
     spark.stop()
 
 

@@ -62,11 +62,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables / stream state."""
+    """A sub-folder of the shared checkpoint folder for written tables /
+    stream state; remembered per application for ``drop_scratch``."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     base = base.rstrip("/")
-    return f"{base}/{name}"
+    path = f"{base}/{name}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this application wrote (call once the
+    DataFrames built on them are no longer needed). Returns the count."""
+    sc = spark.sparkContext
+    paths = _SCRATCH.pop(sc.applicationId, [])
+    jvm = sc._jvm
+    conf = sc._jsc.hadoopConfiguration()
+    n = 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if fs.exists(hp):
+            fs.delete(hp, True)
+            n += 1
+    return n
 
 
 def local_test_session(cores: int = 4, shuffle_partitions: int = 8) -> SparkSession:

@@ -73,3 +73,18 @@ def test_provider_info(spark):
     rows = I.provider_info(df, "j").collect()
     assert rows[0]["provider"] == "ISP" and rows[0]["location"] == "Oslo, NO" and rows[0]["region"] == "Unknown"
     assert rows[1]["provider"] == "Unknown" and rows[1]["location"] == "--"
+
+
+def test_drop_scratch(spark):
+    import os
+
+    from linkwatch.operators import downtime as D
+    from linkwatch.session import drop_scratch
+
+    drop_scratch(spark)
+    dt = D.downtime_periods(load_pm(spark, SF_SMALL), AS_OF, hours=None)
+    assert dt.count() > 0
+    base = spark.conf.get("spark.checkpoint.dir").replace("file:", "")
+    before = len(os.listdir(base))
+    assert drop_scratch(spark) >= 1
+    assert len(os.listdir(base)) < before
