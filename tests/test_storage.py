@@ -88,3 +88,16 @@ def test_drop_scratch(spark):
     before = len(os.listdir(base))
     assert drop_scratch(spark) >= 1
     assert len(os.listdir(base)) < before
+
+
+def test_message_sink_roundtrip(spark, tmp_path):
+    from linkwatch.operators import watchlist as W
+    from linkwatch.sources.sinks import write_messages
+
+    msgs = W.emit_json(W.route_updates(W.probe_cycles(load_pm(spark, SF_SMALL))))
+    write_messages(msgs, str(tmp_path / "m"))
+    back = spark.read.json(str(tmp_path / "m"))
+    assert back.count() == msgs.count()
+    assert set(back.columns) == {"type", "timestamp", "results"}
+    types = {r[0] for r in back.select("type").distinct().collect()}
+    assert types <= {S.MSG_PING_UPDATE, S.MSG_DNS_UPDATE}
