@@ -49,6 +49,8 @@ def _window_rows(pm: DataFrame, as_of: datetime | None, hours: float | None, hos
     rows = host_filter(pm, host)
     if as_of is not None:
         rows = since_hours(rows, as_of, hours)
+    elif hours:
+        raise ValueError("a look-back window (hours) needs as_of")
     return rows
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwatch import schema as S
-from linkwatch.operators.filters import chart_series, host_filter, since_hours, validate_params
+from linkwatch.operators.filters import chart_series, host_filter, since_hours, since_minutes, validate_params
 
 
 def _order_key():
@@ -65,17 +65,23 @@ def recent_metrics(
     limit: int = 1000,
     offset: int = 0,
     cap: int | None = 1000,
+    minutes: float | None = None,
 ) -> DataFrame:
     """Newest rows first; the newest ``cap`` rows are fetched, then the page
     ``[offset, offset + limit)`` is cut from them (so ``offset >= cap`` is
     empty and ``limit > cap`` has no effect). ``cap=None`` removes the cap.
+    ``minutes`` (the time-range form) replaces ``hours`` when given.
 
     Planned as a top-k (``TakeOrderedAndProject``): each task keeps its best
     ``cap`` rows, only those reach the final merge.
     """
-    validate_params(limit=limit, offset=offset, hours=hours if hours else None)
     cols = [c for c in S.METRIC_COLUMNS if c in pm.columns]
-    rows = host_filter(since_hours(pm, as_of, hours), host).select(*cols)
+    if minutes is not None:
+        validate_params(limit=limit, offset=offset, minutes=minutes)
+        rows = host_filter(since_minutes(pm, as_of, minutes), host).select(*cols)
+    else:
+        validate_params(limit=limit, offset=offset, hours=hours if hours else None)
+        rows = host_filter(since_hours(pm, as_of, hours), host).select(*cols)
     ordered = rows.orderBy(F.desc(S.TS), F.desc(S.ID))
     if cap is not None:
         ordered = ordered.limit(cap)
