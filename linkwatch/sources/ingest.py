@@ -65,17 +65,29 @@ def assign_ids(df: DataFrame, start: int = 1, chunk_unit: str = "minute") -> Dat
 
     Numbered like the outage ordinals: a local ``row_number`` per time chunk
     plus the row count of all earlier chunks (a summary with one row per
-    chunk, bounded by time span / chunk width), so no single task sorts the
-    whole input. A chunk holds every host's rows of that time slice, hence
+    chunk, bounded by time span / chunk width, summed per day and then across
+    days), so no single task sorts the whole input. A chunk holds every host's rows of that time slice, hence
     the fine default (one minute); ``second`` suits very high probe rates.
     """
     chunk = bucket(S.TS, chunk_unit).alias("_chunk")
     base = df.select("*", chunk)
     w = Window.partitionBy("_chunk").orderBy(S.TS, S.HOST)
     local = base.select("*", F.row_number().over(w).cast("long").alias("_local"))
-    counts = base.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))
+    counts = base.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_chunk", "_n", F.to_date("_chunk").alias("_day")
+    )
+    # Two-level prefix sums keep every window small: rows of earlier days
+    # (one row per day in the only unpartitioned window), plus rows of
+    # earlier chunks of the same day (window per day).
+    per_day = counts.groupBy("_day").agg(F.sum("_n").alias("_dn"))
+    days_before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    day_off = per_day.select("_day", F.coalesce(F.sum("_dn").over(days_before), F.lit(0)).alias("_doff"))
+    in_day_before = Window.partitionBy("_day").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (
+        counts.select("_chunk", "_day", F.coalesce(F.sum("_n").over(in_day_before), F.lit(0)).alias("_coff"))
+        .join(day_off, on="_day", how="inner")
+        .select("_chunk", (F.col("_doff") + F.col("_coff")).cast("long").alias("_off"))
+    )
     out = local.join(offs, on="_chunk", how="inner")
     keep = [c for c in df.columns if c != S.ID]
     return out.select((F.lit(int(start)) + F.col("_off") + F.col("_local") - F.lit(1)).cast("long").alias(S.ID), *keep)
