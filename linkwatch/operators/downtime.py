@@ -60,13 +60,14 @@ def loss_transitions(
     hours: float | None = None,
     host: str | None = None,
     chunk_unit: str = "hour",
+    materialize: bool = True,
 ) -> DataFrame:
     """Every row with its previous flag ``prev_packet_loss`` and edge flags.
 
     Columns: ``target_host, timestamp, id, packet_loss, prev_packet_loss,
     is_start, is_end``. Computed with the chunked plan (no per-host task).
     """
-    edges = _edge_rows(_window_rows(pm, as_of, hours, host), chunk_unit, keep_all=True)
+    edges = _edge_rows(_window_rows(pm, as_of, hours, host), chunk_unit, keep_all=True, persist=materialize)
     summary = _chunk_summary(edges)
     j = edges.join(summary, on=[S.HOST, CHUNK], how="inner")
     prev = F.when(F.col("is_first"), F.col("prev_chunk_last")).otherwise(F.col("prev"))
@@ -81,12 +82,14 @@ def loss_transitions(
     )
 
 
-def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False) -> DataFrame:
-    """The materialised edge set (see ``edge_frame``)."""
+def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False, persist: bool = True) -> DataFrame:
+    """The edge set (see ``edge_frame``), materialised unless ``persist`` is off."""
     # The edge set feeds both the per-chunk summary and the numbering; it is
     # written once to the shared checkpoint folder so the scan, shuffle and
-    # sort run once (and lineage is cut for executor loss).
-    return materialize(edge_frame(rows, chunk_unit, keep_all))
+    # sort run once (and lineage is cut for executor loss). Without it the
+    # plan stays lazy and the window stage runs for each consumer.
+    ef = edge_frame(rows, chunk_unit, keep_all)
+    return materialize(ef) if persist else ef
 
 
 def edge_frame(rows: DataFrame, chunk_unit: str = "hour", keep_all: bool = False) -> DataFrame:
@@ -183,10 +186,10 @@ def _chunk_summary(edges: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_edges(rows: DataFrame, chunk_unit: str) -> DataFrame:
+def _numbered_edges(rows: DataFrame, chunk_unit: str, persist: bool = True) -> DataFrame:
     """Starts and ends in one DataFrame: ``target_host, rn, start_time,
     end_time`` where exactly one of the two times is set."""
-    edges = _edge_rows(rows, chunk_unit)
+    edges = _edge_rows(rows, chunk_unit, persist=persist)
     j = edges.join(_chunk_summary(edges), on=[S.HOST, CHUNK], how="inner")
     is_start = F.col("local_start") | (F.col("is_first") & F.col("first_start"))
     is_end = F.col("local_end") | (F.col("is_first") & F.col("first_end"))
@@ -200,13 +203,13 @@ def _numbered_edges(rows: DataFrame, chunk_unit: str) -> DataFrame:
     )
 
 
-def _paired(rows: DataFrame, chunk_unit: str) -> DataFrame:
+def _paired(rows: DataFrame, chunk_unit: str, persist: bool = True) -> DataFrame:
     """n-th start with n-th end per host: ``target_host, start_time, end_time``.
 
     An aggregation on the unique key ``(host, rn)`` (at most one start and
     one end per key) instead of a join of two filtered copies.
     """
-    numbered = _numbered_edges(rows, chunk_unit)
+    numbered = _numbered_edges(rows, chunk_unit, persist)
     pairs = numbered.groupBy(S.HOST, "rn").agg(
         F.max("start_time").alias("start_time"), F.max("end_time").alias("end_time")
     )
@@ -234,16 +237,19 @@ def downtime_periods(
     include_open: bool = False,
     chunk_unit: str = "hour",
     sort: bool = False,
+    materialize: bool = True,
 ) -> DataFrame:
     """Outages of every host (or one): ``target_host, start_time, end_time, duration_seconds``.
 
     ``hours=None`` analyses the full history. With ``include_open`` an outage
     still running at the end of the data is kept with ``end_time`` NULL and
-    its duration measured up to ``as_of``.
+    its duration measured up to ``as_of``. ``materialize=False`` keeps the
+    plan lazy (no write at call time) at the cost of running the window
+    stage twice.
     """
     if min_duration_seconds < 0:
         raise ValueError("min_duration_seconds must be >= 0")
-    j = _paired(_window_rows(pm, as_of, hours, host), chunk_unit)
+    j = _paired(_window_rows(pm, as_of, hours, host), chunk_unit, materialize)
     if not include_open:
         j = j.where(F.col("end_time").isNotNull())
     dur = epoch_seconds("start_time", "end_time")

@@ -182,3 +182,15 @@ def test_derivatives_consistent(spark):
     for r in aff:
         want = sum(1 for x in rows if x[2] == r[S.HOST] and x[4] and r["start_time"] <= x[1] < r["end_time"])
         assert r["affected_pings"] == want
+
+
+def test_lazy_plan_equals_materialised(spark):
+    rows = random_rows(11, null_rate=0.1)
+    pm = make_pm(spark, rows)
+    kw = dict(hours=None, min_duration_seconds=1, chunk_unit="minute")
+    lazy = D.downtime_periods(pm, AS_OF, materialize=False, **kw)
+    assert "edges-" not in lazy._jdf.queryExecution().executedPlan().toString()
+    assert run(lazy) == run(D.downtime_periods(pm, AS_OF, **kw)) == outages(rows, min_duration=1)
+    t1 = sorted(tuple(r) for r in D.loss_transitions(pm, chunk_unit="minute", materialize=False).collect())
+    t2 = sorted(tuple(r) for r in D.loss_transitions(pm, chunk_unit="minute").collect())
+    assert t1 == t2
