@@ -195,3 +195,22 @@ def q_stream_host_filter(spark, sf_dir):
     src = _metric_stream(spark, sf_dir, base)
     J.run_available_now(J.stream_host_filter(src, ["google.com", "1.1.1.1"]), f"{base}/out", f"{base}/ckpt")
     return _ntz(spark.read.parquet(f"{base}/out"))
+
+
+@register(
+    "stream_ingest_json",
+    with_pm("SELECT target_host, response_time_ms, COALESCE(packet_loss, FALSE) AS packet_loss, error_message FROM pm"),
+)
+def q_stream_ingest_json(spark, sf_dir):
+    """Every fact row as a JSON insert request (text lines), streamed into
+    the fact table; the ingest-time columns are left out of the check."""
+    base = _run_dir(spark, "ingest-json")
+    pm = load_pm(spark, sf_dir)
+    req = pm.select(F.to_json(F.struct(S.HOST, S.RT, S.LOSS, S.ERR)).alias("value"))
+    req.repartition(STREAM_FILES).write.text(f"{base}/in")
+    q_rows, q_rej = J.stream_ingest_json(
+        spark, f"{base}/in", f"{base}/table", f"{base}/rejects", f"{base}/ckpt", {"availableNow": True}
+    )
+    q_rows.awaitTermination()
+    q_rej.awaitTermination()
+    return spark.read.parquet(f"{base}/table").select(S.HOST, S.RT, S.LOSS, S.ERR)

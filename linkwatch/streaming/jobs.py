@@ -108,6 +108,59 @@ def stream_ingest(
     return w.start()
 
 
+def stream_ingest_json(
+    spark: SparkSession,
+    src_path: str,
+    table_path: str,
+    rejects_path: str,
+    checkpoint_base: str,
+    trigger: dict | None = None,
+    max_files_per_trigger: int | None = 1,
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """JSON insert requests (one per line) -> fact table + rejects table.
+
+    Lines are decoded with ``parse_probe_json``; valid requests get the
+    column defaults with the processing time as ``timestamp`` and
+    ``created_at`` (the insert time, like the source service) and are
+    appended to the date-partitioned table; undecodable lines and requests
+    without a host go to ``rejects_path`` with their reason.
+    """
+    from linkwatch.sources.ingest import parse_probe_json
+
+    r = spark.readStream.format("text")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    lines = r.load(src_path)
+    valid, rejects = parse_probe_json(lines, "value")
+    now = F.current_timestamp().cast("timestamp_ntz")
+    rows = valid.select(
+        S.HOST,
+        S.RT,
+        F.coalesce(F.col(S.LOSS), F.lit(False)).alias(S.LOSS),
+        S.ERR,
+        now.alias(S.TS),
+        now.alias(S.CREATED),
+    )
+    trig = trigger or {"processingTime": "10 seconds"}
+    q_rows = (
+        with_metric_date(rows)
+        .writeStream.format("parquet")
+        .option("path", table_path)
+        .option("checkpointLocation", f"{checkpoint_base}/rows")
+        .partitionBy(S.METRIC_DATE)
+        .trigger(**trig)
+        .start()
+    )
+    q_rej = (
+        rejects.writeStream.format("parquet")
+        .option("path", rejects_path)
+        .option("checkpointLocation", f"{checkpoint_base}/rejects")
+        .trigger(**trig)
+        .start()
+    )
+    return q_rows, q_rej
+
+
 # ---------------------------------------------------------------------------
 # T-2 latest state
 # ---------------------------------------------------------------------------

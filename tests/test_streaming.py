@@ -96,3 +96,23 @@ def test_stream_downtime_processor_api_equals_batch(spark, tmp_path):
     src = J.read_metric_stream(spark, f"{base}/in")
     J.run_available_now(J.stream_downtime(src, 30, api="processor"), f"{base}/out", f"{base}/ckpt")
     assert _stream_out(spark, f"{base}/out") == _batch(spark, rows)
+
+
+def test_stream_ingest_json(spark, tmp_path):
+    base = str(tmp_path)
+    import os
+
+    os.makedirs(f"{base}/in")
+    with open(f"{base}/in/a.jsonl", "w") as f:
+        f.write('{"target_host": "a", "response_time_ms": 1.5}\n')
+        f.write("not json\n")
+        f.write('{"target_host": "b", "packet_loss": true, "error_message": "x"}\n')
+        f.write('{"response_time_ms": 3.0}\n')
+    q1, q2 = J.stream_ingest_json(spark, f"{base}/in", f"{base}/t", f"{base}/rej", f"{base}/ck", {"availableNow": True})
+    q1.awaitTermination()
+    q2.awaitTermination()
+    rows = {r[S.HOST]: r for r in spark.read.parquet(f"{base}/t").collect()}
+    assert set(rows) == {"a", "b"}
+    assert rows["a"][S.LOSS] is False and rows["b"][S.LOSS] is True and rows["b"][S.ERR] == "x"
+    rej = sorted(r["reject_reason"] for r in spark.read.parquet(f"{base}/rej").collect())
+    assert rej == ["Invalid JSON format", "target_host required"]
