@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from linkwatch import schema as S
 from linkwatch.functions.timefns import bucket, epoch_seconds, ts_literal
-from linkwatch.operators.filters import host_filter, since_hours, validate_params
+from linkwatch.operators.filters import host_filter, since_hours
 from linkwatch.session import scratch_path
 
 CHUNK = "chunk"

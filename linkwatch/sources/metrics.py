@@ -132,7 +132,7 @@ def apply_retention(spark: SparkSession, path: str, as_of: datetime, days: int =
         part = f"{path.rstrip('/')}/{S.METRIC_DATE}={boundary.isoformat()}"
         staging = f"{path.rstrip('/')}_staging_{boundary.isoformat()}"
         keep = (
-            spark.read.schema(METRICS_SCHEMA_NO_DATE).parquet(part)
+            spark.read.schema(S.METRICS_SCHEMA).parquet(part)
             .where(F.col(S.TS) >= ts_literal(cutoff))
             .sortWithinPartitions(S.HOST, S.TS, S.ID)
         )
@@ -141,5 +141,3 @@ def apply_retention(spark: SparkSession, path: str, as_of: datetime, days: int =
         fs.rename(jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(part))
     return deleted
 
-
-METRICS_SCHEMA_NO_DATE = S.METRICS_SCHEMA
