@@ -165,10 +165,10 @@ def q_stream_ingest(spark, sf_dir):
     pm = load_pm(spark, sf_dir)
     raw = raw_probes_from_metrics(pm).withColumn("_t", F.col(S.TS).cast("timestamp_ntz"))
     stage_files(raw, f"{base}/in", time_col="_t")
-    src = J.read_probe_stream(spark, f"{base}/in", max_files_per_trigger=1).drop("_t", "part")
+    src = J.read_probe_stream(spark, f"{base}/in", max_files_per_trigger=1, schema=raw.schema).drop("_t", "part")
     q = J.stream_ingest(src, f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True})
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/table").drop(S.CREATED)
+    return spark.read.schema(J.ingest_rows(src).schema).parquet(f"{base}/table").drop(S.CREATED)
 
 
 @register(
@@ -213,4 +213,5 @@ def q_stream_ingest_json(spark, sf_dir):
     )
     q_rows.awaitTermination()
     q_rej.awaitTermination()
-    return spark.read.parquet(f"{base}/table").select(S.HOST, S.RT, S.LOSS, S.ERR)
+    rows_schema = J.json_ingest_frames(spark.read.schema("value string").text(f"{base}/in"))[0].schema
+    return spark.read.schema(rows_schema).parquet(f"{base}/table").select(S.HOST, S.RT, S.LOSS, S.ERR)

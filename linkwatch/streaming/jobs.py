@@ -50,14 +50,20 @@ def read_metric_stream(spark: SparkSession, path: str, max_files_per_trigger: in
     )
 
 
-def read_probe_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = 1) -> DataFrame:
+def read_probe_stream(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    max_files_per_trigger: int | None = 1,
+    schema: T.StructType | None = None,
+) -> DataFrame:
     """Stream of raw prober results (``host, response_time_ms, packet_loss,
-    error_message, timestamp`` text, plus any extra columns)."""
+    error_message, timestamp`` text, plus any extra columns given in
+    ``schema``; default: the raw probe schema)."""
     r = spark.readStream.format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    sample_schema = spark.read.format(fmt).load(path).schema
-    return r.schema(sample_schema).load(path)
+    return r.schema(schema or S.RAW_PROBE_SCHEMA).load(path)
 
 
 def _ntz_schema(schema: T.StructType) -> T.StructType:
@@ -82,6 +88,13 @@ def to_event_time(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # T-1 ingest
 # ---------------------------------------------------------------------------
+def ingest_rows(raw: DataFrame) -> DataFrame:
+    """Raw results -> fact rows with ``created_at`` (processing time) and
+    ``metric_date`` (the stream written by ``stream_ingest``)."""
+    rows = normalize_probe(raw).withColumn(S.CREATED, F.current_timestamp().cast("timestamp_ntz"))
+    return with_metric_date(rows)
+
+
 def stream_ingest(
     raw: DataFrame,
     path: str,
@@ -95,8 +108,7 @@ def stream_ingest(
     the probe's event time. ``trigger`` e.g. ``{"processingTime": "10 seconds"}``
     or ``{"availableNow": True}``.
     """
-    rows = normalize_probe(raw).withColumn(S.CREATED, F.current_timestamp())
-    rows = with_metric_date(rows)
+    rows = ingest_rows(raw)
     w = (
         rows.writeStream.format("parquet")
         .option("path", path)
@@ -108,6 +120,23 @@ def stream_ingest(
     return w.start()
 
 
+def json_ingest_frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fact rows, rejects) from JSON request lines (column ``value``)."""
+    from linkwatch.sources.ingest import parse_probe_json
+
+    valid, rejects = parse_probe_json(lines, "value")
+    now = F.current_timestamp().cast("timestamp_ntz")
+    rows = valid.select(
+        S.HOST,
+        S.RT,
+        F.coalesce(F.col(S.LOSS), F.lit(False)).alias(S.LOSS),
+        S.ERR,
+        now.alias(S.TS),
+        now.alias(S.CREATED),
+    )
+    return with_metric_date(rows), rejects
+
+
 def stream_ingest_json(
     spark: SparkSession,
     src_path: str,
@@ -125,26 +154,13 @@ def stream_ingest_json(
     appended to the date-partitioned table; undecodable lines and requests
     without a host go to ``rejects_path`` with their reason.
     """
-    from linkwatch.sources.ingest import parse_probe_json
-
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = r.load(src_path)
-    valid, rejects = parse_probe_json(lines, "value")
-    now = F.current_timestamp().cast("timestamp_ntz")
-    rows = valid.select(
-        S.HOST,
-        S.RT,
-        F.coalesce(F.col(S.LOSS), F.lit(False)).alias(S.LOSS),
-        S.ERR,
-        now.alias(S.TS),
-        now.alias(S.CREATED),
-    )
+    rows, rejects = json_ingest_frames(r.load(src_path))
     trig = trigger or {"processingTime": "10 seconds"}
     q_rows = (
-        with_metric_date(rows)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .option("path", table_path)
         .option("checkpointLocation", f"{checkpoint_base}/rows")
         .partitionBy(S.METRIC_DATE)
