@@ -14,6 +14,15 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from oracle_check import _rows, duck  # noqa: E402
 
 SQL = oracle_sql()
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+    "date": "DATE",
+}
 QUERIES = queries()
 
 
@@ -31,4 +40,7 @@ def test_query_runs_and_matches(spark, con, name):
         return
     rel = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for col, spark_type in df.dtypes:
+        assert SPARK_TO_DUCK.get(spark_type, spark_type) == duck_types[col], (col, spark_type, duck_types[col])
     assert _rows(df.columns, rows) == _rows(rel.columns, rel.fetchall())
