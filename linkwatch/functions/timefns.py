@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 _UNITS = ("second", "minute", "hour", "day", "week", "month")
 
 
+_UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+_EPOCH = "1970-01-01 00:00:00"
+
+
 def bucket(ts: Column | str, unit: str = "hour") -> Column:
-    """Truncate a timestamp to ``unit``; keeps TIMESTAMP_NTZ for NTZ input.
+    """Truncate a TIMESTAMP_NTZ to ``unit``; the result stays TIMESTAMP_NTZ.
 
-    ``date_trunc`` yields a session-zone TIMESTAMP; the session zone is UTC,
-    so casting back to NTZ keeps the wall-clock value.
+    Pure wall-clock arithmetic (microseconds since the epoch modulo the unit,
+    or ``trunc`` on the date for week/month), so the session time zone
+    never enters; equal to ``date_trunc`` in a UTC session.
     """
     if unit not in _UNITS:
         raise ValueError(f"unit must be one of {_UNITS}, got {unit!r}")
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc(unit, c).cast("timestamp_ntz")
+    if unit in _UNIT_US:
+        us = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), c)
+        return F.timestamp_add("MICROSECOND", -F.pmod(us, F.lit(_UNIT_US[unit])), c)
+    return F.trunc(F.to_date(c), unit).cast("timestamp_ntz")
 
 
 def epoch_seconds(start: Column | str, end: Column | str) -> Column:
