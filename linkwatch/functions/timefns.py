@@ -62,3 +62,8 @@ def iso_text(ts: Column | str) -> Column:
     """ISO-8601 text with microseconds, as the prober writes timestamps."""
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def utc_now() -> Column:
+    """Current time as a UTC wall-clock TIMESTAMP_NTZ, whatever the session zone."""
+    return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())

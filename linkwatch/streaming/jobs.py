@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from linkwatch import schema as S
+from linkwatch.functions.timefns import utc_now
 from linkwatch.session import ship_package
 from linkwatch.sources.ingest import normalize_probe
 from linkwatch.sources.metrics import with_metric_date
@@ -91,7 +92,7 @@ def to_event_time(df: DataFrame) -> DataFrame:
 def ingest_rows(raw: DataFrame) -> DataFrame:
     """Raw results -> fact rows with ``created_at`` (processing time) and
     ``metric_date`` (the stream written by ``stream_ingest``)."""
-    rows = normalize_probe(raw).withColumn(S.CREATED, F.current_timestamp().cast("timestamp_ntz"))
+    rows = normalize_probe(raw).withColumn(S.CREATED, utc_now())
     return with_metric_date(rows)
 
 
@@ -125,7 +126,7 @@ def json_ingest_frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     from linkwatch.sources.ingest import parse_probe_json
 
     valid, rejects = parse_probe_json(lines, "value")
-    now = F.current_timestamp().cast("timestamp_ntz")
+    now = utc_now()
     rows = valid.select(
         S.HOST,
         S.RT,
