@@ -166,3 +166,14 @@ def chart_series(pm: DataFrame, as_of: datetime, host: str | None = None, preset
         )
         .orderBy(S.TS, S.ID)
     )
+
+
+def duplicate_keys(pm: DataFrame) -> DataFrame:
+    """Data-quality check for the table key ``(id, timestamp)``: every key that
+    occurs more than once, with its count (``duplicates``). Empty when the
+    key is unique. A partial + final hash aggregate on the key."""
+    return (
+        pm.groupBy(S.ID, S.TS)
+        .agg(F.count(F.lit(1)).alias("duplicates"))
+        .where(F.col("duplicates") > F.lit(1))
+    )

@@ -145,3 +145,9 @@ def test_host_input_and_url_component(spark):
     df = spark.createDataFrame([("  my host/a b  ",)], "h string")
     r = df.select(PR.host_input("h").alias("t"), PR.url_component(PR.host_input("h")).alias("u")).first()
     assert r["t"] == "my host/a b" and r["u"] == "my%20host%2Fa%20b"
+
+
+def test_duplicate_keys(spark):
+    rows = flags_to_rows("FF") + flags_to_rows("F")  # id 1 twice at T0
+    out = P.duplicate_keys(make_pm(spark, rows)).collect()
+    assert [(r[S.ID], r["duplicates"]) for r in out] == [(1, 2)]
