@@ -83,3 +83,17 @@ def test_hot_host_is_spread_over_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert parts > 1
+
+
+def test_no_forbidden_operators_in_any_query(spark):
+    from linkwatch.plans.audit import audit
+    from linkwatch.plans.catalog import queries
+
+    bad = {}
+    for name, fn in queries().items():
+        if name.startswith("stream_"):
+            continue
+        a = audit(fn(spark, SF_SMALL))
+        if a["forbidden"]:
+            bad[name] = a["forbidden"]
+    assert bad == {}
