@@ -106,8 +106,9 @@ def edge_frame(rows: DataFrame, chunk_unit: str = "hour", keep_all: bool = False
     stage1 = base.select(
         "*",
         F.lag(S.LOSS).over(w).alias("prev"),
-        F.lag(S.ID).over(w).isNull().alias("is_first"),
-        F.lead(S.ID).over(w).isNull().alias("is_last"),
+        # lag/lead of a constant are NULL exactly at the chunk's edges
+        F.lag(F.lit(1)).over(w).isNull().alias("is_first"),
+        F.lead(F.lit(1)).over(w).isNull().alias("is_last"),
     )
     not_first = ~F.col("is_first")
     local_start = not_first & F.coalesce(loss, F.lit(False)) & F.coalesce(~prev, F.lit(True))
