@@ -340,7 +340,7 @@ def event_ordinal(dt: DataFrame) -> DataFrame:
     )
 
 
-def downtime_report(dt: DataFrame, hours_analyzed: float | None, min_duration_seconds: float) -> DataFrame:
+def downtime_report(dt: DataFrame, hours_analyzed: float | None = 24, min_duration_seconds: float = 30) -> DataFrame:
     """Outage report: per host and start day, the periods (newest first) plus
     scalar fields; ``total_downtime_events`` counts the host's whole list.
 
