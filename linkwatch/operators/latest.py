@@ -26,6 +26,8 @@ def latest_per_host(pm: DataFrame, method: str = "semi_join") -> DataFrame:
     its struct buffer makes Spark sort every map partition (sort aggregate).
     """
     cols = [c for c in S.METRIC_COLUMNS if c in pm.columns]
+    if method == "semi_join" and S.METRIC_DATE in pm.columns:
+        return latest_rows(pm.select(*cols, S.METRIC_DATE)).drop(S.METRIC_DATE)
     if method == "max_by":
         latest = pm.groupBy(S.HOST).agg(F.max_by(F.struct(*cols), _order_key()).alias("_row"))
         return latest.select(*[F.col(f"_row.{c}").alias(c) for c in cols])
@@ -36,9 +38,20 @@ def latest_per_host(pm: DataFrame, method: str = "semi_join") -> DataFrame:
 
 def latest_rows(df: DataFrame, key: str = S.HOST, ts: str = S.TS, tie: str = S.ID) -> DataFrame:
     """Row with the greatest ``(ts, tie)`` per ``key``, on hash operators:
-    max ``ts`` per key, semi join back, then the tie-break over candidates."""
+    max ``ts`` per key, semi join back, then the tie-break over candidates.
+
+    On a stored table (``metric_date`` partitions) the oldest of the per-key
+    newest dates is fetched first (one value) and becomes a partition filter
+    of the second scan: with active hosts only the last days are read again.
+    """
     newest = df.groupBy(F.col(key).alias("_k")).agg(F.max(ts).alias("_t"))
-    cand = df.join(newest, (F.col(key) == F.col("_k")) & (F.col(ts) == F.col("_t")), "left_semi")
+    rows = df
+    if S.METRIC_DATE in df.columns:
+        oldest = newest.agg(F.min(F.to_date("_t")).alias("d")).first()["d"]
+        if oldest is not None:
+            rows = df.where(F.col(S.METRIC_DATE) >= F.lit(oldest))
+    cond = (F.col(key) == F.col("_k")) & (F.col(ts) == F.col("_t"))
+    cand = rows.join(newest, cond, "left_semi")
     w = Window.partitionBy(key).orderBy(F.desc(tie))
     return cand.select("*", F.row_number().over(w).alias("_rn")).where(F.col("_rn") == 1).drop("_rn")
 

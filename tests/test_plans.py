@@ -97,3 +97,15 @@ def test_no_forbidden_operators_in_any_query(spark):
         if a["forbidden"]:
             bad[name] = a["forbidden"]
     assert bad == {}
+
+
+def test_latest_on_stored_table_prunes_dates(spark, tmp_path):
+    path = str(tmp_path / "pm")
+    append_metrics(load_pm(spark, SF_SMALL), path)
+    stored = scan_metrics(spark, path)
+    df = L.latest_per_host(stored)
+    p = plan(df)
+    assert "(metric_date#" in p and ">= 20" in p  # partition filter from the newest dates
+    got = sorted(tuple(r) for r in df.collect())
+    want = sorted(tuple(r) for r in L.latest_per_host(load_pm(spark, SF_SMALL)).collect())
+    assert got == want
