@@ -137,7 +137,16 @@ def apply_retention(spark: SparkSession, path: str, as_of: datetime, days: int =
             .sortWithinPartitions(S.HOST, S.TS, S.ID)
         )
         keep.write.mode("overwrite").parquet(staging)
-        fs.delete(jvm.org.apache.hadoop.fs.Path(part), True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(part))
+        # Swap without a window in which the date's rows exist nowhere: the
+        # old folder is moved aside first and removed only after the new one
+        # is in place (a failure in between leaves both copies on storage).
+        backup = f"{staging}_old"
+        P = jvm.org.apache.hadoop.fs.Path
+        if not fs.rename(P(part), P(backup)):
+            raise IOError(f"could not move {part} aside")
+        if not fs.rename(P(staging), P(part)):
+            fs.rename(P(backup), P(part))
+            raise IOError(f"could not move the rewritten {part} into place")
+        fs.delete(P(backup), True)
     return deleted
 
