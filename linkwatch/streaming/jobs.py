@@ -7,7 +7,7 @@ aggregates drop rows older than the watermark, ingest stores them anyway.
 
 from __future__ import annotations
 
-from typing import Iterable, Iterator
+from typing import Iterable
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from linkwatch import schema as S
 from linkwatch.functions.timefns import utc_now
@@ -310,76 +310,98 @@ DOWNTIME_STATE_SCHEMA = T.StructType(
 )
 
 
-def _to_us(ts: pd.Series) -> np.ndarray:
-    s = pd.to_datetime(ts)
-    if getattr(s.dt, "tz", None) is not None:
-        s = s.dt.tz_convert("UTC").dt.tz_localize(None)
-    return s.astype("datetime64[us]").astype("int64").to_numpy()
+_CARRY_SCHEMA = "seen boolean, last_loss boolean, last_ts_us bigint, last_id bigint, late_rows bigint"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+def _outage_core(min_duration_seconds: float):
+    """The per-host outage state machine as a closure.
 
-def _advance(host, pdf: pd.DataFrame, carry: tuple, pending: list, min_duration_seconds: float):
-    """One micro-batch of one host through the outage state machine.
+    Built inside a function and referring only to numpy, pandas and closure
+    constants, so Spark ships it to Python workers by value (no import of
+    this package is needed there, also not in the driver-side worker that
+    ``transformWithStateInPandas`` starts).
 
-    ``carry`` = (seen, last_loss, last_ts_us, last_id, late_rows); ``pending``
-    = unmatched start times (µs), oldest first. The n-th start pairs with
-    the n-th end, as in the batch operator. Rows are sorted by (timestamp,
-    id); rows not newer than the last processed row of the host are counted
-    in ``late_rows`` and skipped (their history has been emitted already).
-    Returns (outages, carry, pending).
+    ``advance(host, pdf, carry, pending)``: ``carry`` = (seen, last_loss,
+    last_ts_us, last_id, late_rows); ``pending`` = unmatched start times
+    (µs), oldest first. The n-th start pairs with the n-th end, as in the
+    batch operator. Rows are sorted by (timestamp, id); rows not newer than
+    the last processed row of the host are counted in ``late_rows`` and
+    skipped (their history has been emitted already). Returns (outages,
+    carry, pending).
     """
-    seen, last_loss, last_ts, last_id, late = carry
-    late = int(late or 0)
-    ts = _to_us(pdf[S.TS])
-    ids = pdf[S.ID].to_numpy(dtype="int64")
-    flag = pdf[S.LOSS].astype("boolean")
-    order = np.lexsort((ids, ts))
-    ts, ids = ts[order], ids[order]
-    flag = flag.iloc[order].reset_index(drop=True)
-    if seen and last_ts is not None:
-        newer = (ts > last_ts) | ((ts == last_ts) & (ids > last_id))
-        late += int((~newer).sum())
-        ts, ids, flag = ts[newer], ids[newer], flag[newer].reset_index(drop=True)
-    out = pd.DataFrame({c: [] for c in DOWNTIME_OUT_SCHEMA.names})
-    if len(ts):
-        is_true = flag.fillna(False).to_numpy(dtype=bool)
-        is_false = (~flag).fillna(False).to_numpy(dtype=bool)
-        prev_true = np.empty(len(ts), dtype=bool)
-        prev_true[0] = bool(seen and last_loss is True)
-        prev_true[1:] = is_true[:-1]
-        # start: loss AND (prev FALSE or NULL or none); end: not loss AND prev TRUE
-        starts = ts[is_true & ~prev_true]
-        ends = ts[is_false & prev_true]
-        queue = np.concatenate([np.asarray(pending, dtype="int64"), starts])
-        k = min(len(queue), len(ends))
-        s_us, e_us = queue[:k], ends[:k]
-        pending = [int(x) for x in queue[k:]]
-        dur = (e_us - s_us) / 1e6
-        keep = dur >= float(min_duration_seconds)
-        out = pd.DataFrame(
-            {
-                S.HOST: host,
-                "start_time": pd.to_datetime(s_us[keep], unit="us"),
-                "end_time": pd.to_datetime(e_us[keep], unit="us"),
-                "duration_seconds": dur[keep],
-            }
-        )
-        last = flag.iloc[-1]
-        last_loss = None if pd.isna(last) else bool(last)
-        last_ts, last_id, seen = int(ts[-1]), int(ids[-1]), True
-    return out, (seen, last_loss, last_ts, last_id, late), pending
+    import numpy as np
+    import pandas as pd
+
+    ts_col, id_col, loss_col, host_col = S.TS, S.ID, S.LOSS, S.HOST
+    out_cols = list(DOWNTIME_OUT_SCHEMA.names)
+    min_d = float(min_duration_seconds)
+
+    def to_us(ts):
+        t = pd.to_datetime(ts)
+        if getattr(t.dt, "tz", None) is not None:
+            t = t.dt.tz_convert("UTC").dt.tz_localize(None)
+        return t.astype("datetime64[us]").astype("int64").to_numpy()
+
+    def advance(host, pdf, carry, pending):
+        seen, last_loss, last_ts, last_id, late = carry
+        late = int(late or 0)
+        ts = to_us(pdf[ts_col])
+        ids = pdf[id_col].to_numpy(dtype="int64")
+        flag = pdf[loss_col].astype("boolean")
+        order = np.lexsort((ids, ts))
+        ts, ids = ts[order], ids[order]
+        flag = flag.iloc[order].reset_index(drop=True)
+        if seen and last_ts is not None:
+            newer = (ts > last_ts) | ((ts == last_ts) & (ids > last_id))
+            late += int((~newer).sum())
+            ts, ids, flag = ts[newer], ids[newer], flag[newer].reset_index(drop=True)
+        out = pd.DataFrame({c: [] for c in out_cols})
+        if len(ts):
+            is_true = flag.fillna(False).to_numpy(dtype=bool)
+            is_false = (~flag).fillna(False).to_numpy(dtype=bool)
+            prev_true = np.empty(len(ts), dtype=bool)
+            prev_true[0] = bool(seen and last_loss is True)
+            prev_true[1:] = is_true[:-1]
+            # start: loss AND (prev FALSE or NULL or none); end: not loss AND prev TRUE
+            starts = ts[is_true & ~prev_true]
+            ends = ts[is_false & prev_true]
+            queue = np.concatenate([np.asarray(pending, dtype="int64"), starts])
+            k = min(len(queue), len(ends))
+            s_us, e_us = queue[:k], ends[:k]
+            pending = [int(x) for x in queue[k:]]
+            dur = (e_us - s_us) / 1e6
+            keep = dur >= min_d
+            out = pd.DataFrame(
+                {
+                    host_col: host,
+                    "start_time": pd.to_datetime(s_us[keep], unit="us"),
+                    "end_time": pd.to_datetime(e_us[keep], unit="us"),
+                    "duration_seconds": dur[keep],
+                }
+            )[out_cols]
+            last = flag.iloc[-1]
+            last_loss = None if pd.isna(last) else bool(last)
+            last_ts, last_id, seen = int(ts[-1]), int(ids[-1]), True
+        return out, (seen, last_loss, last_ts, last_id, late), pending
+
+    return advance
 
 
 def _outage_state_fn(min_duration_seconds: float):
     """``applyInPandasWithState`` function: state is one row per host."""
+    import pandas as pd
+
+    advance = _outage_core(min_duration_seconds)
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def fn(key, pdfs, state):
         if state.exists:
             seen, last_loss, last_ts, last_id, pending, late = state.get
             carry, pending = (seen, last_loss, last_ts, last_id, late), list(pending or [])
         else:
             carry, pending = (False, None, None, None, 0), []
         pdf = pd.concat(list(pdfs), ignore_index=True)
-        out, carry, pending = _advance(key[0], pdf, carry, pending, min_duration_seconds)
+        out, carry, pending = advance(key[0], pdf, carry, pending)
         seen, last_loss, last_ts, last_id, late = carry
         state.update((seen, last_loss, last_ts, last_id, pending, late))
         yield out
@@ -387,35 +409,36 @@ def _outage_state_fn(min_duration_seconds: float):
     return fn
 
 
-_CARRY_SCHEMA = "seen boolean, last_loss boolean, last_ts_us bigint, last_id bigint, late_rows bigint"
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def outage_processor(min_duration_seconds: float = 30) -> StatefulProcessor:
+    """``transformWithStateInPandas`` processor: the host's carry in a value
+    state, its unmatched starts in a list state (RocksDB-backed). The class
+    is created here so it is shipped by value like ``_outage_core``."""
+    import pandas as pd
 
+    advance = _outage_core(min_duration_seconds)
+    carry_schema = _CARRY_SCHEMA
 
-class OutageProcessor(StatefulProcessor):
-    """``transformWithStateInPandas`` processor: the host's carry in a value
-    state, its unmatched starts in a list state (RocksDB-backed)."""
-
-    def __init__(self, min_duration_seconds: float = 30):
-        self.min_duration_seconds = min_duration_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.carry = handle.getValueState("carry", _CARRY_SCHEMA)
-        self.pending = handle.getListState("pending", "start_us bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        carry = tuple(self.carry.get()) if self.carry.exists() else (False, None, None, None, 0)
-        pending = [int(r[0]) for r in self.pending.get()] if self.pending.exists() else []
-        pdf = pd.concat(list(rows), ignore_index=True)
-        out, carry, pending = _advance(key[0], pdf, carry, pending, self.min_duration_seconds)
-        self.carry.update(carry)
-        if pending:
-            self.pending.put([(p,) for p in pending])
-        else:
-            self.pending.clear()
-        yield out
+    class _OutageProcessor(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.carry = handle.getValueState("carry", carry_schema)
+            self.pending = handle.getListState("pending", "start_us bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            carry = tuple(self.carry.get()) if self.carry.exists() else (False, None, None, None, 0)
+            pending = [int(r[0]) for r in self.pending.get()] if self.pending.exists() else []
+            pdf = pd.concat(list(rows), ignore_index=True)
+            out, carry, pending = advance(key[0], pdf, carry, pending)
+            self.carry.update(carry)
+            if pending:
+                self.pending.put([(p,) for p in pending])
+            else:
+                self.pending.clear()
+            yield out
+
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return _OutageProcessor()
 
 
 def stream_downtime(src: DataFrame, min_duration_seconds: float = 30, api: str = "group_state") -> DataFrame:
@@ -437,7 +460,7 @@ def stream_downtime(src: DataFrame, min_duration_seconds: float = 30, api: str =
         if ROCKSDB_PROVIDER not in (spark.conf.get(key, "") or ""):
             spark.conf.set(key, ROCKSDB_PROVIDER)
         return rows.groupBy(S.HOST).transformWithStateInPandas(
-            OutageProcessor(min_duration_seconds), DOWNTIME_OUT_SCHEMA, "Append", "None"
+            outage_processor(min_duration_seconds), DOWNTIME_OUT_SCHEMA, "Append", "None"
         )
     if api != "group_state":
         raise ValueError("api must be 'group_state' or 'processor'")
