@@ -100,6 +100,18 @@ def q_stream_downtime_processor(spark, sf_dir):
     return _ntz(spark.read.parquet(f"{base}/out"))
 
 
+@register(
+    "stream_downtime_alerts",
+    downtime_sql(min_duration=360) + "\nSELECT * FROM dt",
+)
+def q_stream_downtime_alerts(spark, sf_dir):
+    """Alert feed from the stream: outages of at least 0.1 h."""
+    base = _run_dir(spark, "alerts")
+    src = _metric_stream(spark, sf_dir, base)
+    J.run_available_now(J.stream_downtime_alerts(src, 0.1), f"{base}/out", f"{base}/ckpt")
+    return _ntz(spark.read.parquet(f"{base}/out"))
+
+
 _LATE = "1 hour"
 
 

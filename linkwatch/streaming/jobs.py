@@ -473,6 +473,12 @@ def stream_downtime(src: DataFrame, min_duration_seconds: float = 30, api: str =
     )
 
 
+def stream_downtime_alerts(src: DataFrame, min_hours: float, api: str = "group_state") -> DataFrame:
+    """Alert feed: outages of at least ``min_hours`` hours, emitted when they end."""
+    out = stream_downtime(src, min_duration_seconds=float(min_hours) * 3600.0, api=api)
+    return out.where(F.col("duration_seconds") >= F.lit(float(min_hours) * 3600.0))
+
+
 # ---------------------------------------------------------------------------
 # helpers for finite runs (tests, registered queries)
 # ---------------------------------------------------------------------------
