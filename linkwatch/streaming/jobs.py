@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from typing import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
