@@ -151,3 +151,20 @@ def test_duplicate_keys(spark):
     rows = flags_to_rows("FF") + flags_to_rows("F")  # id 1 twice at T0
     out = P.duplicate_keys(make_pm(spark, rows)).collect()
     assert [(r[S.ID], r["duplicates"]) for r in out] == [(1, 2)]
+
+
+def test_documented_label_rules(spark):
+    from datetime import datetime
+
+    df = spark.createDataFrame([(1.005, 2.675, datetime(2024, 1, 2, 0, 0, 5))], "a double, b double, t timestamp_ntz")
+    r = df.select(
+        PR.fixed("a", 2).alias("a2"),
+        PR.fixed("b", 2, "ms").alias("b2"),
+        PR.fixed("b", 1, "%").alias("b1"),
+        PR.clock_label("t").alias("clock"),
+        PR.bucket_label("t").alias("label"),
+    ).first()
+    # half-up on the decimal value (a browser's toFixed gives 1.00 for 1.005)
+    assert r["a2"] == "1.01" and r["b2"] == "2.68ms" and r["b1"] == "2.7%"
+    # 24-hour clock, midnight as 00
+    assert r["clock"] == "00:00:05" and r["label"] == "Jan 2, 00:00"
