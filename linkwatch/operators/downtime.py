@@ -60,7 +60,7 @@ def loss_transitions(
     hours: float | None = None,
     host: str | None = None,
     chunk_unit: str = "hour",
-    materialize: bool = True,
+    materialize: bool | None = None,
 ) -> DataFrame:
     """Every row with its previous flag ``prev_packet_loss`` and edge flags.
 
@@ -82,14 +82,35 @@ def loss_transitions(
     )
 
 
-def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False, persist: bool = True) -> DataFrame:
-    """The edge set (see ``edge_frame``), materialised unless ``persist`` is off."""
+MATERIALIZE_THRESHOLD_CONF = "spark.linkwatch.materializeThresholdBytes"
+MATERIALIZE_THRESHOLD_DEFAULT = 32 * 1024 * 1024
+
+
+def _should_materialize(rows: DataFrame, persist: bool | None) -> bool:
+    """Explicit choice, or (``None``) Catalyst's size estimate of the input
+    against ``spark.linkwatch.materializeThresholdBytes`` (32 MiB): small
+    inputs recompute the window stage more cheaply than they write it."""
+    if persist is not None:
+        return bool(persist)
+    spark = rows.sparkSession
+    limit = int(spark.conf.get(MATERIALIZE_THRESHOLD_CONF, str(MATERIALIZE_THRESHOLD_DEFAULT)))
+    try:
+        est = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(est) if isinstance(est, int) else int(est.toString())
+    except Exception:  # noqa: BLE001 - no estimate: take the scale-safe path
+        return True
+    return size >= limit
+
+
+def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False, persist: bool | None = None) -> DataFrame:
+    """The edge set (see ``edge_frame``), materialised unless ``persist`` says
+    otherwise (``None``: decided from the input's estimated size)."""
     # The edge set feeds both the per-chunk summary and the numbering; it is
     # written once to the shared checkpoint folder so the scan, shuffle and
     # sort run once (and lineage is cut for executor loss). Without it the
     # plan stays lazy and the window stage runs for each consumer.
     ef = edge_frame(rows, chunk_unit, keep_all)
-    return materialize(ef) if persist else ef
+    return materialize(ef) if _should_materialize(rows, persist) else ef
 
 
 def edge_frame(rows: DataFrame, chunk_unit: str = "hour", keep_all: bool = False) -> DataFrame:
@@ -187,7 +208,7 @@ def _chunk_summary(edges: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_edges(rows: DataFrame, chunk_unit: str, persist: bool = True) -> DataFrame:
+def _numbered_edges(rows: DataFrame, chunk_unit: str, persist: bool | None = None) -> DataFrame:
     """Starts and ends in one DataFrame: ``target_host, rn, start_time,
     end_time`` where exactly one of the two times is set."""
     edges = _edge_rows(rows, chunk_unit, persist=persist)
@@ -204,7 +225,7 @@ def _numbered_edges(rows: DataFrame, chunk_unit: str, persist: bool = True) -> D
     )
 
 
-def _paired(rows: DataFrame, chunk_unit: str, persist: bool = True) -> DataFrame:
+def _paired(rows: DataFrame, chunk_unit: str, persist: bool | None = None) -> DataFrame:
     """n-th start with n-th end per host: ``target_host, start_time, end_time``.
 
     An aggregation on the unique key ``(host, rn)`` (at most one start and
@@ -238,15 +259,16 @@ def downtime_periods(
     include_open: bool = False,
     chunk_unit: str = "hour",
     sort: bool = False,
-    materialize: bool = True,
+    materialize: bool | None = None,
 ) -> DataFrame:
     """Outages of every host (or one): ``target_host, start_time, end_time, duration_seconds``.
 
     ``hours=None`` analyses the full history. With ``include_open`` an outage
     still running at the end of the data is kept with ``end_time`` NULL and
-    its duration measured up to ``as_of``. ``materialize=False`` keeps the
-    plan lazy (no write at call time) at the cost of running the window
-    stage twice.
+    its duration measured up to ``as_of``. ``materialize``: ``True`` writes
+    the edge set once (scale path), ``False`` keeps the plan lazy (the
+    window stage runs for both consumers), ``None`` picks by the input's
+    estimated size (see ``_should_materialize``).
     """
     if min_duration_seconds < 0:
         raise ValueError("min_duration_seconds must be >= 0")

@@ -41,7 +41,7 @@ def test_recent_is_top_k(spark):
 
 def test_flagship_scans_input_once(spark):
     pm = make_pm(spark, flags_to_rows("FTTFTFFT" * 10))
-    dt = D.downtime_periods(pm, AS_OF, hours=None, min_duration_seconds=1)
+    dt = D.downtime_periods(pm, AS_OF, hours=None, min_duration_seconds=1, materialize=True)
     p = plan(dt)
     # the edge set is written once to the checkpoint folder; the final plan reads it,
     # never the source rows, and pairs starts/ends by an aggregate on
@@ -109,3 +109,15 @@ def test_latest_on_stored_table_prunes_dates(spark, tmp_path):
     got = sorted(tuple(r) for r in df.collect())
     want = sorted(tuple(r) for r in L.latest_per_host(load_pm(spark, SF_SMALL)).collect())
     assert got == want
+
+
+def test_materialisation_follows_size_estimate(spark):
+    # small Parquet input: lazy; inputs without statistics: the scale-safe path
+    pm = load_pm(spark, SF_SMALL)
+    assert "edges-" not in plan(D.downtime_periods(pm, AS_OF, hours=None))
+    assert "edges-" in plan(D.downtime_periods(make_pm(spark, flags_to_rows("FTTF")), AS_OF, hours=None))
+    spark.conf.set(D.MATERIALIZE_THRESHOLD_CONF, "0")
+    try:
+        assert "edges-" in plan(D.downtime_periods(pm, AS_OF, hours=None))
+    finally:
+        spark.conf.unset(D.MATERIALIZE_THRESHOLD_CONF)

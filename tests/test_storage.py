@@ -82,7 +82,7 @@ def test_drop_scratch(spark):
     from linkwatch.session import drop_scratch
 
     drop_scratch(spark)
-    dt = D.downtime_periods(load_pm(spark, SF_SMALL), AS_OF, hours=None)
+    dt = D.downtime_periods(load_pm(spark, SF_SMALL), AS_OF, hours=None, materialize=True)
     assert dt.count() > 0
     base = spark.conf.get("spark.checkpoint.dir").replace("file:", "")
     before = len(os.listdir(base))
