@@ -6,10 +6,12 @@ Public entry points (all take and return DataFrames):
              ``normalize_probe``, ``apply_defaults``, ``assign_ids``, ``parse_probe_json``,
              ``provider_info``
 * filters:   ``since_hours``, ``since_minutes``, ``host_filter``, ``dns_only``,
-             ``watchlist_filter``, ``retention_keep``, ``retention_expired``, ``chart_series``
+             ``watchlist_filter``, ``retention_keep``, ``retention_expired``, ``chart_series``,
+             ``duplicate_keys``
 * stats:     ``hourly_stats``, ``host_summary``, ``overall_summary``, ``summary_by_range``,
              ``metrics_count``, ``distinct_hosts``, ``cycle_success``, ``live_host_count``
-* recency:   ``latest_per_host``, ``recent_metrics``, ``latest_metric``, ``current_response``
+* recency:   ``latest_per_host``, ``latest_rows``, ``latest_map``, ``recent_metrics``,
+             ``latest_metric``, ``current_response``
 * outages:   ``downtime_periods``, ``downtime_by_hour``, ``downtime_totals``,
              ``downtime_report``, ``event_ordinal``, ``affected_pings``
 * streaming: ``linkwatch.streaming.jobs``
@@ -26,6 +28,7 @@ from linkwatch.operators.downtime import (  # noqa: F401
 from linkwatch.operators.filters import (  # noqa: F401
     chart_series,
     dns_only,
+    duplicate_keys,
     host_filter,
     retention_expired,
     retention_keep,
@@ -35,8 +38,10 @@ from linkwatch.operators.filters import (  # noqa: F401
 )
 from linkwatch.operators.latest import (  # noqa: F401
     current_response,
+    latest_map,
     latest_metric,
     latest_per_host,
+    latest_rows,
     recent_metrics,
 )
 from linkwatch.operators.stats import (  # noqa: F401

@@ -116,3 +116,17 @@ def test_stream_ingest_json(spark, tmp_path):
     assert rows["a"][S.LOSS] is False and rows["b"][S.LOSS] is True and rows["b"][S.ERR] == "x"
     rej = sorted(r["reject_reason"] for r in spark.read.parquet(f"{base}/rej").collect())
     assert rej == ["Invalid JSON format", "target_host required"]
+
+
+def test_write_latest_table(spark, tmp_path):
+    rows = _rows(seed=6, n=40)
+    base = str(tmp_path)
+    stage_files(make_pm(spark, rows), f"{base}/in", n_files=2)
+    src = J.read_metric_stream(spark, f"{base}/in")
+    q = J.write_latest_table(J.stream_latest(src), f"{base}/snap", f"{base}/ck", trigger={"availableNow": True})
+    q.awaitTermination()
+    got = {r[S.HOST]: r[S.ID] for r in spark.read.parquet(f"{base}/snap").collect()}
+    want = {}
+    for r in rows:
+        want[r[2]] = r[0]
+    assert got == want
