@@ -92,7 +92,9 @@ def slot_schedule(targets: DataFrame) -> DataFrame:
     """(slot, source, rank, block, epoch) of every slot of the mix.
 
     Points are looked up by an equi-join on the cell of the point range. Slots
-    past the last permitted pass over a source are left out.
+    past the last permitted pass over a source are left out. Slots are made from
+    one row, so Spark takes them for few: the joins ask for sorted shuffles, else
+    the slots would be broadcast.
     """
     spark = targets.sparkSession
     spans = _intervals(targets)
@@ -109,7 +111,7 @@ def slot_schedule(targets: DataFrame) -> DataFrame:
     high, low = F.floor(i / 65536), i % 65536
     point = ((high * GOLDEN) % 65536 * 65536 + low * GOLDEN) % 2**32
     slots = slots.withColumn("point", point.cast("long")).withColumn("cell", F.floor(F.col("point") / width))
-    slots = slots.join(cells, "cell").where("point >= lo AND point < hi")
+    slots = slots.join(cells.hint("merge"), "cell").where("point >= lo AND point < hi")
     part = W.partitionBy("chunk", "source").orderBy("slot")
     slots = slots.select("slot", "chunk", "source", "blocks", F.row_number().over(part).alias("nth"))
     counts = slots.groupBy("source", "chunk").agg(F.count("*").alias("n"))
@@ -117,7 +119,7 @@ def slot_schedule(targets: DataFrame) -> DataFrame:
     counts = counts.select(
         F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
     )
-    slots = slots.join(counts, (F.col("chunk") == F.col("c")) & F.col("source").eqNullSafe(F.col("s")))
+    slots = slots.join(counts.hint("merge"), (F.col("chunk") == F.col("c")) & F.col("source").eqNullSafe(F.col("s")))
     rank = F.col("offset") + F.col("nth") - 1
     return slots.select(
         "slot", "source", rank.alias("rank"), (rank % F.col("blocks")).alias("block"), F.floor(rank / F.col("blocks")).alias("epoch")
@@ -156,15 +158,15 @@ def mix_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
     rows. Other columns are ignored.
 
     ``parts``: parts in which a source's documents are summed; by default one
-    for about 20,000 documents.
+    for about 5,000 documents.
     """
     sizes = written(document_sizes(docs), "mix-sizes")
-    parts = parts or max(1, sizes.count() // 20_000)
+    parts = parts or max(1, sizes.count() // 5_000)
     targets = source_targets(sizes)
     taken = slot_schedule(targets).groupBy("source", "block").agg(F.count("*").alias("times"))
     taken = taken.select(F.col("source").alias("s"), F.col("block").alias("b"), "times")
     pieces = shuffled_pieces(sizes, targets, parts)
-    pieces = pieces.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    pieces = pieces.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     # A document with words is alone at its begin; only empty rows that repeat a doc_id share one.
     out = pieces.groupBy("source", "begin", "doc_id", "size").agg(
         F.first("source_size").alias("source_size"),
@@ -229,7 +231,7 @@ WITH d AS (
   SELECT r, doc_id, source, size,
          coalesce(sum(size) OVER (PARTITION BY source ORDER BY part, k, doc_id, size
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
-  FROM (SELECT *, ('0x' || substr(k, 1, 8))::BIGINT % greatest(1, (SELECT count(*) FROM d) // 20000) AS part FROM d)
+  FROM (SELECT *, ('0x' || substr(k, 1, 8))::BIGINT % greatest(1, (SELECT count(*) FROM d) // 5000) AS part FROM d)
 ), pieces AS (
   SELECT r, source, block, least(b + size, (block + 1) * bw) - greatest(b, block * bw) AS words
   FROM (SELECT placed.*, bw, unnest(range(b // bw, (b + size - 1) // bw + 1)) AS block
