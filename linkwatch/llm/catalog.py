@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwatch.llm import licenses, line_dedup, mixing
+from linkwatch.llm import licenses, line_dedup, mixing, quality_rules
 from linkwatch.llm.common import read_table
 
 
@@ -15,6 +15,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the verdict of the voting rules for every document."""
+    return quality_rules.judge_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that stood earlier."""
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -26,7 +31,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licenses, op6_line_dedup, op8_mixing)
+    every = (op1_licenses, op4_quality_rules, op6_line_dedup, op8_mixing)
     return {f.__name__: f for f in every}
 
 
