@@ -1,21 +1,20 @@
 """License scan: texts against licence templates by Dice similarity of word bigrams.
 
-Each document offers its lines, its paragraphs (split at blank lines) and its
-whole text. A span and a template are normalised alike; their Dice coefficient
+Each document offers its lines, its paragraphs and its whole text. A span and a template are normalised alike; their Dice coefficient
 ``2 * common / (a + b)`` can only reach the threshold ``t`` if the sizes keep
 ``t / (2 - t) <= a / b <= (2 - t) / t``. The permitted sizes of the templates are
 the key of an equi-join, so a span meets only the templates it could match.
+Before that, texts without any of the ``telling_words`` are passed by: they
+can't reach the threshold with any template.
 """
 
 from __future__ import annotations
 
-import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwatch.llm.common import WORD
-
 #: Share of bigrams in common from which a span counts as the licence.
 THRESHOLD = 0.8
 
@@ -58,12 +57,6 @@ def bigrams(norm: Column) -> Column:
     return F.when(norm == "", F.array().cast("array<string>")).when(F.size(w) == 1, w).otherwise(F.array_distinct(pairs))
 
 
-def size_bounds(n: int, threshold: float) -> tuple[int, int]:
-    """Least and greatest number of bigrams that can reach the threshold against ``n``."""
-    ratio = threshold / (2 - threshold)
-    return math.ceil(n * ratio - 1e-9), math.floor(n / ratio + 1e-9)
-
-
 def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(template_id, license, grams, n, size): a row for each size a span may have.
 
@@ -79,18 +72,46 @@ def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float =
     return t.withColumn("size", F.explode(F.sequence(least.cast("int"), most.cast("int"))))
 
 
-def candidate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, span_kind, span_no, norm): whole texts, paragraphs and lines that differ from them."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines, paragraphs = F.split(text, "\n"), F.split(text, "\n[\\x20\\x09\\x0D]*\n")
-    cut = lambda parts, kind: F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("span_kind"), i.alias("span_no"), p.alias("body")))
-    whole = F.array(F.struct(F.lit("document").alias("span_kind"), F.lit(0).alias("span_no"), text.alias("body")))
-    spans = F.concat(
-        whole,
-        F.when(F.size(paragraphs) > 1, cut(paragraphs, "paragraph")).otherwise(F.array().cast("array<struct<span_kind:string,span_no:int,body:string>>")),
-        F.when(F.size(lines) > 1, cut(lines, "line")).otherwise(F.array().cast("array<struct<span_kind:string,span_no:int,body:string>>")),
+def telling_words(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every matching span holds at least one.
+
+    A span that reaches the threshold ``t`` holds at least ``t / (2 - t)`` of the
+    template's bigrams. So if more than the rest of them touch a few words, the
+    span holds one of these. The longest words are taken, as the rarest.
+    """
+    out: set[str] = set()
+    for _, text in templates:
+        grams = {tuple(g.split(" ")) for g in _plain_bigrams(text)}
+        need = (1 - threshold / (2 - threshold)) * len(grams) + 1e-9
+        touched: set[tuple[str, ...]] = set()
+        for w in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+            touched |= {g for g in grams if w in g}
+            out.add(w)
+            if len(touched) > need:
+                break
+    return sorted(out)
+
+
+def candidate_spans(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, span_kind, span_no, norm): spans that hold one of ``words``.
+
+    The whole text; its paragraphs, parted by lines without a letter or digit,
+    and its lines, where there are several.
+    """
+    norm = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[^a-z0-9\n]+", " ")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
+    rows = rows.withColumn("whole", F.trim(F.translate("norm", "\n", " ")))
+    telling = F.array(*map(F.lit, words))
+    some = lambda body: F.arrays_overlap(F.split(body, " "), telling)
+    rows = rows.where(some(F.col("whole")))
+    parts = lambda cut, kind: F.filter(
+        F.transform(F.split("norm", cut), lambda p, i: F.struct(F.lit(kind).alias("span_kind"), i.alias("span_no"), F.trim(F.translate(p, "\n", " ")).alias("norm"))),
+        lambda s: some(s["norm"]),
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(spans).alias("s")).select("doc_id", "s.*")
+    several = lambda cut, kind: F.when(F.size(F.split("norm", cut)) > 1, parts(cut, kind))
+    whole = F.array(F.struct(F.lit("document").alias("span_kind"), F.lit(0).alias("span_no"), F.regexp_replace("whole", " +", " ").alias("norm")))
+    found = F.flatten(F.array_compact(F.array(whole, several("\n[ \n]*\n", "paragraph"), several("\n", "line"))))
+    return rows.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -103,13 +124,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     """
     spark = docs.sparkSession
     t = template_table(spark, templates, threshold)
-    spans = candidate_spans(docs)
-    # Bounds on the characters go before the work on words: a bigram has two words at
-    # least, and a span within the greatest size cannot have more words than all
-    # its repeats allow, so only the lower bound is used.
-    least = min(size_bounds(len(set(_plain_bigrams(text))), threshold)[0] for _, text in templates)
-    spans = spans.where(F.length("body") >= 2 * least)
-    spans = spans.select("doc_id", "span_kind", "span_no", bigrams(normalised(F.col("body"))).alias("found"))
+    spans = candidate_spans(docs, telling_words(templates, threshold))
+    spans = spans.select("doc_id", "span_kind", "span_no", bigrams(F.regexp_replace("norm", " +", " ")).alias("found"))
     spans = spans.withColumn("size", F.size("found"))
     pairs = spans.join(F.broadcast(t), "size")  # the caller's templates, see template_table
     common = F.size(F.array_intersect("found", "grams"))
@@ -119,8 +135,6 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
 
 
 def _plain_bigrams(text: str) -> list[str]:
-    import re
-
     w = re.sub(_OTHER, " ", text.lower()).split()
     return [f"{a} {b}" for a, b in zip(w, w[1:])] or w
 
@@ -137,7 +151,7 @@ WITH t AS (
   FROM (SELECT license, trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')) AS norm
         FROM (VALUES {rows}) v(i, license, body))
 ), d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-para AS (SELECT doc_id, regexp_split_to_array(text, '\\n[\\x20\\x09\\x0D]*\\n') AS x FROM d),
+para AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\n]+', ' ', 'g'), '\\n[ \\n]*\\n') AS x FROM d),
 line AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM d),
 spans AS (
   SELECT doc_id, 2 AS k, 'document' AS span_kind, 0 AS span_no, text AS body FROM d
