@@ -204,14 +204,18 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
 
 
 def best_mates(blocks: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b): for each class of a group its most similar mate of another component."""
+    """(a, b): for each class of a group its most similar mate of another component.
+
+    The most similar mate of all is so in every bucket that both share; it is
+    named in the first of these only.
+    """
     steps, percent = plan.least_matches(), plan.percent
 
     def of_group(g: pd.DataFrame) -> pd.DataFrame:
         p, node = likely_in_block(g, steps, percent), g["node"].to_numpy()
         p = np.concatenate([p, p[:, [1, 0, 2]]])
         p = p[np.lexsort((node[p[:, 1]], -p[:, 2], p[:, 0]))]
-        p = p[np.unique(p[:, 0], return_index=True)[1]]
+        p = _first_band(g, p[np.unique(p[:, 0], return_index=True)[1]])
         return _ordered(node[p[:, 0]], node[p[:, 1]])
 
     return by_group(blocks, of_group, "a long, b long").distinct()
