@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwatch.llm import licenses, line_dedup, mixing, near_dup, quality_rules
+from linkwatch.llm import decontamination, licenses, line_dedup, mixing, near_dup, quality_rules
 from linkwatch.llm.common import read_table
 
 
@@ -30,13 +30,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held by every document."""
+    return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licenses, op4_quality_rules, op6_line_dedup, op8_mixing, op10_near_dup)
+    every = (op1_licenses, op4_quality_rules, op6_line_dedup, op8_mixing, op9_decontamination, op10_near_dup)
     return {f.__name__: f for f in every}
 
 

@@ -46,3 +46,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed once.
+
+    The optimiser copies the expression of a column into every later one that uses
+    it, filters and lambda bodies too, where a text would be split anew for each
+    element. It doesn't move expressions past a row number that is in use.
+    """
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where("_fence >= 0").drop("_fence")

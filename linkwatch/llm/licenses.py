@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkwatch.llm.common import fenced
+
 #: Share of bigrams in common from which a span counts as the licence.
 THRESHOLD = 0.8
 
@@ -99,7 +101,7 @@ def candidate_spans(docs: DataFrame, words: list[str]) -> DataFrame:
     and its lines, where there are several.
     """
     norm = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[^a-z0-9\n]+", " ")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
+    rows = fenced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")))
     rows = rows.withColumn("whole", F.trim(F.translate("norm", "\n", " ")))
     telling = F.array(*map(F.lit, words))
     some = lambda body: F.arrays_overlap(F.split(body, " "), telling)
@@ -111,7 +113,8 @@ def candidate_spans(docs: DataFrame, words: list[str]) -> DataFrame:
     several = lambda cut, kind: F.when(F.size(F.split("norm", cut)) > 1, parts(cut, kind))
     whole = F.array(F.struct(F.lit("document").alias("span_kind"), F.lit(0).alias("span_no"), F.regexp_replace("whole", " +", " ").alias("norm")))
     found = F.flatten(F.array_compact(F.array(whole, several("\n[ \n]*\n", "paragraph"), several("\n", "line"))))
-    return rows.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
+    rows = fenced(rows.select("doc_id", found.alias("found")))
+    return rows.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from linkwatch.llm.common import WORD
+from linkwatch.llm.common import WORD, fenced
 
 #: A run of lines goes if it stood earlier and has so many words.
 MIN_WORDS = 25
@@ -43,8 +43,8 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
         lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(_EDGES))).alias("hash"), F.regexp_count(x, F.lit(WORD)).alias("words")),
     )
     worded = F.filter(lines, lambda x: x["words"] > 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.posexplode(worded).alias("pos", "x"))
-    return rows.select("doc_id", "key", "pos", "x.*")
+    rows = fenced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), worded.alias("lines")))
+    return rows.select("doc_id", "key", F.posexplode("lines").alias("pos", "x")).select("doc_id", "key", "pos", "x.*")
 
 
 def window_fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
