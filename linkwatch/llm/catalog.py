@@ -46,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+    return {"op1_licenses": licenses.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op9_decontamination": decontamination.ORACLE_SQL}

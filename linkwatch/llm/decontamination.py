@@ -159,13 +159,15 @@ def candidate_windows(suspects: DataFrame, known: DataFrame, threshold: float) -
     return windows.join(whole, same).select(windows["doc_id"], "length", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("words"))
 
 
+def word_shingles(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
+
+
 def weighted_similarity(a: Column, b: Column) -> Column:
-    """Sum of the lesser counts over the sum of the greater counts of the shingles of two arrays of words."""
-    shingles = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.slice(w, i, SHINGLE))
+    """Sum of the lesser counts over the sum of the greater counts of two arrays of shingles."""
     count = lambda all_, x: F.size(F.filter(all_, lambda y: y == x))
-    sa, sb = shingles(a), shingles(b)
-    common = F.aggregate(F.array_distinct(sa), F.lit(0), lambda n, x: n + F.least(count(sa, x), count(sb, x)))
-    return common / (F.size(sa) + F.size(sb) - common)
+    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    return common / (F.size(a) + F.size(b) - common)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,7 +194,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     asked = prints.withColumn("b", F.explode(blocks_of(F.col("print")))).select("length", "wording", "words", "print", "b.*")
     close = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
     pairs = asked.join(listed_items(items), ["length", "block", "value"]).where(close).dropDuplicates(["length", "wording", "item_id", "item_words"])
-    sure = pairs.withColumn("similarity", weighted_similarity(F.col("words"), F.col("item_words"))).where(F.col("similarity") >= threshold)
+    pairs = fenced(pairs.withColumns({"a": word_shingles(F.col("words")), "b": word_shingles(F.col("item_words"))}))
+    pairs = fenced(pairs.withColumn("similarity", weighted_similarity(F.col("a"), F.col("b"))))
+    sure = pairs.where(F.col("similarity") >= threshold)
     found = windows.select("doc_id", "length", "start", "wording").join(sure.select("length", "wording", "item_id", "similarity"), ["length", "wording"])
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"))
@@ -202,3 +206,40 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """The rows of ``docs`` that hold no item, with all their columns. A null doc_id is a document like others."""
     held = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_held")).distinct()
     return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col("_held")), "left_anti")
+
+
+#: Every window that shares a shingle with an item of its length, compared in full.
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g'),
+                                                  '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g'),
+                                                   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark
+), item AS (
+  SELECT item_id, len(w) AS length, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM b WHERE len(w) >= {SHINGLE})
+), item_count AS (
+  SELECT item_id, length, s, count(*) AS c FROM item GROUP BY ALL
+), place AS (
+  SELECT doc_id, n, i - 1 AS i, s FROM (
+    SELECT doc_id, len(w) AS n, i, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s
+    FROM (SELECT *, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM d WHERE len(w) >= {SHINGLE}))
+  WHERE s IN (SELECT s FROM item)
+), starts AS (
+  SELECT DISTINCT doc_id, item_id, length, size, start FROM (
+    SELECT doc_id, item_id, length, size, unnest(range(greatest(0, i - size + {SHINGLE}), least(i, n - size) + 1)) AS start
+    FROM (SELECT place.*, item_id, length, least(length, n) AS size FROM place JOIN item_count USING (s)))
+), common AS (
+  SELECT doc_id, item_id, length, size, start, s, count(*) AS c
+  FROM starts JOIN place USING (doc_id) WHERE i BETWEEN start AND start + size - {SHINGLE} GROUP BY ALL
+), score AS (
+  SELECT doc_id, item_id, length, size, start, sum(least(common.c, item_count.c)) AS n
+  FROM common JOIN item_count USING (item_id, length, s) GROUP BY ALL
+), sim AS (
+  SELECT *, n::DOUBLE / (size + length - {2 * (SHINGLE - 1)} - n) AS similarity FROM score
+)
+SELECT doc_id, item_id, max(similarity) AS similarity,
+       max_by(start, struct_pack(a := similarity, b := -start))::INTEGER AS start
+FROM sim WHERE similarity >= {THRESHOLD} GROUP BY doc_id, item_id
+"""
