@@ -41,7 +41,7 @@ BAND_ROWS = 5
 #: Signature values compared before each decision.
 BATCH = 20
 #: Classes of a bucket compared by one task at a time.
-BLOCK = 256
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
