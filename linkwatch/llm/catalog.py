@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwatch.llm import decontamination, licenses, line_dedup, mixing, near_dup, quality_rules
+from linkwatch.llm import decontamination, licenses, line_crf, line_dedup, mixing, near_dup, quality_rules, toxicity
 from linkwatch.llm.common import read_table
 
 
@@ -15,6 +15,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its lines."""
+    return line_crf.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the verdict of the voting rules for every document."""
     return quality_rules.judge_documents(read_table(spark, sf_dir, "documents"))
@@ -25,6 +30,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by compression."""
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix_documents(read_table(spark, sf_dir, "documents"))
@@ -41,7 +51,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licenses, op4_quality_rules, op6_line_dedup, op8_mixing, op9_decontamination, op10_near_dup)
+    every = (op1_licenses, op3_quality_crf, op4_quality_rules, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup)
     return {f.__name__: f for f in every}
 
 
