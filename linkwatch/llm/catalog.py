@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwatch.llm import decontamination, licenses, line_crf, line_dedup, mixing, near_dup, quality_rules, toxicity
+from linkwatch.llm import decontamination, html_text, licenses, line_crf, line_dedup, mixing, near_dup, quality_rules, toxicity, warc_zip
 from linkwatch.llm.common import read_table
 
 
@@ -15,6 +15,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by its lines."""
     return line_crf.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -25,6 +30,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written to ZIP packages and read back."""
+    out = warc_zip.archive_round_trip(read_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that stood earlier."""
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -51,9 +62,15 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licenses, op3_quality_crf, op4_quality_rules, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup)
+    every = (op1_licenses, op2_html_text, op3_quality_crf, op4_quality_rules, op5_warc_zip, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op9_decontamination": decontamination.ORACLE_SQL}
+    return {
+        "op1_licenses": licenses.ORACLE_SQL,
+        "op5_warc_zip": warc_zip.ORACLE_SQL,
+        "op6_line_dedup": line_dedup.ORACLE_SQL,
+        "op8_mixing": mixing.ORACLE_SQL,
+        "op9_decontamination": decontamination.ORACLE_SQL,
+    }
