@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from linkwatch.llm import decontamination, html_text, licenses, line_crf, line_dedup, mixing, near_dup, quality_rules, toxicity, warc_zip
@@ -63,7 +64,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_licenses, op2_html_text, op3_quality_crf, op4_quality_rules, op5_warc_zip, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup)
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
