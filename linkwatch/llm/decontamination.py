@@ -205,7 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns. A null doc_id is a document like others."""
     held = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col("_held")), "left_anti")
+    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(held["_held"]), "left_anti")
 
 
 #: Every window that shares a shingle with an item of its length, compared in full.

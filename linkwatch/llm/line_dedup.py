@@ -105,21 +105,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     columns stay, whatever their names, but for ``n_removed``, which is
     replaced. An empty table gives an empty one.
     """
-    gone = repeated_lines(docs, min_words).select(F.struct("doc_id", "key", "gone").alias("_found"))
+    gone = repeated_lines(docs, min_words).select(F.struct("doc_id", "key", "gone").alias("found"))
     docs = docs.drop("n_removed")
     names = docs.columns
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_found.doc_id")) & (F.col("_key") == F.col("_found.key"))
-    out = docs.withColumn("_key", text_key(F.col("text"))).join(gone, same, "left")
-    out = out.withColumns({"_gone": F.col("_found.gone"), "_lines": F.when(F.col("_found").isNotNull(), F.split("text", "\n"))})
-    lines = F.col("_lines")
+    # The row is one column, so that no name of its own meets those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("text_key"))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("found.doc_id")) & (F.col("text_key") == F.col("found.key")), "left")
+    out = out.select("row", F.col("found.gone").alias("gone"), F.when(F.col("found").isNotNull(), F.split("row.text", "\n")).alias("lines"))
+    lines = F.col("lines")
     places = F.sequence(F.lit(0), F.size(lines) - 1)
-    out = out.withColumn("_worded", F.filter(places, lambda i: F.get(lines, i).rlike(WORD)))
-    stay = F.array_except(places, F.transform("_gone", lambda p: F.get(F.col("_worded"), p)))
-    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    out = out.withColumn("_left", left)
-    text = F.when(F.col("_found").isNull(), F.col("text")).when(F.col("_left").rlike(WORD), F.col("_left")).otherwise("")
-    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed")
-    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], n_removed)
+    out = fenced(out.withColumn("worded", F.filter(places, lambda i: F.get(lines, i).rlike(WORD))))
+    stay = F.array_except(places, F.transform("gone", lambda p: F.get(F.col("worded"), p)))
+    out = fenced(out.withColumn("left", F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).when(F.col("left").rlike(WORD), F.col("left")).otherwise("")
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed")
+    return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], n_removed)
 
 
 #: The rule in plain SQL: pairs of equal lines lie on diagonals; stretches of a

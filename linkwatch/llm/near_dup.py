@@ -82,21 +82,22 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for doc_id, text in zip(f["doc_id"], f["text"]):
-                s = shingle_set(text, k)
-                row = (None if pd.isna(doc_id) else int(doc_id), len(s))
-                if len(s):
-                    sig = signature(s, values)
-                    rows.append((*row, xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), band_keys(sig, BAND_ROWS)))
-                else:
-                    rows.append((*row, None, None, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "sig", "bands"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        of, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
-    )
+            sets = [shingle_set(t, k) for t in f["text"]]
+            sigs = [signature(x, values) if len(x) else None for x in sets]
+            yield pd.DataFrame(
+                {
+                    "doc_id": f["doc_id"],
+                    "n_shingles": [len(x) for x in sets],
+                    "set_key": [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets],
+                    "sig": [None if x is None else x.tobytes() for x in sigs],
+                    "bands": [None if x is None else band_keys(x, BAND_ROWS) for x in sigs],
+                }
+            )
+
+    # The doc_id travels as text: pandas would make a number that may be null a float.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInPandas(of, "doc_id string, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def alike(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -253,8 +253,9 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     file.seek(int(start))
                     data = file.read(int(ends[-1]) - int(start))
                 cuts = [0, *(int(e) - int(start) for e in ends)]
-                rows = pd.DataFrame([parse_record(zlib.decompress(data[a:b], 31)) for a, b in zip(cuts, cuts[1:])], columns=names)
-                yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
+                rows = [parse_record(zlib.decompress(data[a:b], 31)) for a, b in zip(cuts, cuts[1:])]
+                # Numbers that may be null would become floats in a plain column.
+                yield pd.DataFrame({n: pd.array([r[n] for r in rows], dtype="Int64" if n in ("page_id", "refers_to") else None) for n in names})
 
     ranges = written(record_ranges(manifest), "warc-ranges").repartition(F.col("path"), F.col("start"))
     return ranges.mapInPandas(of, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean")
