@@ -120,7 +120,8 @@ def listed_items(items: DataFrame) -> DataFrame:
 
 def suspect_documents(docs: DataFrame, table: list[int], least: int) -> DataFrame:
     """(doc_id, words, hits): documents with at least ``least`` places whose shingle the table knows."""
-    known = F.array(*map(F.lit, table))
+    # One literal, which Spark folds to an array.
+    known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
     rows = fenced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_words(F.col("text")).alias("words")))
     hashes = F.transform(places(F.size("words")), lambda i: shingle_at(F.col("words"), i))
     rows = fenced(rows.withColumn("hashes", hashes))
