@@ -60,7 +60,7 @@ def loss_transitions(
     hours: float | None = None,
     host: str | None = None,
     chunk_unit: str = "hour",
-    materialize: bool | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Every row with its previous flag ``prev_packet_loss`` and edge flags.
 
@@ -82,35 +82,12 @@ def loss_transitions(
     )
 
 
-MATERIALIZE_THRESHOLD_CONF = "spark.linkwatch.materializeThresholdBytes"
-MATERIALIZE_THRESHOLD_DEFAULT = 32 * 1024 * 1024
-
-
-def _should_materialize(rows: DataFrame, persist: bool | None) -> bool:
-    """Explicit choice, or (``None``) Catalyst's size estimate of the input
-    against ``spark.linkwatch.materializeThresholdBytes`` (32 MiB): small
-    inputs recompute the window stage more cheaply than they write it."""
-    if persist is not None:
-        return bool(persist)
-    spark = rows.sparkSession
-    limit = int(spark.conf.get(MATERIALIZE_THRESHOLD_CONF, str(MATERIALIZE_THRESHOLD_DEFAULT)))
-    try:
-        est = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(est) if isinstance(est, int) else int(est.toString())
-    except Exception:  # noqa: BLE001 - no estimate: take the scale-safe path
-        return True
-    return size >= limit
-
-
-def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False, persist: bool | None = None) -> DataFrame:
-    """The edge set (see ``edge_frame``), materialised unless ``persist`` says
-    otherwise (``None``: decided from the input's estimated size)."""
-    # The edge set feeds both the per-chunk summary and the numbering; it is
-    # written once to the shared checkpoint folder so the scan, shuffle and
-    # sort run once (and lineage is cut for executor loss). Without it the
-    # plan stays lazy and the window stage runs for each consumer.
+def _edge_rows(rows: DataFrame, chunk_unit: str, keep_all: bool = False, persist: bool = False) -> DataFrame:
+    """The edge set (see ``edge_frame``). It feeds both the per-chunk summary
+    and the numbering: lazily through one reused exchange, or, if the caller
+    asks for it, through a table written once to the checkpoint folder."""
     ef = edge_frame(rows, chunk_unit, keep_all)
-    return materialize(ef) if _should_materialize(rows, persist) else ef
+    return materialize(ef) if persist else ef
 
 
 def edge_frame(rows: DataFrame, chunk_unit: str = "hour", keep_all: bool = False) -> DataFrame:
@@ -119,8 +96,13 @@ def edge_frame(rows: DataFrame, chunk_unit: str = "hour", keep_all: bool = False
     Keeps starts, ends and the first and last row of every chunk (all rows
     with ``keep_all``). Shuffled by ``(host, chunk)``: one host's history is
     spread over as many tasks as it has chunks.
+
+    Host and time are never null. Saying so here keeps Spark from inferring it
+    in one of the two consumers only, after which their plans differ and the
+    scan and the exchange would not be shared.
     """
     base = rows.select(S.HOST, S.TS, S.ID, S.LOSS, bucket(S.TS, chunk_unit).alias(CHUNK))
+    base = base.where(F.col(S.HOST).isNotNull() & F.col(CHUNK).isNotNull())
     w = Window.partitionBy(S.HOST, CHUNK).orderBy(S.TS, S.ID)
     loss = F.col(S.LOSS)
     prev = F.col("prev")
@@ -134,7 +116,17 @@ def edge_frame(rows: DataFrame, chunk_unit: str = "hour", keep_all: bool = False
     not_first = ~F.col("is_first")
     local_start = not_first & F.coalesce(loss, F.lit(False)) & F.coalesce(~prev, F.lit(True))
     local_end = not_first & F.coalesce((loss == F.lit(False)) & (prev == F.lit(True)), F.lit(False))
-    stage2 = stage1.select("*", local_start.alias("local_start"), local_end.alias("local_end"))
+    lost = F.coalesce(loss, F.lit(False)).cast("long")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stage2 = stage1.select(
+        "*",
+        local_start.alias("local_start"),
+        local_end.alias("local_end"),
+        # losses in the chunk before this row, and in all of it (used by affected_pings)
+        F.coalesce(F.sum(lost).over(before), F.lit(0)).cast("long").alias("lost_before"),
+        F.sum(lost).over(every).cast("long").alias("n_local_lost"),
+    )
     if not keep_all:
         stage2 = stage2.where(
             F.col("local_start") | F.col("local_end") | F.col("is_first") | F.col("is_last")
@@ -180,6 +172,7 @@ def _chunk_summary(edges: DataFrame) -> DataFrame:
         "last_loss",
         "n_local_start",
         "n_local_end",
+        "n_local_lost",
     )
     ws = Window.partitionBy(S.HOST).orderBy(CHUNK)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
@@ -191,6 +184,7 @@ def _chunk_summary(edges: DataFrame) -> DataFrame:
         CHUNK,
         "n_local_start",
         "n_local_end",
+        "n_local_lost",
         pcl.alias("prev_chunk_last"),
         first_start.alias("first_start"),
         first_end.alias("first_end"),
@@ -205,12 +199,15 @@ def _chunk_summary(edges: DataFrame) -> DataFrame:
         "first_end",
         F.coalesce(F.sum(n_s).over(before), F.lit(0)).cast("long").alias("s_off"),
         F.coalesce(F.sum(n_e).over(before), F.lit(0)).cast("long").alias("e_off"),
+        F.coalesce(F.sum("n_local_lost").over(before), F.lit(0)).cast("long").alias("lost_off"),
+        F.sum("n_local_lost").over(Window.partitionBy(S.HOST)).cast("long").alias("lost_total"),
     )
 
 
-def _numbered_edges(rows: DataFrame, chunk_unit: str, persist: bool | None = None) -> DataFrame:
+def _numbered_edges(rows: DataFrame, chunk_unit: str, persist: bool = False) -> DataFrame:
     """Starts and ends in one DataFrame: ``target_host, rn, start_time,
-    end_time`` where exactly one of the two times is set."""
+    end_time`` where exactly one of the two times is set, with the host's
+    losses before the row (``lost``) and altogether (``lost_total``)."""
     edges = _edge_rows(rows, chunk_unit, persist=persist)
     j = edges.join(_chunk_summary(edges), on=[S.HOST, CHUNK], how="inner")
     is_start = F.col("local_start") | (F.col("is_first") & F.col("first_start"))
@@ -222,20 +219,28 @@ def _numbered_edges(rows: DataFrame, chunk_unit: str, persist: bool | None = Non
         F.when(is_start, s_rn).otherwise(e_rn).cast("long").alias("rn"),
         F.when(is_start, F.col(S.TS)).alias("start_time"),
         F.when(is_end, F.col(S.TS)).alias("end_time"),
+        (F.col("lost_off") + F.col("lost_before")).alias("lost"),
+        "lost_total",
     )
 
 
-def _paired(rows: DataFrame, chunk_unit: str, persist: bool | None = None) -> DataFrame:
-    """n-th start with n-th end per host: ``target_host, start_time, end_time``.
+def _paired(rows: DataFrame, chunk_unit: str, persist: bool = False) -> DataFrame:
+    """n-th start with n-th end per host: ``target_host, start_time, end_time,
+    affected_pings`` (losses from the start up to the end, or to the last row).
 
     An aggregation on the unique key ``(host, rn)`` (at most one start and
     one end per key) instead of a join of two filtered copies.
     """
     numbered = _numbered_edges(rows, chunk_unit, persist)
+    at_start, at_end = F.col("start_time").isNotNull(), F.col("end_time").isNotNull()
     pairs = numbered.groupBy(S.HOST, "rn").agg(
-        F.max("start_time").alias("start_time"), F.max("end_time").alias("end_time")
+        F.max("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        F.max(F.when(at_start, F.col("lost"))).alias("lost_at_start"),
+        F.coalesce(F.max(F.when(at_end, F.col("lost"))), F.max("lost_total")).alias("lost_at_end"),
     )
-    return pairs.where(F.col("start_time").isNotNull()).select(S.HOST, "start_time", "end_time")
+    affected = (F.col("lost_at_end") - F.col("lost_at_start")).alias("affected_pings")
+    return pairs.where(F.col("start_time").isNotNull()).select(S.HOST, "start_time", "end_time", affected)
 
 
 def outage_starts(pm: DataFrame, as_of=None, hours=None, host=None, chunk_unit: str = "hour") -> DataFrame:
@@ -259,17 +264,24 @@ def downtime_periods(
     include_open: bool = False,
     chunk_unit: str = "hour",
     sort: bool = False,
-    materialize: bool | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Outages of every host (or one): ``target_host, start_time, end_time, duration_seconds``.
 
     ``hours=None`` analyses the full history. With ``include_open`` an outage
     still running at the end of the data is kept with ``end_time`` NULL and
-    its duration measured up to ``as_of``. ``materialize``: ``True`` writes
-    the edge set once (scale path), ``False`` keeps the plan lazy (the
-    window stage runs for both consumers), ``None`` picks by the input's
-    estimated size (see ``_should_materialize``).
+    its duration measured up to ``as_of``. The plan is lazy and the same for
+    every input size; ``materialize=True`` writes the edge set to the shared
+    checkpoint folder first, for callers who use the result several times.
     """
+    out = _outages(pm, as_of, hours, host, min_duration_seconds, include_open, chunk_unit, materialize)
+    out = out.select(S.HOST, "start_time", "end_time", "duration_seconds")
+    if sort:  # API order: newest start first
+        out = out.orderBy(F.desc("start_time"), F.asc(S.HOST))
+    return out
+
+
+def _outages(pm, as_of, hours, host, min_duration_seconds, include_open, chunk_unit, materialize=False) -> DataFrame:
     if min_duration_seconds < 0:
         raise ValueError("min_duration_seconds must be >= 0")
     j = _paired(_window_rows(pm, as_of, hours, host), chunk_unit, materialize)
@@ -280,17 +292,14 @@ def downtime_periods(
         if as_of is None:
             raise ValueError("include_open needs as_of to measure open outages")
         dur = F.coalesce(dur, epoch_seconds(F.col("start_time"), ts_literal(as_of)))
-    out = j.select(S.HOST, "start_time", "end_time", dur.alias("duration_seconds"))
-    out = out.where(F.col("duration_seconds") >= F.lit(float(min_duration_seconds)))
-    if sort:  # API order: newest start first
-        out = out.orderBy(F.desc("start_time"), F.asc(S.HOST))
-    return out
+    out = j.select(S.HOST, "start_time", "end_time", dur.alias("duration_seconds"), "affected_pings")
+    return out.where(F.col("duration_seconds") >= F.lit(float(min_duration_seconds)))
 
 
 def downtime_pair_join(pm: DataFrame, as_of=None, hours=24, host=None, min_duration_seconds=30, chunk_unit="hour"):
     """The literal pairing form: starts LEFT JOIN ends on ``(host, rn)``, then
-    ``end_time IS NOT NULL`` (an inner join after Catalyst). Both sides are
-    read from the same materialised edge set."""
+    ``end_time IS NOT NULL`` (an inner join after Catalyst). Both sides read
+    the same edge set through one exchange."""
     n = _numbered_edges(_window_rows(pm, as_of, hours, host), chunk_unit)
     starts = n.where(F.col("start_time").isNotNull()).select(S.HOST, "rn", "start_time")
     ends = n.where(F.col("end_time").isNotNull()).select(S.HOST, "rn", "end_time")
@@ -440,38 +449,22 @@ def downtime_by_hour(dt: DataFrame, gap_fill: bool = False, per_host: bool = Tru
     )
 
 
-def affected_pings(pm: DataFrame, dt: DataFrame) -> DataFrame:
-    """Number of lost probes inside each outage ``[start_time, end_time)``.
+def affected_pings(
+    pm: DataFrame,
+    as_of: datetime | None = None,
+    hours: float | None = 24,
+    host: str | None = None,
+    min_duration_seconds: float = 30,
+    include_open: bool = False,
+    chunk_unit: str = "hour",
+) -> DataFrame:
+    """The outages of ``downtime_periods`` with ``affected_pings``: the lost probes
+    from the start up to the end, or up to the last row for an open outage.
 
-    Lost probes are matched to the outage that contains them with a range
-    join on (host, hour bucket); an outage spanning several hours is
-    expanded into its hour buckets first (bounded by its duration).
+    Counted along the way: losses before the end row minus losses before the
+    start row, in the host's row order. No join with the probes.
     """
-    o = dt.select(
-        "*",
-        F.explode(
-            F.sequence(
-                bucket("start_time", "hour"),
-                F.coalesce(bucket("end_time", "hour"), bucket("start_time", "hour")),
-                F.expr("INTERVAL 1 HOUR"),
-            )
-        ).alias("_hb"),
-    )
-    losses = pm.where(F.col(S.LOSS) == F.lit(True)).select(
-        F.col(S.HOST).alias("_lh"), F.col(S.TS).alias("_lts"), bucket(S.TS, "hour").alias("_lhb")
-    )
-    cond = [
-        F.col(S.HOST) == F.col("_lh"),
-        F.col("_hb") == F.col("_lhb"),
-        F.col("_lts") >= F.col("start_time"),
-        F.col("_lts") < F.col("end_time"),
-    ]
-    keys = [c for c in dt.columns]
-    return (
-        o.join(losses, cond, "left")
-        .groupBy(*keys)
-        .agg(F.count("_lts").alias("affected_pings"))
-    )
+    return _outages(pm, as_of, hours, host, min_duration_seconds, include_open, chunk_unit)
 
 
 def downtime_alerts(dt: DataFrame, min_hours: float) -> DataFrame:

@@ -178,7 +178,8 @@ def test_derivatives_consistent(spark):
     rep = D.downtime_report(dt, None, 1).collect()
     assert sum(len(r["downtime_periods"]) for r in rep) == n
     assert all(r["total_downtime_events"] == sum(1 for x in ords if x[S.HOST] == r["host"]) for r in rep)
-    aff = D.affected_pings(pm, dt).collect()
+    aff = D.affected_pings(pm, AS_OF, hours=None, min_duration_seconds=1, chunk_unit="minute").collect()
+    assert len(aff) == n
     for r in aff:
         want = sum(1 for x in rows if x[2] == r[S.HOST] and x[4] and r["start_time"] <= x[1] < r["end_time"])
         assert r["affected_pings"] == want
@@ -194,3 +195,10 @@ def test_lazy_plan_equals_materialised(spark):
     t1 = sorted(tuple(r) for r in D.loss_transitions(pm, chunk_unit="minute", materialize=False).collect())
     t2 = sorted(tuple(r) for r in D.loss_transitions(pm, chunk_unit="minute", materialize=True).collect())
     assert t1 == t2
+
+
+def test_affected_pings_of_an_open_outage(spark):
+    pm = make_pm(spark, flags_to_rows("FTTT"))
+    for unit in ("minute", "hour"):
+        rows = D.affected_pings(pm, AS_OF, hours=None, min_duration_seconds=1, include_open=True, chunk_unit=unit).collect()
+        assert [(r["end_time"], r["affected_pings"]) for r in rows] == [(None, 3)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from conftest import AS_OF, SF_SMALL, flags_to_rows, make_pm
+from conftest import AS_OF, SF_MID, SF_SMALL, flags_to_rows, make_pm
 from linkwatch import schema as S
 from linkwatch.operators import downtime as D
 from linkwatch.operators import latest as L
@@ -111,13 +111,15 @@ def test_latest_on_stored_table_prunes_dates(spark, tmp_path):
     assert got == want
 
 
-def test_materialisation_follows_size_estimate(spark):
-    # small Parquet input: lazy; inputs without statistics: the scale-safe path
-    pm = load_pm(spark, SF_SMALL)
-    assert "edges-" not in plan(D.downtime_periods(pm, AS_OF, hours=None))
-    assert "edges-" in plan(D.downtime_periods(make_pm(spark, flags_to_rows("FTTF")), AS_OF, hours=None))
-    spark.conf.set(D.MATERIALIZE_THRESHOLD_CONF, "0")
-    try:
-        assert "edges-" in plan(D.downtime_periods(pm, AS_OF, hours=None))
-    finally:
-        spark.conf.unset(D.MATERIALIZE_THRESHOLD_CONF)
+def test_outage_plans_share_one_scan(spark):
+    """The executed plans of the outage family read the input once, at every size."""
+    import re
+
+    for sf_dir in (SF_SMALL, SF_MID):
+        pm = load_pm(spark, sf_dir)
+        for df in (D.downtime_periods(pm, AS_OF, hours=None), D.loss_transitions(pm), D.outage_starts(pm), D.outage_ends(pm)):
+            df.write.format("noop").mode("overwrite").save()
+            df.collect()
+            p = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "edges-" not in p
+            assert len(re.findall(r"FileScan|Scan parquet", p)) == 1 or "ReusedExchange" in p
