@@ -67,3 +67,9 @@ def iso_text(ts: Column | str) -> Column:
 def utc_now() -> Column:
     """Current time as a UTC wall-clock TIMESTAMP_NTZ, whatever the session zone."""
     return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
+
+
+def whole_hours(minutes: Column | str) -> Column:
+    """Minutes as hours, rounded up (a 90-minute range asks for 2 hours)."""
+    c = F.col(minutes) if isinstance(minutes, str) else minutes
+    return F.ceil(c / F.lit(60)).cast("long")

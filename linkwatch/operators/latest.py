@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwatch import schema as S
-from linkwatch.operators.filters import chart_series, host_filter, since_hours, since_minutes, validate_params
+from linkwatch.operators.filters import chart_series, host_filter, since_hours, since_minutes
 
 
 def _order_key():
@@ -40,17 +40,15 @@ def latest_rows(df: DataFrame, key: str = S.HOST, ts: str = S.TS, tie: str = S.I
     """Row with the greatest ``(ts, tie)`` per ``key``, on hash operators:
     max ``ts`` per key, semi join back, then the tie-break over candidates.
 
-    On a stored table (``metric_date`` partitions) the oldest of the per-key
-    newest dates is fetched first (one value) and becomes a partition filter
-    of the second scan: with active hosts only the last days are read again.
+    Building the plan runs nothing. On a stored table (``metric_date`` partitions)
+    the date of the newest row is part of the join key, so Spark can prune the
+    date folders of the second scan at run time.
     """
     newest = df.groupBy(F.col(key).alias("_k")).agg(F.max(ts).alias("_t"))
     rows = df
-    if S.METRIC_DATE in df.columns:
-        oldest = newest.agg(F.min(F.to_date("_t")).alias("d")).first()["d"]
-        if oldest is not None:
-            rows = df.where(F.col(S.METRIC_DATE) >= F.lit(oldest))
     cond = (F.col(key) == F.col("_k")) & (F.col(ts) == F.col("_t"))
+    if S.METRIC_DATE in df.columns:
+        cond = cond & (F.col(S.METRIC_DATE) == F.to_date("_t"))
     cand = rows.join(newest, cond, "left_semi")
     w = Window.partitionBy(key).orderBy(F.desc(tie))
     return cand.select("*", F.row_number().over(w).alias("_rn")).where(F.col("_rn") == 1).drop("_rn")
@@ -77,23 +75,20 @@ def recent_metrics(
     host: str | None = None,
     limit: int = 1000,
     offset: int = 0,
-    cap: int | None = 1000,
+    cap: int | None = None,
     minutes: float | None = None,
 ) -> DataFrame:
-    """Newest rows first; the newest ``cap`` rows are fetched, then the page
-    ``[offset, offset + limit)`` is cut from them (so ``offset >= cap`` is
-    empty and ``limit > cap`` has no effect). ``cap=None`` removes the cap.
+    """Newest rows first: the page ``[offset, offset + limit)``. With ``cap`` it is
+    cut from the newest ``cap`` rows only (so ``offset >= cap`` is empty).
     ``minutes`` (the time-range form) replaces ``hours`` when given.
 
     Planned as a top-k (``TakeOrderedAndProject``): each task keeps its best
-    ``cap`` rows, only those reach the final merge.
+    ``offset + limit`` rows, only those reach the final merge.
     """
     cols = [c for c in S.METRIC_COLUMNS if c in pm.columns]
     if minutes is not None:
-        validate_params(limit=limit, offset=offset, minutes=minutes)
         rows = host_filter(since_minutes(pm, as_of, minutes), host).select(*cols)
     else:
-        validate_params(limit=limit, offset=offset, hours=hours if hours else None)
         rows = host_filter(since_hours(pm, as_of, hours), host).select(*cols)
     ordered = rows.orderBy(F.desc(S.TS), F.desc(S.ID))
     if cap is not None:
@@ -116,7 +111,7 @@ def current_response(pm: DataFrame, as_of: datetime, preset: str = "1hr", host:
     )
 
 
-def latest_map(pm: DataFrame, shards: int = 1) -> DataFrame:
+def latest_map(pm: DataFrame, shards: int = 32) -> DataFrame:
     """Host -> latest row as a map (the API's response shape).
 
     The latest rows (one per host) are grouped into ``shards`` maps by a hash

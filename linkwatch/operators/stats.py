@@ -18,10 +18,11 @@ from linkwatch.functions.timefns import bucket, ts_literal, window_start
 from linkwatch.operators.filters import (
     host_filter,
     hosts_filter,
+    lost,
     range_minutes,
+    received,
     since,
     since_hours,
-    validate_params,
 )
 
 
@@ -49,12 +50,11 @@ def hourly_stats(
     packet_loss_rate``. ``unit='day'`` gives daily buckets. ``sort`` adds the
     API order (bucket descending, host ascending).
     """
-    validate_params(hours=hours if hours else None)
     rows = host_filter(since_hours(pm, as_of, hours), host)
     out = rows.groupBy(bucket(S.TS, unit).alias("hour_bucket"), F.col(S.HOST)).agg(
         F.avg(S.RT).alias("avg_response_time"),
         F.count(F.lit(1)).alias("packet_count"),
-        F.count_if(F.col(S.LOSS) == F.lit(True)).alias("_losses"),
+        F.count_if(lost()).alias("_losses"),
     )
     out = out.select(
         "hour_bucket",
@@ -87,7 +87,7 @@ def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     names = list(keys)
     hist = rows.groupBy(*names, F.col(S.RT)).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col(S.LOSS) == F.lit(True)).alias("_losses"),
+        F.count_if(lost()).alias("_losses"),
         F.min(S.TS).alias("_first"),
         F.max(S.TS).alias("_last"),
     )
@@ -147,7 +147,6 @@ def host_summary(
     With ``hosts`` every requested host gets a row, also one without probes
     (``total_pings = 0``, aggregates NULL, ``uptime_percentage = 0``).
     """
-    validate_params(hours=hours, minutes=minutes)
     h_echo, m_echo = _window_echo(hours, minutes, full_history)
     rows = pm
     if not full_history:
@@ -156,9 +155,7 @@ def host_summary(
     rows = hosts_filter(rows, req)
     summ = summarize(rows, [S.HOST])
     if req:
-        # The requested list is a driver-side list: its size is known here.
-        wanted = host_list(pm.sparkSession, req)
-        summ = F.broadcast(wanted).join(summ, on=S.HOST, how="left")
+        summ = host_list(pm.sparkSession, req).join(summ, on=S.HOST, how="left")
     return summ.select(
         F.col(S.HOST).alias("host"),
         F.coalesce("total_pings", F.lit(0)).cast("long").alias("total_pings"),
@@ -229,7 +226,7 @@ def cycle_success(pm: DataFrame, interval: str = "10 seconds") -> DataFrame:
     """Per probe cycle (tumbling window of ``interval``): successful / total probes."""
     w = F.window(S.TS, interval)
     out = pm.groupBy(w.alias("cycle")).agg(
-        F.count_if(F.col(S.LOSS) == F.lit(False)).alias("successful_pings"),
+        F.count_if(received()).alias("successful_pings"),
         F.count(F.lit(1)).alias("total_pings"),
     )
     return out.select(

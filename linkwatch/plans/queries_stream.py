@@ -1,9 +1,8 @@
 """Registered streaming queries.
 
-Each query stages the fact rows (derived from ``events``) as several
-time-ordered Parquet files in the shared checkpoint folder, runs the stream
-with ``availableNow`` (one file per micro-batch) into a Parquet sink in the
-same folder and returns the sink read back as a batch DataFrame.
+Each reads the given ``events`` table as a file stream, runs with
+``availableNow`` into sinks under the shared checkpoint folder and returns what
+the sinks hold.
 """
 
 from __future__ import annotations
@@ -16,43 +15,31 @@ from pyspark.sql import functions as F
 from linkwatch import schema as S
 from linkwatch.plans.catalog import register, with_pm
 from linkwatch.plans.queries_core import PM_COLS, _DNS_IN, _LATEST_SQL, _r6, downtime_sql
-from linkwatch.functions.timefns import ts_literal
+from linkwatch.operators import downtime as D
+from linkwatch.operators import filters as P
+from linkwatch.operators import latest as L
 from linkwatch.session import scratch_path
 from linkwatch.sources.ingest import raw_probes_from_metrics
-from linkwatch.sources.metrics import load_pm
+from linkwatch.sources.metrics import EVENTS_SCHEMA, append_metrics, load_pm, pm_from_events, scan_metrics
 from linkwatch.streaming import jobs as J
 
-STREAM_FILES = 4
-
-
 def _run_dir(spark: SparkSession, tag: str) -> str:
     return scratch_path(spark, f"stream-{tag}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_files(
-    df: DataFrame, path: str, n_files: int = STREAM_FILES, time_col: str = S.TS, first_part: int = 0
-) -> str:
-    """Write ``df`` as ``n_files`` Parquet files covering consecutive time
-    ranges, one write after another, so the file source (which orders new
-    files by modification time) replays them in event-time order."""
-    b = df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
-    lo, hi = b["lo"], b["hi"]
-    if lo is None:
-        df.write.mode("overwrite").parquet(f"{path}/part={first_part}")
-        return path
-    step = (hi - lo) / n_files
-    for i in range(n_files):
-        a = lo + step * i
-        cond = F.col(time_col) >= ts_literal(a) if i else F.lit(True)
-        if i < n_files - 1:
-            cond = cond & (F.col(time_col) < ts_literal(lo + step * (i + 1)))
-        df.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{path}/part={first_part + i}")
-    return path
-
-
-def _metric_stream(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
-    stage_files(load_pm(spark, sf_dir), f"{base}/in")
-    return J.read_metric_stream(spark, f"{base}/in", max_files_per_trigger=1)
+def _metric_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact rows of the given table as a stream, with TIMESTAMP times."""
+    return J.to_event_time(pm_from_events(_event_stream(spark, sf_dir)))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given ``events`` table, a file or a folder of files, as a file stream."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    table = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    r = spark.readStream.schema(EVENTS_SCHEMA)
+    if table.getFileSystem(conf).getFileStatus(table).isDirectory():
+        return r.parquet(f"{sf_dir}/events.parquet")
+    return r.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _ntz(df: DataFrame) -> DataFrame:
@@ -70,9 +57,9 @@ def _ntz(df: DataFrame) -> DataFrame:
 def q_stream_latest(spark, sf_dir):
     """Latest-per-host state after streaming the whole table (complete mode)."""
     base = _run_dir(spark, "latest")
-    src = _metric_stream(spark, sf_dir, base)
+    src = _metric_stream(spark, sf_dir)
     J.run_available_now(J.stream_latest(src), f"{base}/out", f"{base}/ckpt", mode="complete")
-    return _ntz(spark.read.parquet(f"{base}/out"))
+    return _ntz(J.read_versions(spark, f"{base}/out"))
 
 
 @register(
@@ -80,12 +67,8 @@ def q_stream_latest(spark, sf_dir):
     downtime_sql() + "\nSELECT * FROM dt",
 )
 def q_stream_downtime(spark, sf_dir):
-    """Outages detected by the keyed-state stream (equals the batch result
-    for in-order input)."""
-    base = _run_dir(spark, "downtime")
-    src = _metric_stream(spark, sf_dir, base)
-    J.run_available_now(J.stream_downtime(src, 30), f"{base}/out", f"{base}/ckpt")
-    return _ntz(spark.read.parquet(f"{base}/out"))
+    """Outages from the stream, in event-time order behind the watermark."""
+    return J.downtime_of_feed(_metric_stream(spark, sf_dir), _run_dir(spark, "downtime"), 30).outages()
 
 
 @register(
@@ -95,8 +78,14 @@ def q_stream_downtime(spark, sf_dir):
 def q_stream_downtime_processor(spark, sf_dir):
     """Outages from the stream via transformWithStateInPandas (RocksDB state)."""
     base = _run_dir(spark, "downtime-tws")
-    src = _metric_stream(spark, sf_dir, base)
-    J.run_available_now(J.stream_downtime(src, 30, api="processor"), f"{base}/out", f"{base}/ckpt")
+    src = _metric_stream(spark, sf_dir)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, J.ROCKSDB_PROVIDER)
+    try:
+        J.run_available_now(J.stream_downtime_keyed(src, 30, api="processor"), f"{base}/out", f"{base}/ckpt")
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
     return _ntz(spark.read.parquet(f"{base}/out"))
 
 
@@ -106,10 +95,7 @@ def q_stream_downtime_processor(spark, sf_dir):
 )
 def q_stream_downtime_alerts(spark, sf_dir):
     """Alert feed from the stream: outages of at least 0.1 h."""
-    base = _run_dir(spark, "alerts")
-    src = _metric_stream(spark, sf_dir, base)
-    J.run_available_now(J.stream_downtime_alerts(src, 0.1), f"{base}/out", f"{base}/ckpt")
-    return _ntz(spark.read.parquet(f"{base}/out"))
+    return J.downtime_of_feed(_metric_stream(spark, sf_dir), _run_dir(spark, "alerts"), 360).outages()
 
 
 _LATE = "1 hour"
@@ -124,17 +110,16 @@ SELECT date_trunc('hour', "timestamp") AS hour_bucket, target_host,
        COUNT(*) AS packet_count,
        round(CAST(COUNT(*) FILTER (WHERE packet_loss = TRUE) AS DOUBLE) / COUNT(*) * 100, 6) AS packet_loss_rate
 FROM pm
-WHERE date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <= (SELECT MAX("timestamp") FROM pm) - INTERVAL 1 HOUR
 GROUP BY 1, 2"""
     ),
 )
 def q_stream_hourly_stats(spark, sf_dir):
-    """Hourly statistics from the stream: the windows closed by the watermark
-    (max event time - 1 hour) at the end of the input."""
+    """Hourly statistics from the stream, windows still open at the end too."""
     base = _run_dir(spark, "hourly")
-    src = _metric_stream(spark, sf_dir, base)
-    J.run_available_now(J.stream_hourly_stats(src, lateness=_LATE), f"{base}/out", f"{base}/ckpt")
-    return _r6(_ntz(spark.read.parquet(f"{base}/out")), "avg_response_time", "packet_loss_rate")
+    src = _metric_stream(spark, sf_dir)
+    J.run_available_now(J.stream_hourly_stats(src, lateness=_LATE), f"{base}/out", f"{base}/ckpt", mode="update")
+    out = J.read_versions(spark, f"{base}/out", ("hour_bucket", S.HOST))
+    return _r6(_ntz(out), "avg_response_time", "packet_loss_rate")
 
 
 @register(
@@ -145,56 +130,85 @@ SELECT time_bucket(INTERVAL 10 SECOND, "timestamp") AS cycle_start,
        time_bucket(INTERVAL 10 SECOND, "timestamp") + INTERVAL 10 SECOND AS cycle_end,
        COUNT(*) FILTER (WHERE packet_loss = FALSE) AS successful_pings, COUNT(*) AS total_pings
 FROM pm
-WHERE time_bucket(INTERVAL 10 SECOND, "timestamp") + INTERVAL 10 SECOND
-      <= (SELECT MAX("timestamp") FROM pm) - INTERVAL 1 MINUTE
 GROUP BY 1, 2"""
     ),
 )
 def q_stream_cycle_success(spark, sf_dir):
-    """Per-cycle success counts from the stream (closed windows)."""
+    """Per-cycle success counts from the stream, windows still open at the end too."""
     base = _run_dir(spark, "cycles")
-    src = _metric_stream(spark, sf_dir, base)
-    J.run_available_now(J.stream_cycle_success(src, "10 seconds", lateness="1 minute"), f"{base}/out", f"{base}/ckpt")
-    return _ntz(spark.read.parquet(f"{base}/out"))
+    src = _metric_stream(spark, sf_dir)
+    J.run_available_now(J.stream_cycle_success(src, "10 seconds", lateness="1 minute"), f"{base}/out", f"{base}/ckpt", mode="update")
+    return _ntz(J.read_versions(spark, f"{base}/out", ("cycle_start",)))
 
 
-@register(
-    "stream_ingest",
-    with_pm(
-        f"""
-SELECT id AS probe_id, target_host,
-       CASE WHEN response_time_ms IS NULL THEN NULL ELSE round(response_time_ms, 2) END AS response_time_ms,
+_INGESTED = f"""
+SELECT target_host, CASE WHEN response_time_ms IS NULL THEN NULL ELSE round(response_time_ms, 2) END AS response_time_ms,
        response_time_ms IS NULL AS packet_loss,
        CASE WHEN response_time_ms IS NULL THEN '{S.LOSS_MESSAGE}' END AS error_message,
        "timestamp", CAST("timestamp" AS DATE) AS metric_date
 FROM pm"""
-    ),
-)
+
+
+def _raw_stream(spark, sf_dir):
+    return raw_probes_from_metrics(pm_from_events(_event_stream(spark, sf_dir))).drop("probe_id")
+
+
+@register("stream_ingest", with_pm(_INGESTED))
 def q_stream_ingest(spark, sf_dir):
-    """Raw probe results (JSON text times) streamed into the date-partitioned
-    fact table; ``created_at`` (processing time) is left out of the check."""
+    """Raw probe results (text times) streamed into the date-partitioned fact
+    table; ids (hashes) and ``created_at`` (processing time) are left out of the check."""
     base = _run_dir(spark, "ingest")
-    pm = load_pm(spark, sf_dir)
-    raw = raw_probes_from_metrics(pm).withColumn("_t", F.col(S.TS).cast("timestamp_ntz"))
-    stage_files(raw, f"{base}/in", time_col="_t")
-    src = J.read_probe_stream(spark, f"{base}/in", max_files_per_trigger=1, schema=raw.schema).drop("_t", "part")
-    q = J.stream_ingest(src, f"{base}/table", f"{base}/ckpt", trigger={"availableNow": True})
-    q.awaitTermination()
-    return spark.read.schema(J.ingest_rows(src).schema).parquet(f"{base}/table").drop(S.CREATED)
+    J.stream_ingest(_raw_stream(spark, sf_dir), f"{base}/table", f"{base}/ckpt", {"availableNow": True}).awaitTermination()
+    return scan_metrics(spark, f"{base}/table").drop(S.CREATED, S.ID)
+
+
+def _mixed_table(spark, sf_dir):
+    """A table with the rows of even ids from the stream and those of odd ids from a batch write."""
+    base = _run_dir(spark, "mixed")
+    even = _event_stream(spark, sf_dir).where("event_id % 2 = 0")
+    raw = raw_probes_from_metrics(pm_from_events(even)).withColumnRenamed("probe_id", S.ID)
+    J.stream_ingest(raw, f"{base}/table", f"{base}/ckpt", {"availableNow": True}).awaitTermination()
+    append_metrics(load_pm(spark, sf_dir).where(F.col(S.ID) % 2 == 1), f"{base}/table")
+    return scan_metrics(spark, f"{base}/table").drop(S.METRIC_DATE)
+
+
+@register("mixed_writers_downtime", downtime_sql() + "\nSELECT * FROM dt")
+def q_mixed_writers_downtime(spark, sf_dir):
+    """Outages of a table that a stream and a batch writer have filled."""
+    return D.downtime_periods(_mixed_table(spark, sf_dir), hours=None, min_duration_seconds=30)
+
+
+@register("mixed_writers_latest", with_pm('SELECT target_host, id, "timestamp" FROM (SELECT *, row_number() OVER (PARTITION BY target_host ORDER BY "timestamp" DESC, id DESC) AS rn FROM pm) WHERE rn = 1'))
+def q_mixed_writers_latest(spark, sf_dir):
+    """Latest row of each host of a table that a stream and a batch writer have filled."""
+    return L.latest_per_host(_mixed_table(spark, sf_dir)).select(S.HOST, S.ID, S.TS)
+
+
+@register("mixed_writers_by_id", with_pm('SELECT target_host, "timestamp", packet_loss FROM pm WHERE id = 42'))
+def q_mixed_writers_by_id(spark, sf_dir):
+    """A row that the stream wrote, by its id."""
+    return P.metric_by_id(_mixed_table(spark, sf_dir), 42).select(S.HOST, S.TS, S.LOSS)
 
 
 @register(
     "stream_dns_route",
-    with_pm(f"SELECT {PM_COLS}, 'dns' AS route, '{S.MSG_DNS_UPDATE}' AS message_type FROM pm WHERE target_host IN ({_DNS_IN})"),
+    with_pm(
+        f"""
+SELECT 'dns feed' AS feed, {PM_COLS}, 'dns' AS route, '{S.MSG_DNS_UPDATE}' AS message_type FROM pm WHERE target_host IN ({_DNS_IN})
+UNION ALL
+SELECT 'full feed', {PM_COLS}, CASE WHEN target_host IN ({_DNS_IN}) THEN 'dns' ELSE 'all' END,
+       CASE WHEN target_host IN ({_DNS_IN}) THEN '{S.MSG_DNS_UPDATE}' ELSE '{S.MSG_PING_UPDATE}' END FROM pm"""
+    ),
 )
 def q_stream_dns_route(spark, sf_dir):
-    """The DNS feed of the routed stream (one of its two file sinks)."""
+    """Both feeds of the routed stream."""
     base = _run_dir(spark, "route")
-    src = _metric_stream(spark, sf_dir, base)
+    src = _metric_stream(spark, sf_dir)
     dns, full = J.start_feeds(J.stream_dns_route(src), f"{base}/dns", f"{base}/all", f"{base}/ckpt", {"availableNow": True})
     dns.awaitTermination()
     full.awaitTermination()
-    return _ntz(spark.read.parquet(f"{base}/dns"))
+    feed = lambda name, path: _ntz(spark.read.parquet(path)).withColumn("feed", F.lit(name))
+    return feed("dns feed", f"{base}/dns").unionByName(feed("full feed", f"{base}/all"))
 
 
 @register(
@@ -204,7 +218,7 @@ def q_stream_dns_route(spark, sf_dir):
 def q_stream_host_filter(spark, sf_dir):
     """Rows of subscribed hosts (stream-static semi join)."""
     base = _run_dir(spark, "subs")
-    src = _metric_stream(spark, sf_dir, base)
+    src = _metric_stream(spark, sf_dir)
     J.run_available_now(J.stream_host_filter(src, ["google.com", "1.1.1.1"]), f"{base}/out", f"{base}/ckpt")
     return _ntz(spark.read.parquet(f"{base}/out"))
 
@@ -218,12 +232,10 @@ def q_stream_ingest_json(spark, sf_dir):
     the fact table; the ingest-time columns are left out of the check."""
     base = _run_dir(spark, "ingest-json")
     pm = load_pm(spark, sf_dir)
-    req = pm.select(F.to_json(F.struct(S.HOST, S.RT, S.LOSS, S.ERR)).alias("value"))
-    req.repartition(STREAM_FILES).write.text(f"{base}/in")
+    pm.select(F.to_json(F.struct(S.HOST, S.RT, S.LOSS, S.ERR)).alias("value")).write.text(f"{base}/in")
     q_rows, q_rej = J.stream_ingest_json(
         spark, f"{base}/in", f"{base}/table", f"{base}/rejects", f"{base}/ckpt", {"availableNow": True}
     )
     q_rows.awaitTermination()
     q_rej.awaitTermination()
-    rows_schema = J.json_ingest_frames(spark.read.schema("value string").text(f"{base}/in"))[0].schema
-    return spark.read.schema(rows_schema).parquet(f"{base}/table").select(S.HOST, S.RT, S.LOSS, S.ERR)
+    return scan_metrics(spark, f"{base}/table").select(S.HOST, S.RT, S.LOSS, S.ERR)

@@ -41,12 +41,11 @@ RELIABILITY_TIERS = (
 )
 RELIABILITY_FLOOR = ("Poor", "muted")
 # Message types of the live feed.
+MSG_PING_RESULT = "ping_result"
 MSG_PING_UPDATE = "ping_update"
 MSG_DNS_UPDATE = "dns_status_update"
 # Sample rows shipped with the table definition: host, response time.
 SEED_ROWS = (("8.8.8.8", 15.2), ("1.1.1.1", 12.8), ("google.com", 18.5))
-# Probe timeout (seconds) and rounding of stored response times.
-PROBE_TIMEOUT_S = 3
 RT_DECIMALS = 2
 
 # "now" of the fixture tables (the batch operators never read the clock).
@@ -86,25 +85,7 @@ CREATE_REQUEST_SCHEMA = T.StructType(
     ]
 )
 
-# One probe cycle as published on the live feed.
-CYCLE_MESSAGE_SCHEMA = T.StructType(
-    [
-        T.StructField("type", T.StringType(), True),
-        T.StructField(TS, T.StringType(), True),
-        T.StructField("results", T.ArrayType(RAW_PROBE_SCHEMA), True),
-    ]
-)
-
 # Provider lookup record.
 PROVIDER_JSON_SCHEMA = T.StructType(
     [T.StructField(k, T.StringType(), True) for k in ("ip", "hostname", "city", "region", "country", "org")]
 )
-
-OUTAGE_SCHEMA = T.StructType(
-    [
-        T.StructField(HOST, T.StringType(), False),
-        T.StructField("start_time", T.TimestampNTZType(), False),
-        T.StructField("end_time", T.TimestampNTZType(), True),
-        T.StructField("duration_seconds", T.DoubleType(), True),
-    ]
-)

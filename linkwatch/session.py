@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,8 +50,9 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared file system and is used as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    On a cluster the setting must name a shared file system and is used as is.
+    Only in local mode, where driver and executors are one process, a scratch
+    folder is created if it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="linkwatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -134,4 +140,10 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
+    atexit.register(_drop_file, path)  # executors may ask for it until the end
     _SHIPPED.add(key)
+
+
+def _drop_file(path: str) -> None:
+    with contextlib.suppress(OSError):
+        os.remove(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkwatch import schema as S
-from linkwatch.functions.present import location_label
+from linkwatch.functions.present import location_label, or_placeholder
 from linkwatch.functions.timefns import bucket, ts_literal
 
 
@@ -96,29 +96,32 @@ def assign_ids(df: DataFrame, start: int = 1, chunk_unit: str = "minute") -> Dat
 def parse_probe_json(df: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """Decode JSON insert requests; returns ``(valid, rejects)``.
 
-    A line that is not JSON is rejected with ``Invalid JSON format``; a JSON
-    object without a string ``target_host`` with ``target_host required``.
-    Valid rows get the request defaults (``packet_loss`` FALSE).
+    Each line is a JSON object with a string ``target_host``; ``packet_loss``, if
+    there, is a boolean, ``response_time_ms`` a number or null, ``error_message``
+    a string or null. A line that breaks a rule is rejected with the first reason
+    that holds. Valid rows get the request defaults (``packet_loss`` FALSE).
     """
-    parsed = df.select(
-        "*",
-        F.from_json(
-            F.col(col),
-            T.StructType(list(S.CREATE_REQUEST_SCHEMA.fields) + [T.StructField("_corrupt", T.StringType())]),
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
-        ).alias("_j"),
-    )
-    bad_json = F.col("_j").isNull() | F.col("_j._corrupt").isNotNull()
-    reason = F.when(bad_json, F.lit("Invalid JSON format")).when(
-        F.col(f"_j.{S.HOST}").isNull(), F.lit("target_host required")
+    v = F.try_parse_json(F.col(col))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+    parsed = df.select("*", v.alias("_v"))
+    host, loss, rt, err = (kind(f"$.{c}") for c in (S.HOST, S.LOSS, S.RT, S.ERR))
+    number = rt.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") | rt.isin("VOID")
+    reason = (
+        F.when(F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), F.lit("Invalid JSON format"))
+        .when(host.isNull(), F.lit("target_host required"))
+        .when(host != "STRING", F.lit("target_host must be a string"))
+        .when(loss != "BOOLEAN", F.lit("packet_loss must be a boolean"))
+        .when(~number, F.lit("response_time_ms must be a number"))
+        .when(~err.isin("STRING", "VOID"), F.lit("error_message must be a string"))
     )
     tagged = parsed.select("*", reason.alias("reject_reason"))
+    get = lambda c, t: F.try_variant_get("_v", f"$.{c}", t)
     valid = tagged.where(F.col("reject_reason").isNull()).select(
-        *[c for c in df.columns],
-        F.col(f"_j.{S.HOST}").alias(S.HOST),
-        F.col(f"_j.{S.RT}").alias(S.RT),
-        F.coalesce(F.col(f"_j.{S.LOSS}"), F.lit(False)).alias(S.LOSS),
-        F.col(f"_j.{S.ERR}").alias(S.ERR),
+        *df.columns,
+        get(S.HOST, "string").alias(S.HOST),
+        get(S.RT, "double").alias(S.RT),
+        F.coalesce(get(S.LOSS, "boolean"), F.lit(False)).alias(S.LOSS),
+        get(S.ERR, "string").alias(S.ERR),
     )
     rejects = tagged.where(F.col("reject_reason").isNotNull()).select(*df.columns, "reject_reason")
     return valid, rejects
@@ -132,8 +135,8 @@ def provider_info(df: DataFrame, col: str) -> DataFrame:
     fields = ("ip", "hostname", "city", "region", "country")
     out = df.select(
         "*",
-        *[F.coalesce(j[f], F.lit(S.UNKNOWN)).alias(f) for f in fields],
-        F.coalesce(j["org"], F.lit(S.UNKNOWN)).alias("provider"),
+        *[or_placeholder(j[f], S.UNKNOWN).alias(f) for f in fields],
+        or_placeholder(j["org"], S.UNKNOWN).alias("provider"),
         location_label(j["city"], j["country"]).alias("location"),
     )
     return out

@@ -7,6 +7,7 @@ date so row-group min/max statistics skip data for host and time predicates.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,31 +67,54 @@ def scan_metrics(spark: SparkSession, path: str, since: datetime | None = None)
     not derive it from the timestamp predicate) and a pushed row filter.
     """
     schema = T.StructType(list(S.METRICS_SCHEMA.fields) + [T.StructField(S.METRIC_DATE, T.DateType(), True)])
-    df = spark.read.schema(schema).parquet(path)
+    df = spark.read.schema(schema).parquet(path).drop(BATCH)
     if since is not None:
         df = df.where(F.col(S.METRIC_DATE) >= F.lit(since.date())).where(F.col(S.TS) >= ts_literal(since))
     return df
 
 
+#: Second level of the stored folders: the write that a file came with.
+BATCH = "batch"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Rows with an ``id``: that of the row, or else a hash of host, time and result.
+
+    Every writer uses this rule. The hash needs no stored maximum and no lock, and
+    a row that is written again gets the same id.
+    """
+    made = F.xxhash64(S.HOST, S.TS, S.RT, S.LOSS, S.ERR).bitwiseAND(F.lit(2**63 - 1))
+    given = F.col(S.ID).cast("long") if S.ID in df.columns else F.lit(None).cast("long")
+    return df.withColumn(S.ID, F.coalesce(given, made))
+
+
+def next_id(spark: SparkSession, path: str) -> int:
+    """The id after the greatest stored one, for ``assign_ids(start=...)``; 1 for an empty table."""
+    top = scan_metrics(spark, path).agg(F.max(S.ID)).first()[0]  # one value
+    return 1 if top is None else int(top) + 1
+
+
 def with_metric_date(df: DataFrame) -> DataFrame:
     return df.withColumn(S.METRIC_DATE, F.to_date(F.col(S.TS)))
 
 
-def append_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
+def append_metrics(df: DataFrame, path: str, mode: str = "append", batch: str | None = None) -> None:
     """Append fact rows as date-partitioned, host/time-clustered Parquet.
 
-    The write shuffles by ``(metric_date, target_host)`` so a hot host spreads
-    over several files per date rather than one, and sorts within each task
-    so row-group statistics on host and timestamp are tight.
+    Rows without ``id`` get one (``keyed``). The write rebalances by date: small
+    days share a task, a hot day is split over several, and each task sorts by
+    host and time, so row-group statistics are tight. Every write has a ``batch``
+    folder under each date; writing the same batch again replaces it, so a
+    repeated micro-batch adds nothing. Batch and stream writers share a table.
     """
-    out = with_metric_date(df.select(*S.METRIC_COLUMNS))
-    (
-        out.repartition(S.METRIC_DATE, S.HOST)
-        .sortWithinPartitions(S.METRIC_DATE, S.HOST, S.TS, S.ID)
-        .write.mode(mode)
-        .partitionBy(S.METRIC_DATE)
-        .parquet(path)
-    )
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    log = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_spark_metadata")
+    if log.getFileSystem(conf).exists(log):
+        raise ValueError(f"{path} was written by a file sink, whose log hides files of other writers")
+    out = with_metric_date(keyed(df).select(*S.METRIC_COLUMNS)).withColumn(BATCH, F.lit(f"b-{batch or uuid.uuid4().hex}"))
+    out = out.hint("rebalance", S.METRIC_DATE).sortWithinPartitions(S.METRIC_DATE, S.HOST, S.TS, S.ID)
+    kind = "static" if mode == "overwrite" else "dynamic"
+    out.write.mode("overwrite").option("partitionOverwriteMode", kind).partitionBy(S.METRIC_DATE, BATCH).parquet(path)
 
 
 def seed_rows(spark: SparkSession, as_of: datetime = S.FIXTURE_AS_OF) -> DataFrame:
@@ -108,7 +132,9 @@ def apply_retention(spark: SparkSession, path: str, as_of: datetime, days: int =
     Dates wholly before the cutoff are dropped as whole ``metric_date``
     folders; the one date that straddles the cutoff is rewritten: its kept
     rows go to a staging folder next to the table (never the folder being
-    read), then replace the old folder.
+    read), then replace the old folder. The swap is two renames: atomic each on a
+    file system, but copies on most object stores, where a reader may meanwhile
+    find the date missing; run it there while no reader is active.
     """
     from datetime import timedelta
 
@@ -136,7 +162,7 @@ def apply_retention(spark: SparkSession, path: str, as_of: datetime, days: int =
             .where(F.col(S.TS) >= ts_literal(cutoff))
             .sortWithinPartitions(S.HOST, S.TS, S.ID)
         )
-        keep.write.mode("overwrite").parquet(staging)
+        keep.write.mode("overwrite").partitionBy(*[c for c in (BATCH,) if c in keep.columns]).parquet(staging)
         # Swap without a window in which the date's rows exist nowhere: the
         # old folder is moved aside first and removed only after the new one
         # is in place (a failure in between leaves both copies on storage).

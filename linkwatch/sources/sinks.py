@@ -3,21 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
 
 
 def write_messages(messages: DataFrame, path: str, mode: str = "append") -> None:
     """Write one JSON message per line (column ``value``) as text files."""
     messages.select("value").write.mode(mode).text(path)
-
-
-def stream_messages(messages: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Streaming form: exactly-once text file sink of the ``value`` column."""
-    return (
-        messages.select("value")
-        .writeStream.format("text")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
-    )

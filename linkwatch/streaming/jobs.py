@@ -7,9 +7,11 @@ aggregates drop rows older than the watermark, ingest stores them anyway.
 
 from __future__ import annotations
 
+import zlib
+from datetime import datetime
 from typing import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,10 +19,12 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from linkwatch import schema as S
-from linkwatch.functions.timefns import utc_now
+from linkwatch.functions.timefns import ts_literal, utc_now
+from linkwatch.operators import downtime as D
+from linkwatch.operators.latest import latest_rows
 from linkwatch.session import ship_package
 from linkwatch.sources.ingest import normalize_probe
-from linkwatch.sources.metrics import with_metric_date
+from linkwatch.sources.metrics import append_metrics
 
 STREAM_METRICS_SCHEMA = T.StructType(
     [
@@ -88,10 +92,20 @@ def to_event_time(df: DataFrame) -> DataFrame:
 # T-1 ingest
 # ---------------------------------------------------------------------------
 def ingest_rows(raw: DataFrame) -> DataFrame:
-    """Raw results -> fact rows with ``created_at`` (processing time) and
-    ``metric_date`` (the stream written by ``stream_ingest``)."""
-    rows = normalize_probe(raw).withColumn(S.CREATED, utc_now())
-    return with_metric_date(rows)
+    """Raw results -> fact rows with ``created_at`` (processing time)."""
+    return normalize_probe(raw).withColumn(S.CREATED, utc_now())
+
+
+def _append_batches(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    """Append a stream of fact rows through the batch writer, one batch folder for
+    each micro-batch; a micro-batch that runs again replaces its folder."""
+    name = f"{zlib.crc32(checkpoint.encode()):08x}"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        append_metrics(batch, path, batch=f"{name}-{batch_id}")
+
+    w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
 def stream_ingest(
@@ -102,21 +116,12 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Normalise raw probe results and append them to the fact table.
 
-    File sink (exactly-once through its commit log), partitioned by
-    ``metric_date``; ``created_at`` is the processing time, ``timestamp``
-    the probe's event time. ``trigger`` e.g. ``{"processingTime": "10 seconds"}``
-    or ``{"availableNow": True}``.
+    Same schema, ids and layout as ``append_metrics``, so all operators read
+    the table and batch writers may append to it too. ``created_at`` is the
+    processing time, ``timestamp`` the probe's event time. ``trigger`` e.g.
+    ``{"processingTime": "10 seconds"}`` or ``{"availableNow": True}``.
     """
-    rows = ingest_rows(raw)
-    w = (
-        rows.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy(S.METRIC_DATE)
-        .outputMode("append")
-    )
-    w = w.trigger(**(trigger or {"processingTime": "10 seconds"}))
-    return w.start()
+    return _append_batches(ingest_rows(raw), path, checkpoint, trigger)
 
 
 def json_ingest_frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +138,7 @@ def json_ingest_frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         now.alias(S.TS),
         now.alias(S.CREATED),
     )
-    return with_metric_date(rows), rejects
+    return rows, rejects
 
 
 def stream_ingest_json(
@@ -158,14 +163,7 @@ def stream_ingest_json(
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     rows, rejects = json_ingest_frames(r.load(src_path))
     trig = trigger or {"processingTime": "10 seconds"}
-    q_rows = (
-        rows.writeStream.format("parquet")
-        .option("path", table_path)
-        .option("checkpointLocation", f"{checkpoint_base}/rows")
-        .partitionBy(S.METRIC_DATE)
-        .trigger(**trig)
-        .start()
-    )
+    q_rows = _append_batches(rows, table_path, f"{checkpoint_base}/rows", trig)
     q_rej = (
         rejects.writeStream.format("parquet")
         .option("path", rejects_path)
@@ -187,19 +185,28 @@ def stream_latest(src: DataFrame) -> DataFrame:
 
 
 def write_latest_table(latest: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep a Parquet snapshot of the latest-per-host state, rewritten per
-    micro-batch (the state itself lives in the checkpoint)."""
+    """Keep a snapshot of the latest-per-host state: a folder for each
+    micro-batch (``read_versions`` finds the newest), never overwritten in place."""
+    return _write_versions(latest, path, checkpoint, "complete", trigger)
 
+
+def _write_versions(df: DataFrame, path: str, checkpoint: str, mode: str, trigger: dict | None) -> StreamingQuery:
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
-    return (
-        latest.writeStream.outputMode("complete")
-        .foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
-    )
+    w = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def read_versions(spark: SparkSession, path: str, keys: Iterable[str] | None = None) -> DataFrame:
+    """What ``_write_versions`` has kept: the newest snapshot or, with ``keys``
+    (sinks of changed rows), the newest row of each key."""
+    rows = spark.read.parquet(path)
+    if keys is None:
+        newest = rows.agg(F.max("version")).first()[0]  # one value, from folder names
+        return rows.where(F.col("version") == F.lit(newest)).drop("version")
+    w = Window.partitionBy(*keys).orderBy(F.desc("version"))
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "version")
 
 
 # ---------------------------------------------------------------------------
@@ -439,24 +446,25 @@ def outage_processor(min_duration_seconds: float = 30) -> StatefulProcessor:
     return _OutageProcessor()
 
 
-def stream_downtime(src: DataFrame, min_duration_seconds: float = 30, api: str = "group_state") -> DataFrame:
-    """Outages detected continuously: an outage is emitted on the row that
-    ends it (append mode). Keyed state per host holds the last flag and the
+def stream_downtime_keyed(src: DataFrame, min_duration_seconds: float = 30, api: str = "group_state") -> DataFrame:
+    """Outages of a feed that comes in time order for each host, by keyed state: an
+    outage is emitted on the row that ends it (append mode). Rows older than the
+    last one seen of their host are skipped; for feeds with disorder or hot hosts
+    use ``stream_downtime``. Keyed state per host holds the last flag and the
     unmatched starts, so memory is per host, not per row. A micro-batch's
     rows of one host are processed together (bound them with the source's
     ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` / ``maxOffsetsPerTrigger``).
 
     ``api="group_state"`` uses ``applyInPandasWithState``;
     ``api="processor"`` uses ``transformWithStateInPandas`` with the RocksDB
-    state store (set for the session if no provider is configured).
+    state store, which the caller configures.
     """
     spark = src.sparkSession
     ship_package(spark)
     rows = src.select(S.HOST, S.TS, S.ID, S.LOSS)
     if api == "processor":
-        key = "spark.sql.streaming.stateStore.providerClass"
-        if ROCKSDB_PROVIDER not in (spark.conf.get(key, "") or ""):
-            spark.conf.set(key, ROCKSDB_PROVIDER)
+        if ROCKSDB_PROVIDER not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):
+            raise ValueError(f"api='processor' needs spark.sql.streaming.stateStore.providerClass={ROCKSDB_PROVIDER}")
         return rows.groupBy(S.HOST).transformWithStateInPandas(
             outage_processor(min_duration_seconds), DOWNTIME_OUT_SCHEMA, "Append", "None"
         )
@@ -471,10 +479,106 @@ def stream_downtime(src: DataFrame, min_duration_seconds: float = 30, api: str =
     )
 
 
-def stream_downtime_alerts(src: DataFrame, min_hours: float, api: str = "group_state") -> DataFrame:
-    """Alert feed: outages of at least ``min_hours`` hours, emitted when they end."""
-    out = stream_downtime(src, min_duration_seconds=float(min_hours) * 3600.0, api=api)
-    return out.where(F.col("duration_seconds") >= F.lit(float(min_hours) * 3600.0))
+class OutageFeed:
+    """Outages of a stream whose rows may come late or in any order.
+
+    Rows wait until the watermark (newest event time less ``lateness``) has
+    passed them; then they go through the batch operator in event-time order,
+    chunked by host and time, with one carried row for each host: where its open
+    outage began, or its last probe. Rows from before the watermark come too
+    late; they are stored in ``late`` and change nothing. Null flags count as
+    not lost, as at ingest.
+
+    Folders under ``path``: ``outages``, ``late`` and ``state`` (waiting rows, carried
+    rows and watermark), each with a folder for each micro-batch. A micro-batch
+    that runs again starts from the state before it and replaces its folders.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, min_duration_seconds: float = 30, lateness: str = "1 hour", chunk_unit: str = "hour"):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.min_duration_seconds, self.lateness, self.chunk_unit = min_duration_seconds, lateness, chunk_unit
+
+    _ROWS = f"{S.HOST} string, {S.TS} timestamp_ntz, {S.ID} bigint, {S.LOSS} boolean"
+
+    def start(self, src: DataFrame, trigger: dict | None = None) -> StreamingQuery:
+        rows = src.select(S.HOST, F.col(S.TS).cast("timestamp_ntz").alias(S.TS), S.ID, F.coalesce(S.LOSS, F.lit(False)).alias(S.LOSS))
+        w = rows.writeStream.foreachBatch(lambda batch, i: self._advance(batch, i)).option("checkpointLocation", f"{self.path}/checkpoint")
+        return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+    def _state(self, version: int) -> tuple[DataFrame, DataFrame, object]:
+        """(waiting, carried, watermark) after a micro-batch; -1: none yet."""
+        if version < 0:
+            none = self.spark.createDataFrame([], self._ROWS)
+            return none, none, None
+        at = f"{self.path}/state/version={version}"
+        mark = self.spark.read.schema("watermark timestamp_ntz").parquet(f"{at}/watermark").first()
+        read = self.spark.read.schema(self._ROWS)
+        return read.parquet(f"{at}/waiting"), read.parquet(f"{at}/carried"), mark[0] if mark else None
+
+    def _advance(self, batch: DataFrame, version: int, flush: bool = False) -> None:
+        waiting, carried, mark = self._state(version - 1)
+        put = lambda df, what: df.write.mode("overwrite").parquet(f"{self.path}/{what}")
+        late = batch.where(F.col(S.TS) < ts_literal(mark)) if mark else batch.where("false")
+        put(late, f"late/version={version}")
+        fresh = waiting.unionByName(batch.where(F.col(S.TS) >= ts_literal(mark)) if mark else batch)
+        newest = fresh.agg((F.max(S.TS) - F.expr(f"INTERVAL {self.lateness}")).alias("w")).first()["w"]  # one value
+        mark = max((m for m in (mark, newest) if m), default=None)
+        released = fresh if flush else fresh.where(F.col(S.TS) < ts_literal(mark)) if mark else fresh.where("false")
+        rows = carried.unionByName(released).withColumns({S.RT: F.lit(None).cast("double")})
+        every = D.downtime_periods(rows, hours=None, min_duration_seconds=0, chunk_unit=self.chunk_unit, as_of=_FAR, include_open=True)
+        every = D.materialize(every, "stream-outages")
+        closed = every.where(F.col("end_time").isNotNull() & (F.col("duration_seconds") >= F.lit(float(self.min_duration_seconds))))
+        put(closed, f"outages/version={version}")
+        # Carried on: the begin of an open outage, or else the host's last row.
+        last = latest_rows(rows.drop(S.RT))
+        begun = every.where(F.col("end_time").isNull()).select(S.HOST, F.col("start_time").alias("_begin"))
+        onward = last.join(begun, S.HOST, "left").select(S.HOST, F.coalesce("_begin", S.TS).alias(S.TS), S.ID, S.LOSS)
+        at = f"state/version={version}"
+        put(onward, f"{at}/carried")
+        put(fresh.where("false") if flush else fresh.where(F.col(S.TS) >= ts_literal(mark)) if mark else fresh, f"{at}/waiting")
+        put(self.spark.createDataFrame([(mark,)], "watermark timestamp_ntz"), f"{at}/watermark")
+
+    def flush(self) -> None:
+        """Release what still waits, at the end of a finite feed."""
+        version = self._last_version() + 1
+        self._advance(self.spark.createDataFrame([], self._ROWS), version, flush=True)
+
+    def _last_version(self) -> int:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/state")
+        fs = root.getFileSystem(conf)
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return max((int(n.partition("=")[2]) for n in names), default=-1)
+
+    def outages(self) -> DataFrame:
+        schema = f"{S.HOST} string, start_time timestamp_ntz, end_time timestamp_ntz, duration_seconds double"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/outages").drop("version")
+
+    def late_rows(self) -> DataFrame:
+        return self.spark.read.schema(self._ROWS).parquet(f"{self.path}/late").drop("version")
+
+
+#: Open outages are measured up to here; only their begin is used.
+_FAR = datetime(9999, 1, 1)
+
+
+def stream_downtime(src: DataFrame, path: str, min_duration_seconds: float = 30, lateness: str = "1 hour", trigger: dict | None = None) -> tuple[OutageFeed, StreamingQuery]:
+    """Outages detected continuously, right under disorder up to ``lateness``: see ``OutageFeed``."""
+    feed = OutageFeed(src.sparkSession, path, min_duration_seconds, lateness)
+    return feed, feed.start(src, trigger)
+
+
+def downtime_of_feed(src: DataFrame, path: str, min_duration_seconds: float = 30, lateness: str = "1 hour") -> OutageFeed:
+    """``stream_downtime`` over what the source holds now, to the end."""
+    feed, q = stream_downtime(src, path, min_duration_seconds, lateness, {"availableNow": True})
+    q.awaitTermination()
+    feed.flush()
+    return feed
+
+
+def stream_downtime_alerts(src: DataFrame, path: str, min_hours: float, lateness: str = "1 hour", trigger: dict | None = None) -> tuple[OutageFeed, StreamingQuery]:
+    """Alert feed: outages of at least ``min_hours`` hours, written when they end."""
+    return stream_downtime(src, path, float(min_hours) * 3600.0, lateness, trigger)
 
 
 # ---------------------------------------------------------------------------
@@ -492,17 +596,8 @@ def run_available_now(df: DataFrame, path: str, checkpoint: str, mode: str = "ap
             .start()
         )
     else:
-
-        def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").format(fmt).save(path)
-
-        q = (
-            df.writeStream.outputMode(mode)
-            .foreachBatch(sink)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
+        # Read the result with ``read_versions``.
+        q = _write_versions(df, path, checkpoint, mode, {"availableNow": True})
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()

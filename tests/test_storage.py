@@ -101,3 +101,63 @@ def test_message_sink_roundtrip(spark, tmp_path):
     assert set(back.columns) == {"type", "timestamp", "results"}
     types = {r[0] for r in back.select("type").distinct().collect()}
     assert types <= {S.MSG_PING_UPDATE, S.MSG_DNS_UPDATE}
+
+
+def test_hot_day_is_split_and_small_days_share_tasks(spark, tmp_path):
+    """Files follow the size of the days, not one for each host and day."""
+    import glob
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        pm = load_pm(spark, SF_SMALL)
+        hot = spark.range(20_000).selectExpr("id + 1000000 AS id", "timestamp_ntz'2024-01-15 00:00:00' + make_dt_interval(0, 0, 0, id) AS timestamp", "'8.8.8.8' AS target_host", "rand(1) AS response_time_ms", "false AS packet_loss", "CAST(NULL AS STRING) AS error_message", "timestamp_ntz'2024-01-15 00:00:00' AS created_at")
+        append_metrics(pm.unionByName(hot), str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    per_day = {}
+    for f in glob.glob(str(tmp_path / "t" / "*" / "*" / "*.parquet")):
+        day = f.split("metric_date=")[1].split("/")[0]
+        per_day[day] = per_day.get(day, 0) + 1
+    assert per_day["2024-01-15"] >= 2
+    assert sum(n for d, n in per_day.items() if d != "2024-01-15") <= 2 * len(per_day)
+
+
+def test_plans_run_nothing_when_built(spark, tmp_path):
+    """No job runs before an action, on stored tables too."""
+    from linkwatch.operators import downtime as D
+    from linkwatch.operators import latest as L
+
+    append_metrics(load_pm(spark, SF_SMALL), str(tmp_path / "t"))
+    table = scan_metrics(spark, str(tmp_path / "t"))
+    sc = spark.sparkContext
+    sc.setJobGroup("build", "plan building")
+    try:
+        L.latest_per_host(table)
+        D.downtime_periods(table, AS_OF, hours=None)
+        D.affected_pings(table, AS_OF, hours=None)
+        assert list(sc.statusTracker().getJobIdsForGroup("build")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_watchlist_remove_forgets_latest(spark):
+    from linkwatch.operators import latest as L
+    from linkwatch.operators import watchlist as W
+
+    latest = L.latest_per_host(load_pm(spark, SF_SMALL))
+    gone = latest.first()[S.HOST]
+    left = {r[S.HOST] for r in W.forget_hosts(latest, [gone]).collect()}
+    assert gone not in left and len(left) == latest.count() - 1
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from linkwatch.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session)
