@@ -10,7 +10,7 @@ from __future__ import annotations
 from datetime import datetime
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwatch import schema as S
@@ -73,16 +73,53 @@ def avg_response_time_by_hour(pm: DataFrame, as_of: datetime, host: str | None =
     return hourly_stats(pm, as_of, hours=168, host=host, unit="hour")
 
 
+#: Value ranges that a key's response times are counted in to find a rank.
+RANGES = 1024
+
+
+def _values_at_ranks(hist: DataFrame, totals: DataFrame, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles per key, by rank selection: ``keys, _q0, _q1, ...``.
+
+    ``hist`` holds (keys, value, count), ``totals`` (keys, least, greatest and number
+    of values). The values of a key fall into equal ranges; running counts over
+    the ranges tell which ones hold a wanted rank, and only those are ranked value
+    by value. A key's values are spread over its ranges, and no task holds them all.
+    """
+    names, v, n = list(keys), F.col(S.RT), F.col("_n")
+    known = totals.select(*[F.col(k).alias(f"_k_{k}") for k in names], "_low", "_high", "_known").where("_known > 0")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names]
+    width = F.col("_high") - F.col("_low")
+    part = F.when(width > 0, F.least(F.floor((v - F.col("_low")) / width * F.lit(RANGES)), F.lit(RANGES - 1))).otherwise(F.lit(0)).cast("int")
+    rows = hist.where(v.isNotNull()).join(known, same).select(*names, S.RT, "_n", "_known", part.alias("_part"))
+    counts = rows.groupBy(*names, "_part").agg(F.sum("_n").alias("_c"), F.first("_known").alias("_total"))
+    before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    place = lambda p: F.lit(p) * (F.col("_total") - F.lit(1))
+    wanted = F.array(*[x.cast("long") for p in shares for x in (F.floor(place(p)), F.ceil(place(p)))])
+    counts = counts.withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))
+    counts = counts.where(F.size("_ranks") > 0).select(*[F.col(k).alias(f"_k_{k}") for k in names], F.col("_part").alias("_p"), "_before", "_ranks")
+    held = rows.join(counts, [*same, F.col("_part") == F.col("_p")])
+    inside = Window.partitionBy(*names, "_part").orderBy(S.RT).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    hits = lambda r: (r >= F.col("_at")) & (r < F.col("_at") + n)
+    held = held.where(F.exists("_ranks", hits)).withColumnRenamed("_known", "_total")
+    out = []
+    for i, p in enumerate(shares):
+        low, high = F.floor(place(p)), F.ceil(place(p))
+        at = lambda r: F.max(F.when(hits(r), v))  # noqa: E731, B023
+        share = F.max(place(p) - low)
+        out.append((at(low) + (at(high) - at(low)) * share).alias(f"_q{i}"))
+    return held.groupBy(*names).agg(*out)
+
+
 def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Probe summary per ``keys``: counts, mean/min/max, exact median and p95
     (linear interpolation, NULLs ignored), losses, loss fraction, first/last.
 
-    Stage 1 groups by ``keys + response_time_ms`` (shuffle spreads a hot key
-    over all reducers by value); stage 2 groups by ``keys`` and computes the
-    percentiles from the value histogram with ``percentile(value, p, freq)``.
-    Stage 2's per-key state is a map of distinct response times, bounded by
-    the probe timeout over the stored resolution (3000 ms at 0.01 ms), not by
-    the row count.
+    Grouping by ``keys + response_time_ms`` first spreads a hot key over all
+    reducers; sums per key follow from that histogram, and the percentiles are
+    picked from it by rank (``_values_at_ranks``), without a state per key that
+    grows with its values.
     """
     names = list(keys)
     hist = rows.groupBy(*names, F.col(S.RT)).agg(
@@ -92,25 +129,27 @@ def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max(S.TS).alias("_last"),
     )
     rt, n = F.col(S.RT), F.col("_n")
-    pct = F.percentile(rt, [0.5, 0.95], n)
     agg = hist.groupBy(*names).agg(
         F.sum(n).alias("total_pings"),
         F.try_divide(F.sum(rt * n.cast("double")), F.sum(F.when(rt.isNotNull(), n))).alias("avg_response_time"),
-        F.min(rt).alias("min_response_time"),
-        F.max(rt).alias("max_response_time"),
-        pct.alias("_pct"),
+        F.min(rt).alias("_low"),
+        F.max(rt).alias("_high"),
+        F.sum(F.when(rt.isNotNull(), n)).alias("_known"),
         F.sum("_losses").alias("packet_losses"),
         F.min("_first").alias("first_ping"),
         F.max("_last").alias("last_ping"),
     )
-    return agg.select(
+    pct = _values_at_ranks(hist, agg, names, (0.5, 0.95))
+    pct = pct.select(*[F.col(k).alias(f"_k_{k}") for k in names], "_q0", "_q1")
+    out = agg.join(pct, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names], "left")
+    return out.select(
         *names,
         "total_pings",
         "avg_response_time",
-        "min_response_time",
-        "max_response_time",
-        F.col("_pct")[0].alias("median_response_time"),
-        F.col("_pct")[1].alias("p95_response_time"),
+        F.col("_low").alias("min_response_time"),
+        F.col("_high").alias("max_response_time"),
+        F.col("_q0").alias("median_response_time"),
+        F.col("_q1").alias("p95_response_time"),
         "packet_losses",
         _loss_rate(F.col("packet_losses"), F.col("total_pings")).alias("packet_loss_rate"),
         "first_ping",
@@ -178,7 +217,9 @@ def overall_summary(pm: DataFrame, as_of: datetime, hours: float | None = None,
                     full_history: bool = False) -> DataFrame:
     """The summary over all hosts together (one row)."""
     rows = pm if full_history else since(pm, window_start(as_of, hours=hours or (None if minutes else 24), minutes=minutes))
-    summ = summarize(rows.withColumn("_all", F.lit(1)), ["_all"])
+    # One key for all rows; not a literal, on which joins would turn into nested loops.
+    one = F.coalesce(F.least(F.length(S.HOST), F.lit(0)), F.lit(0))
+    summ = summarize(rows.withColumn("_all", one), ["_all"])
     return summ.drop("_all").select(
         "*", _uptime(F.col("total_pings"), F.col("packet_loss_rate")).alias("uptime_percentage")
     )

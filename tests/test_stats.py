@@ -190,3 +190,35 @@ def test_orders(spark):
     assert len(starts) > 4 and starts == sorted(starts, reverse=True)
     times = [r[S.TS] for r in P.chart_series(make_pm(spark, flags_to_rows("F" * 50, start=AS_OF - timedelta(minutes=30))), AS_OF).collect()]
     assert len(times) == 50 and times == sorted(times)
+
+
+def test_percentiles_by_rank_equal_interpolation(spark):
+    """Random values, ties, single values and none, against the definition."""
+    import random as rnd
+
+    r, rows = rnd.Random(5), []
+    for host, values in {
+        "many": [r.lognormvariate(3, 1) for _ in range(300)],
+        "ties": [5.0] * 40 + [7.0] * 41,
+        "one": [3.25],
+        "two": [1.0, 2.0],
+        "none": [],
+        "wide": [0.0, 1e9, 1.0, 2.0, 3.0],
+    }.items():
+        for i, v in enumerate([*values, None]):
+            rows.append((len(rows), AS_OF - timedelta(minutes=i), host, v, v is None, None, AS_OF))
+    got = {x["host"]: x for x in A.host_summary(make_pm(spark, rows), AS_OF, full_history=True).collect()}
+
+    def want(host, p):
+        v = sorted(x[3] for x in rows if x[2] == host and x[3] is not None)
+        if not v:
+            return None
+        at = p * (len(v) - 1)
+        low, high = v[int(at)], v[-int(-at // 1)]
+        return low + (high - low) * (at - int(at))
+
+    for host, x in got.items():
+        for name, p in (("median_response_time", 0.5), ("p95_response_time", 0.95)):
+            assert x[name] == (None if want(host, p) is None else pytest.approx(want(host, p)))
+    total = A.overall_summary(make_pm(spark, rows), AS_OF, full_history=True).first()
+    assert total["total_pings"] == len(rows)
