@@ -4,7 +4,7 @@ Every element gets a density: its characters per tag, adjusted for links (the
 share of link text lowers it). The sum of the densities of an element's children
 is greatest for the element that holds the article. The least density on the
 path from it to the body is the threshold: beside that path, elements at or
-above it belong to the article too; within the chosen element, blocks under it
+above it belong to the article too, and so does one with the h1; within the chosen element, blocks under it
 that are mostly links go, and the rest stays, short paragraphs too.
 
 The element chosen is lifted to the article element around it, if there is one.
@@ -38,13 +38,15 @@ BLOCKS = frozenset(
 #: Start tags that end an open paragraph, and those that end an open element of the same kind.
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"} | {"form", "nav", "footer", "header", "aside", "menu"}
 ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of class, id and role that mark what isn't the article.
+#: Words of class, id and role that mark what isn't the article, and those of a page's header.
 NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-bar|nav(?:bar|igation)?|menu|breadcrumbs?|footer|masthead|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|reviews|"
-    r"pagination|pager|toolbar|widget|complementary|contentinfo|dialog|search|login|disclaimer|copyright|skip-link)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar\w*|side-bar|(?:top|sub|main)?nav(?:bar|igation)?|(?:top|sub|main)?menu|breadcrumbs?|footer\w*|masthead|"
+    r"cookies?|cookie(?:bar|banner|notice)|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|share|sharing|social|related|recommend(?:ed|ations?)|"
+    r"comments?|comment(?:list|section|form)|disqus|replies|reviews|pagination|pager|toolbar|widgets?|complementary|contentinfo|dialog|search|login|disclaimer|copyright|skip-link)(?:$|[\s_-]|\d)",
     re.I,
 )
+PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|web)[_-])?header(?:$|\s)", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[a-zA-Z/][^<>]*$", re.S)
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
@@ -53,13 +55,23 @@ _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"(
 class Node:
     """An element: its name, its texts and elements in order, and its counts."""
 
-    __slots__ = ("chars", "density", "kids", "link_chars", "links", "name", "parent", "tags", "total")
+    __slots__ = ("chars", "density", "in_article", "kids", "link_chars", "links", "name", "parent", "tags", "total")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.kids = name, parent, []
+        self.in_article = name == "article" or parent is not None and parent.in_article
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.total = 0.0
 
+    def within(self) -> list[Node]:
+        """The element itself and those in it, parents before children."""
+        out, stack = [], [self]
+        while stack:
+            x = stack.pop()
+            out.append(x)
+            stack.extend(k for k in reversed(x.kids) if isinstance(k, Node))
+        return out
+
     def up(self) -> Iterator[Node]:
         """The element itself and those around it."""
         node = self
@@ -68,13 +80,14 @@ class Node:
             node = node.parent
 
 
-def _left_out(name: str, attributes: str) -> bool:
-    if name in SKIPPED:
+def _left_out(name: str, attributes: str, in_article: bool) -> bool:
+    if name in SKIPPED or name == "header" and not in_article:
         return True
     for m in _MARK.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
-            if name not in ("html", "body", "main", "article") and NOT_ARTICLE.search(value):
+            value = _CAMEL.sub("-", value)
+            if name not in ("html", "body", "main", "article") and (NOT_ARTICLE.search(value) or not in_article and PAGE_HEADER.search(value)):
                 return True
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
@@ -105,7 +118,7 @@ def parse(page: str) -> Node:
                 skipped = skipped if open_ else ""
         elif closing:
             at = next((x.parent for x in at.up() if x.name == name and x.parent), at)
-        elif _left_out(name, m[3]) or name == "header" and all(x.name != "article" for x in at.up()):
+        elif _left_out(name, m[3], at.in_article):
             if name not in VOID and not empty:
                 skipped, open_ = name, 1
         elif name != "html":
@@ -122,14 +135,9 @@ def parse(page: str) -> Node:
     return root
 
 
-def measure(node: Node) -> list[Node]:
-    """Fills the counts of all elements and returns them, children before parents."""
-    order, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        order.append(x)
-        stack.extend(k for k in x.kids if isinstance(k, Node))
-    order.reverse()
+def measure(node: Node) -> None:
+    """Fills the counts of an element and of all in it."""
+    order = node.within()[::-1]
     for x in order:
         for k in x.kids:
             if isinstance(k, Node):
@@ -147,22 +155,26 @@ def measure(node: Node) -> list[Node]:
         x.density = c / max(x.tags, 1) * math.log(max(spread, 1.0)) / math.log(max(base, math.e)) if c and base > 0 else 0.0
     for x in order:
         x.total = sum(k.density for k in x.kids if isinstance(k, Node))
-    return order
 
 
 def _mostly_links(x: Node) -> bool:
     return 2 * x.link_chars > x.chars
 
 
+def _titled(x: Node) -> bool:
+    """Whether an element is or holds a first-rank heading."""
+    return any(k.name == "h1" for k in x.within())
+
+
 def article_text(page: str | None) -> str:
     """The article's blocks, one to a line, white space within a block as one space."""
     root = parse(page or "")
-    order = measure(root)
-    body = next((x for x in order if x.name == "body"), root)
-    # Of equal sums the first in the page; without elements the body itself.
-    best = max((x for x in reversed(order) if x.name in BLOCKS and body in x.up()), key=lambda x: x.total, default=body)
+    measure(root)
+    body = next((x for x in root.within() if x.name == "body"), root)
+    # Of equal sums the first in the page.
+    best = max((x for x in body.within() if x.name in BLOCKS), key=lambda x: x.total, default=body)
     best = next((x for x in best.up() if x.name == "article"), best)
-    path = list(best.up())
+    path = set(best.up())
     threshold = min((x.density for x in path if x is not root), default=0.0)
     blocks: list[list[str]] = [[]]
 
@@ -180,7 +192,7 @@ def article_text(page: str | None) -> str:
                 blocks[-1].append(" ")
                 continue
             here = inside or k is best
-            if not here and k not in path and (k.density < threshold or _mostly_links(k)):
+            if not here and k not in path and (k.density < threshold and not _titled(k) or _mostly_links(k)):
                 continue
             if inside and k.name in BLOCKS and k.density < threshold and _mostly_links(k):
                 continue
