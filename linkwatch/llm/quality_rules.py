@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwatch.llm.common import BLANKS, written
+from linkwatch.llm.common import BLANKS, small_batches, written
 
 MIN_WORDS = 50
 THRESHOLD = 0.5
@@ -213,6 +213,7 @@ def judge_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     its own result, also rows that repeat a doc_id or lack one. Other columns
     are ignored. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text")).alias("f")).select("doc_id", "f.*")
     rows = written(rows, "quality-features")
     model = fit(rows)
@@ -227,6 +228,7 @@ def keep_quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     The counts are taken twice, once for the model and once to filter: they cost
     less than a shuffle of the texts.
     """
+    small_batches(docs.sparkSession)
     model = fit(docs.select(features(F.col("text")).alias("f")).select("f.*"))
     names = docs.columns
     counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), features(F.col("text")).alias("f"))
