@@ -50,9 +50,10 @@ def places(n: Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, length, words) of the items with a shingle at least, without repeats."""
+    """(item_key, item_id, length, words) of the items with a shingle at least, without repeats."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normal_words(F.col("text")).alias("words"))
-    return items.withColumn("length", F.size("words")).where(F.col("length") >= SHINGLE).dropDuplicates(["item_id", "words"])
+    items = items.withColumns({"item_key": F.xxhash64("item_id", "words"), "length": F.size("words")})
+    return items.where(F.col("length") >= SHINGLE).dropDuplicates(["item_key"])
 
 
 def known_shingles(items: DataFrame) -> DataFrame:
@@ -110,12 +111,12 @@ def blocks_of(fingerprint: Column) -> Column:
 
 
 def listed_items(items: DataFrame) -> DataFrame:
-    """(length, block, value, item_id, item_words, item_print): each item under all values close to its own."""
+    """(length, block, value, item_key, item_print): each item under all values close to its own."""
     close = [m for m in range(1 << _BITS) if m.bit_count() <= RADIUS // BLOCKS]
-    rows = items.select("length", "item_id", F.col("words").alias("item_words"), simhash(F.col("words")).alias("item_print"))
+    rows = items.select("length", "item_key", simhash(F.col("words")).alias("item_print"))
     rows = rows.withColumn("b", F.explode(blocks_of(F.col("item_print"))))
     rows = rows.withColumn("mask", F.explode(F.array(*map(F.lit, close))))
-    return rows.select("length", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"), "item_id", "item_words", "item_print")
+    return rows.select("length", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"), "item_key", "item_print")
 
 
 def suspect_documents(docs: DataFrame, table: list[int], least: int) -> DataFrame:
@@ -192,9 +193,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     windows = windows.withColumn("wording", F.xxhash64("words"))
     wordings = windows.groupBy("length", "wording").agg(F.min("words").alias("words"))
     prints = wordings.withColumn("print", simhash(F.col("words")))
-    asked = prints.withColumn("b", F.explode(blocks_of(F.col("print")))).select("length", "wording", "words", "print", "b.*")
+    prints = written(prints, "leak-prints")
+    asked = prints.withColumn("b", F.explode(blocks_of(F.col("print")))).select("length", "wording", "print", "b.*")
     close = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
-    pairs = asked.join(listed_items(items), ["length", "block", "value"]).where(close).dropDuplicates(["length", "wording", "item_id", "item_words"])
+    # Rows multiply in the listing, which Spark's estimate doesn't know: no broadcast.
+    pairs = asked.join(listed_items(items).hint("merge"), ["length", "block", "value"]).where(close)
+    pairs = pairs.select("length", "wording", "item_key").distinct()
+    pairs = pairs.join(prints.select("length", "wording", "words"), ["length", "wording"])
+    pairs = pairs.join(items.select("item_key", "item_id", F.col("words").alias("item_words")), "item_key")
     pairs = fenced(pairs.withColumns({"a": word_shingles(F.col("words")), "b": word_shingles(F.col("item_words"))}))
     pairs = fenced(pairs.withColumn("similarity", weighted_similarity(F.col("a"), F.col("b"))))
     sure = pairs.where(F.col("similarity") >= threshold)
