@@ -87,9 +87,22 @@ class ToxicModel:
         return float(sigmoid(np.dot(self.curve[:-1], self.savings(text)) + self.curve[-1]))
 
 
-def _pieces(word: bytes) -> set[bytes]:
-    """Pieces of a word between blanks; the first may begin with the blank."""
-    return {word[i : i + k] for k in PIECES for i in range(len(word) - k)}
+def _frequent_pieces(words: list[bytes], least: float) -> dict[bytes, int]:
+    """Pieces of words between blanks that ``least`` words have; the first piece may begin with the blank.
+
+    Length by length: a piece can't be more frequent than its beginning.
+    """
+    out: dict[bytes, int] = {}
+    before: dict[bytes, int] | None = None
+    for k in PIECES:
+        counts = Counter(p for w in words for p in {w[i : i + k] for i in range(len(w) - k)} if before is None or p[:-1] in before)
+        before = {p: n for p, n in counts.items() if n >= least}
+        out |= before
+    return out
+
+
+def _pieces_among(word: bytes, known: dict[bytes, int] | set[bytes]) -> set[bytes]:
+    return {p for k in PIECES for i in range(len(word) - k) if (p := word[i : i + k]) in known}
 
 
 def peculiar_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
@@ -98,16 +111,17 @@ def peculiar_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     A setting is the word before and after: words that repeat only because whole
     texts were copied have few.
     """
-    common = Counter(p for t in ordinary for w in set(windows(t, 1)) for p in _pieces(w))
     settings: set[tuple[bytes, ...]] = set()
     for t in toxic:
         w = [b"", *(t or "").encode("utf-8", "replace").split(), b""]
         settings.update(zip(w, w[1:], w[2:]))
     words = [b" " + w + b" " for _, w, _ in sorted(settings)]
-    counts = Counter(p for w in words for p in _pieces(w))
+    del settings
     least, share = max(4, 0.02 * len(toxic)), len(ordinary) / len(toxic)
-    own = {p for p, n in counts.items() if n >= least and (common[p] + 0.5) * TIMES <= n * share}
-    return [w for w in words if not own.isdisjoint(_pieces(w))]
+    frequent = _frequent_pieces(words, least)
+    common = Counter(p for t in ordinary for w in set(windows(t, 1)) for p in _pieces_among(w, frequent))
+    own = {p for p, n in frequent.items() if (common[p] + 0.5) * TIMES <= n * share}
+    return [w for w in words if _pieces_among(w, own)]
 
 
 def fit_toxicity(sample: pd.DataFrame) -> ToxicModel:
