@@ -35,11 +35,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words of a text, empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows handed to Python at once, unless the session sets its own number:
     whole texts can be long, and two batches of them live in each worker."""
