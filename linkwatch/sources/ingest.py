@@ -10,7 +10,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linkwatch import schema as S
 from linkwatch.functions.present import location_label, or_placeholder
