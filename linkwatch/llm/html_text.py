@@ -4,13 +4,13 @@ Every element gets a density: its characters per tag, adjusted for links (the
 share of link text lowers it). The sum of the densities of an element's children
 is greatest for the element that holds the article. The least density on the
 path from it to the body is the threshold: beside that path, elements at or
-above it belong to the article too, and so does one with the h1; within the chosen element, blocks under it
-that are mostly links go, and the rest stays, short paragraphs too.
+above it belong to the article too, and so does one with the h1; within the chosen element everything stays,
+short paragraphs and lists of links too.
 
 The element chosen is lifted to the article element around it, if there is one.
 Elements that never hold the article (navigation, footers, forms, scripts, and
 those whose class, id or role says advert, sidebar, notice, comments and the
-like) are left out before densities are taken.
+like) are left out before densities are taken, unless most of the page's text stands in one.
 """
 
 from __future__ import annotations
@@ -39,26 +39,34 @@ BLOCKS = frozenset(
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"} | {"form", "nav", "footer", "header", "aside", "menu"}
 ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of class, id and role that mark what isn't the article, and those of a page's header.
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar\w*|side-bar|(?:top|sub|main)?nav(?:bar|igation)?|(?:top|sub|main)?menu|breadcrumbs?|footer\w*|masthead|"
+_PARTS = (
+    r"ads?|advert\w*|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar\w*|side-bar|(?:top|sub|main)?nav(?:bar|igation)?|(?:top|sub|main)?menu|breadcrumbs?|footer\w*|masthead|"
     r"cookies?|cookie(?:bar|banner|notice)|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|share|sharing|social|related|recommend(?:ed|ations?)|"
-    r"comments?|comment(?:list|section|form)|disqus|replies|reviews|pagination|pager|toolbar|widgets?|complementary|contentinfo|dialog|search|login|disclaimer|copyright|skip-link)(?:$|[\s_-]|\d)",
-    re.I,
+    r"comments?|comment(?:list|section|form)|disqus|replies|reviews|pagination|pager|toolbar|widgets?|complementary|contentinfo|dialog|search|login|disclaimer|copyright|skip-link"
 )
+NOT_ARTICLE = re.compile(rf"(?:^|[\s_-])(?:{_PARTS})(?:$|[\s_-]|\d)", re.I)
 PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|web)[_-])?header(?:$|\s)", re.I)
+#: Parts that may stand beside those in one word; others (has-sidebar, social-issues) make it a word for something else.
+BESIDE = "box|left|right|top|bottom|upper|lower|container|wrapper|wrap|block|section|list|area|bar|inner|outer|links?|posts?|articles|stories|items?|buttons?|icons?|main|page|site|global|primary|secondary|group|slot|unit|text|form|panel|strip|message|media|bottom|mobile|desktop|sticky|wp|js"
+_WHOLE = re.compile(rf"(?:(?:{_PARTS}|{BESIDE}|\d+)(?:[_-]+|$|(?=\d)))+", re.I)
+#: Names and words of parts that may be mistaken for the article's, as they hold most of a page's text; comments often do.
+MAY_HOLD = frozenset("nav header footer aside form".split())
+COMMENTS = re.compile(r"comment|disqus|replies|reviews", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[a-zA-Z/][^<>]*$", re.S)
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: An attribute: its name, and its value as it may be quoted.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
 class Node:
     """An element: its name, its texts and elements in order, and its counts."""
 
-    __slots__ = ("chars", "density", "in_article", "kids", "link_chars", "links", "name", "parent", "tags", "total")
+    __slots__ = ("chars", "density", "in_article", "kids", "left_out", "link_chars", "links", "name", "parent", "tags", "total")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.kids = name, parent, []
+        self.left_out = ""
         self.in_article = name == "article" or parent is not None and parent.in_article
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.total = 0.0
@@ -80,29 +88,35 @@ class Node:
             node = node.parent
 
 
-def _left_out(name: str, attributes: str, in_article: bool) -> bool:
+def _marked(value: str) -> bool:
+    """Whether a word of a class, id or role marks what isn't the article."""
+    return any(NOT_ARTICLE.search(w) and _WHOLE.fullmatch(w) for w in value.split())
+
+
+def _left_out(name: str, attributes: str, in_article: bool) -> str:
+    """"" for what stays, "maybe" for what goes unless most of the text stands in it, "yes" for what goes."""
+    out = ""
     if name in SKIPPED or name == "header" and not in_article:
-        return True
-    for m in _MARK.finditer(attributes):
+        out = "maybe" if name in MAY_HOLD else "yes"
+    for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
             value = _CAMEL.sub("-", value)
-            if name not in ("html", "body", "main", "article") and (NOT_ARTICLE.search(value) or not in_article and PAGE_HEADER.search(value)):
-                return True
+            if name not in ("html", "body", "main", "article") and (_marked(value) or not in_article and PAGE_HEADER.search(value)):
+                out = "yes" if out == "yes" or COMMENTS.search(value) else "maybe"
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return "yes"
+    return out
 
 
 def parse(page: str) -> Node:
     """The element tree of a page, without what is left out."""
     root = at = Node("html", None)
-    skipped, open_ = "", 0  # the element left out, and how many of its name are open
     pos = 0
     while pos < len(page):
         m = _TOKEN.search(page, pos)
         text = page[pos : m.start() if m else len(page)]
-        if text and not skipped:
+        if text:
             at.kids.append(text)
         if not m:
             break
@@ -112,15 +126,8 @@ def parse(page: str) -> Node:
             continue
         if not closing and name in RAW and not empty:
             pos = re.compile(rf"</{re.escape(name)}\s*>|$(?!\n)", re.I).search(page, pos).end()
-        elif skipped:
-            if name == skipped and not empty:
-                open_ += -1 if closing else 1
-                skipped = skipped if open_ else ""
         elif closing:
             at = next((x.parent for x in at.up() if x.name == name and x.parent), at)
-        elif _left_out(name, m[3], at.in_article):
-            if name not in VOID and not empty:
-                skipped, open_ = name, 1
         elif name != "html":
             # Start tags end an open paragraph or list item before them.
             ends, stop = ENDS_OWN.get(name, frozenset()), ("ul", "ol", "dl", "table") if name in ENDS_OWN else BLOCKS - {"p"}
@@ -130,11 +137,29 @@ def parse(page: str) -> Node:
                 elif x.name in stop:
                     break
             node = Node(name, at)
+            node.left_out = _left_out(name, m[3], at.in_article)
+            # The body ends a head that is left open.
+            if name == "body" and at.name == "head":
+                node.parent = at = root
             at.kids.append(node)
             at = at if name in VOID or empty else node
+    _leave_out(root)
     return root
 
 
+def _leave_out(root: Node) -> None:
+    """Takes the elements to be left out from the tree, but for those that hold most of its text beside links."""
+    order = [x for x in root.within()]
+    own: dict[Node, int] = {}
+    for x in reversed(order):
+        if x.left_out == "yes" or x.name == "a":
+            own[x] = 0
+        else:
+            own[x] = sum(own[k] if isinstance(k, Node) else len(k) - k.count(" ") - k.count("\n") for k in x.kids)
+    for x in order:
+        x.kids = [k for k in x.kids if isinstance(k, str) or not k.left_out or k.left_out == "maybe" and 2 * own[k] > own[root]]
+
+
 def measure(node: Node) -> None:
     """Fills the counts of an element and of all in it."""
     order = node.within()[::-1]
@@ -194,8 +219,6 @@ def article_text(page: str | None) -> str:
             here = inside or k is best
             if not here and k not in path and (k.density < threshold and not _titled(k) or _mostly_links(k)):
                 continue
-            if inside and k.name in BLOCKS and k.density < threshold and _mostly_links(k):
-                continue
             ends = [(None, False)] if k.name in BLOCKS else []
             stack.extend(ends + [(y, here) for y in reversed(k.kids)] + ends)
 
