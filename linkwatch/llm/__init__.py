@@ -1,4 +1,4 @@
-"""Training-data operators: the ten corpus operators and their queries.
+"""Training-data operators: the corpus operators and their queries.
 
 Nothing outside this subpackage imports it; ``catalog`` holds the registered
 queries and their DuckDB SQL.

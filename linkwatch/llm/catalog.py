@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwatch.llm import decontamination, html_text, licenses, line_crf, line_dedup, mixing, near_dup, quality_rules, toxicity, warc_zip
+from linkwatch.llm import decontamination, html_text, licenses, line_crf, line_dedup, mixing, near_dup, pieces, quality_rules, toxicity, warc_zip
 from linkwatch.llm.common import read_table
 
 
@@ -62,8 +63,14 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and the text they stand for, as digests."""
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.piece_digests(read_table(spark, sf_dir, "documents"), model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licenses, op2_html_text, op3_quality_crf, op4_quality_rules, op5_warc_zip, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup)
+    every = (op1_licenses, op2_html_text, op3_quality_crf, op4_quality_rules, op5_warc_zip, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup, op11_pieces)
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
