@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwatch.llm import decontamination, html_text, licenses, line_crf, line_dedup, mixing, near_dup, pieces, quality_rules, toxicity, warc_zip
+from linkwatch.llm import decontamination, html_text, licenses, line_crf, line_dedup, mixing, near_dup, pieces, quality_rules, spelling, toxicity, warc_zip
 from linkwatch.llm.common import read_table
 
 
@@ -69,8 +69,13 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(read_table(spark, sf_dir, "documents"), model)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents."""
+    return spelling.spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licenses, op2_html_text, op3_quality_crf, op4_quality_rules, op5_warc_zip, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup, op11_pieces)
+    every = (op1_licenses, op2_html_text, op3_quality_crf, op4_quality_rules, op5_warc_zip, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup, op11_pieces, op12_spelling)
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
@@ -81,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": line_dedup.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
         "op9_decontamination": decontamination.ORACLE_SQL,
+        "op12_spelling": spelling.ORACLE_SQL,
     }
