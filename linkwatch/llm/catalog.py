@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwatch.llm import decontamination, html_text, licenses, line_crf, line_dedup, mixing, near_dup, pieces, quality_rules, spelling, toxicity, warc_zip
+from linkwatch.llm import decontamination, divergence, html_text, licenses, line_crf, line_dedup, mixing, near_dup, pieces, quality_rules, spelling, toxicity, warc_zip
 from linkwatch.llm.common import read_table
 
 
@@ -74,8 +74,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source against the others of its language, and its own terms."""
+    return divergence.audit_sources(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licenses, op2_html_text, op3_quality_crf, op4_quality_rules, op5_warc_zip, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup, op11_pieces, op12_spelling)
+    every = (op1_licenses, op2_html_text, op3_quality_crf, op4_quality_rules, op5_warc_zip, op6_line_dedup, op7_toxicity, op8_mixing, op9_decontamination, op10_near_dup, op11_pieces, op12_spelling, op13_divergence)
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
@@ -87,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": mixing.ORACLE_SQL,
         "op9_decontamination": decontamination.ORACLE_SQL,
         "op12_spelling": spelling.ORACLE_SQL,
+        "op13_divergence": divergence.ORACLE_SQL,
     }
