@@ -48,6 +48,18 @@ def since(pm: DataFrame, start: datetime | None) -> DataFrame:
     return out.where(F.col(S.TS) >= ts_literal(start))
 
 
+def between(rows: DataFrame, time: str, begin: datetime | None, end: datetime | None) -> DataFrame:
+    """Rows with ``begin <= time < end``, by whole dates too on a stored table; ``None`` sets no bound."""
+    dated = S.METRIC_DATE in rows.columns
+    if begin is not None:
+        rows = rows.where(F.col(S.METRIC_DATE) >= F.lit(begin.date())) if dated else rows
+        rows = rows.where(F.col(time) >= ts_literal(begin))
+    if end is not None:
+        rows = rows.where(F.col(S.METRIC_DATE) <= F.lit(end.date())) if dated else rows
+        rows = rows.where(F.col(time) < ts_literal(end))
+    return rows
+
+
 def since_hours(pm: DataFrame, as_of: datetime, hours: float | None) -> DataFrame:
     """Look-back window in hours; falsy ``hours`` means the full history."""
     return since(pm, window_start(as_of, hours=hours))

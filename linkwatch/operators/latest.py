@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwatch import schema as S
-from linkwatch.operators.filters import chart_series, host_filter, since_hours, since_minutes
+from linkwatch.functions.timefns import bucket, ts_literal
+from linkwatch.operators.filters import between, chart_series, host_filter, since_hours, since_minutes
 
 
 def _order_key():
@@ -98,6 +99,60 @@ def recent_metrics(
     return ordered.limit(limit)
 
 
+#: Time units by which a page is found, each within one of the unit before.
+PAGE_UNITS = ("day", "hour", "minute", "second")
+
+
+def _find(rows: DataFrame, position: int, hourly: DataFrame | None) -> tuple[datetime, datetime, int] | None:
+    """(begin, end, newer): the second that holds the ``position``-th row, newest first, and the rows after it; None beyond the last row."""
+    begin = end = None
+    newer = 0
+    for unit in PAGE_UNITS:
+        if hourly is not None and unit in ("day", "hour"):
+            source, time, n = hourly, "hour_bucket", F.sum("probes")
+        else:
+            source, time, n = rows, S.TS, F.count(F.lit(1))
+        if begin is not None:
+            source = between(source, time, begin, end)
+        counts = source.groupBy(bucket(time, unit).alias("at")).agg(n.alias("n"))
+        # One row for each unit within the one above, or for each date.
+        upto = Window.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("upto", F.lit(newer) + F.sum("n").over(upto)).where(F.col("upto") > position)
+        hit = counts.orderBy(F.desc("at")).limit(1).collect()
+        if not hit:
+            return None
+        begin, newer = hit[0]["at"], hit[0]["upto"] - hit[0]["n"]
+        end = begin + timedelta(**{f"{unit}s": 1})
+    return begin, end, newer
+
+
+def metrics_page(pm: DataFrame, offset: int, limit: int, host: str | None = None, hourly: DataFrame | None = None) -> DataFrame:
+    """The page ``[offset, offset + limit)`` of all rows, newest first, without sorting what is newer.
+
+    Counts by date, hour, minute and second find where the page begins and ends
+    (a few small jobs as the plan is built, each within the unit found before);
+    only rows of that range are sorted, so a task and the driver hold a page and
+    a second's rows, whatever the offset. ``hourly`` (a ``Rollup``'s rows) saves
+    the counts of dates and hours.
+    """
+    cols = [c for c in S.METRIC_COLUMNS if c in pm.columns]
+    rows = host_filter(pm, host)
+    hourly = host_filter(hourly, host) if hourly is not None else None
+    first = _find(rows, offset, hourly) if limit > 0 else None
+    if first is None:
+        return rows.select(*cols).where("false")
+    last = _find(rows, offset + limit - 1, hourly)
+    page = between(rows, S.TS, last[0] if last else None, first[1]).select(*cols)
+    return page.orderBy(F.desc(S.TS), F.desc(S.ID)).offset(offset - first[2]).limit(limit)
+
+
+def next_page(pm: DataFrame, after: tuple[datetime, int], limit: int, host: str | None = None) -> DataFrame:
+    """The ``limit`` rows that follow the row with time and id ``after``, newest first."""
+    ts, metric_id = ts_literal(after[0]), F.lit(after[1])
+    older = between(pm, S.TS, None, after[0] + timedelta(microseconds=1))
+    return metrics_page(older.where((F.col(S.TS) < ts) | (F.col(S.ID) < metric_id)), 0, limit, host)
+
+
 def current_response(pm: DataFrame, as_of: datetime, preset: str = "1hr", host: str | None = None) -> DataFrame:
     """Latest answered response time per host within the chart window,
     with its display label ``%.1fms`` (columns ``target_host,

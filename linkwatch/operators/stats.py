@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from linkwatch import schema as S
 from linkwatch.functions.timefns import bucket, ts_literal, window_start
+from linkwatch.session import written
 from linkwatch.operators.filters import (
     host_filter,
     hosts_filter,
@@ -73,40 +74,67 @@ def avg_response_time_by_hour(pm: DataFrame, as_of: datetime, host: str | None =
     return hourly_stats(pm, as_of, hours=168, host=host, unit="hour")
 
 
-#: Value ranges that a key's response times are counted in to find a rank.
-RANGES = 1024
+#: Cells of values: so many for each factor of e, and the parts in which each of those is cut.
+CELLS, FINE = 1024, 2**31
+_SPAN = 1 << 21  # more than any cell's number, either way
+
+
+def _cell(v: Column) -> tuple[Column, Column]:
+    """(coarse, fine): numbers that never fall as the value rises.
+
+    Like the leading and the middle bits of the value: the logarithm in steps, and
+    the place within a step. Neither depends on the values there are. A step has
+    about 2 ** 21 fine cells, and a fine cell about 2 ** 21 doubles.
+    """
+    size = F.abs(v)
+    k = F.least(F.coalesce(F.floor(F.log(size) * CELLS), F.lit(-_SPAN)), F.lit(_SPAN))
+    at = F.coalesce(F.floor((F.try_divide(size, F.exp(k / CELLS)) - 1) * F.lit(float(FINE))), F.lit(0))
+    plain = (k > -_SPAN) & (k < _SPAN)  # neither 0 nor infinite
+    coarse = F.when(F.isnan(v), F.lit(4 * _SPAN)).when(v < 0, -k - 2 * _SPAN).otherwise(k + 2 * _SPAN)
+    fine = F.when(~plain | F.isnan(v), F.lit(0)).when(v < 0, -at).otherwise(at)
+    return coarse.cast("long"), fine.cast("long")
+
+
+def _held(rows: DataFrame, group: Sequence[str], order: str, ranks: Column, before: Column) -> DataFrame:
+    """The rows of each group, by ``order``, that hold one of its wanted ranks: with ``_before``, the values before them, and their ``_ranks``."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_at", before + F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    rows = rows.withColumn("_in", F.filter(ranks, lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_n"))))
+    return rows.where(F.size("_in") > 0).drop("_before", "_ranks").withColumnsRenamed({"_at": "_before", "_in": "_ranks"})
 
 
 def _values_at_ranks(hist: DataFrame, totals: DataFrame, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles per key, by rank selection: ``keys, _q0, _q1, ...``.
+    """Interpolated quantiles per key, by radix selection: ``keys, _q0, _q1, ...``.
 
-    ``hist`` holds (keys, value, count), ``totals`` (keys, least, greatest and number
-    of values). The values of a key fall into equal ranges; running counts over
-    the ranges tell which ones hold a wanted rank, and only those are ranked value
-    by value. A key's values are spread over its ranges, and no task holds them all.
+    ``hist`` holds (keys, value, count), ``totals`` (keys, number of values). Values
+    are counted by coarse cell, then, where a wanted rank lies, by fine cell, then
+    one by one: three rounds of partial counts whatever the values are. A group
+    that is ranked has a few million rows at most, also where a key has every
+    row of the table or one value is far from all others.
     """
-    names, v, n = list(keys), F.col(S.RT), F.col("_n")
-    known = totals.select(*[F.col(k).alias(f"_k_{k}") for k in names], "_low", "_high", "_known").where("_known > 0")
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names]
-    width = F.col("_high") - F.col("_low")
-    part = F.when(width > 0, F.least(F.floor((v - F.col("_low")) / width * F.lit(RANGES)), F.lit(RANGES - 1))).otherwise(F.lit(0)).cast("int")
-    rows = hist.where(v.isNotNull()).join(known, same).select(*names, S.RT, "_n", "_known", part.alias("_part"))
-    counts = rows.groupBy(*names, "_part").agg(F.sum("_n").alias("_c"), F.first("_known").alias("_total"))
-    before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    place = lambda p: F.lit(p) * (F.col("_total") - F.lit(1))
-    wanted = F.array(*[x.cast("long") for p in shares for x in (F.floor(place(p)), F.ceil(place(p)))])
-    counts = counts.withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))
-    counts = counts.where(F.size("_ranks") > 0).select(*[F.col(k).alias(f"_k_{k}") for k in names], F.col("_part").alias("_p"), "_before", "_ranks")
-    held = rows.join(counts, [*same, F.col("_part") == F.col("_p")])
-    inside = Window.partitionBy(*names, "_part").orderBy(S.RT).rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    hits = lambda r: (r >= F.col("_at")) & (r < F.col("_at") + n)
-    held = held.where(F.exists("_ranks", hits)).withColumnRenamed("_known", "_total")
+    names = list(keys)
+    known = totals.where("_known > 0").select(*[F.col(k).alias(f"_k_{k}") for k in names], "_known")
+    coarse, fine = _cell(F.col(S.RT))
+    values = hist.where(F.col(S.RT).isNotNull()).select(*names, S.RT, "_n", coarse.alias("_coarse"), fine.alias("_fine"))
+    cells = values.groupBy(*names, "_coarse", "_fine").agg(F.sum("_n").alias("_n"))
+    steps = cells.groupBy(*names, "_coarse").agg(F.sum("_n").alias("_n"))
+    place = lambda p: F.lit(p) * (F.col("_known") - F.lit(1))
+    wanted = F.array_distinct(F.array(*[x.cast("long") for p in shares for x in (F.floor(place(p)), F.ceil(place(p)))]))
+
+    def within(rows: DataFrame, found: DataFrame, group: Sequence[str]) -> DataFrame:
+        at = found.select(*[F.col(c).alias(f"_k_{c}") for c in group], "_before", "_ranks", "_known")
+        return rows.join(at, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in group]).select(*rows.columns, "_before", "_ranks", "_known")
+
+    steps = steps.join(known, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names]).select(*steps.columns, "_known")
+    steps = _held(steps, names, "_coarse", wanted, F.lit(0).cast("long"))
+    of_step = [*names, "_coarse"]
+    cells = _held(within(cells, steps, of_step), of_step, "_fine", F.col("_ranks"), F.col("_before"))
+    of_cell = [*of_step, "_fine"]
+    held = _held(within(values, cells, of_cell), of_cell, S.RT, F.col("_ranks"), F.col("_before"))
     out = []
     for i, p in enumerate(shares):
         low, high = F.floor(place(p)), F.ceil(place(p))
-        at = lambda r: F.max(F.when(hits(r), v))  # noqa: E731, B023
+        at = lambda r: F.max(F.when(F.array_contains("_ranks", r.cast("long")), F.col(S.RT)))
         share = F.max(place(p) - low)
         out.append((at(low) + (at(high) - at(low)) * share).alias(f"_q{i}"))
     return held.groupBy(*names).agg(*out)
@@ -117,9 +145,10 @@ def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     (linear interpolation, NULLs ignored), losses, loss fraction, first/last.
 
     Grouping by ``keys + response_time_ms`` first spreads a hot key over all
-    reducers; sums per key follow from that histogram, and the percentiles are
-    picked from it by rank (``_values_at_ranks``), without a state per key that
-    grows with its values.
+    reducers. That histogram is written once to the shared folder (a job that runs
+    as the plan is built), so ``rows`` are read once; sums per key follow from it,
+    and the percentiles are picked from it by rank (``_values_at_ranks``), without
+    a state per key that grows with its values.
     """
     names = list(keys)
     hist = rows.groupBy(*names, F.col(S.RT)).agg(
@@ -128,6 +157,7 @@ def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min(S.TS).alias("_first"),
         F.max(S.TS).alias("_last"),
     )
+    hist = written(hist, "histogram")
     rt, n = F.col(S.RT), F.col("_n")
     agg = hist.groupBy(*names).agg(
         F.sum(n).alias("total_pings"),

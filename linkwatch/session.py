@@ -7,8 +7,9 @@ import contextlib
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC session zone (all stored times are UTC),
 # ANSI on (divisions go through try_divide), AQE for runtime coalescing,
@@ -81,6 +82,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new folder under ``spark.checkpoint.dir`` and read back:
+    what is built on it starts from shared files, so its source is read once and a
+    lost executor costs its own tasks only."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables this application wrote (call once the
     DataFrames built on them are no longer needed). Returns the count."""
