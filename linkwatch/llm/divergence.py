@@ -38,8 +38,10 @@ TOP = 200
 BITS = 64
 #: Terms and sources of a block of the comparison.
 TERMS, SOURCES = 4096, 64
-#: Bytes of text whose terms a task counts together (a longer text is by itself), and digests whose text it remembers to have noted.
-TOGETHER, NOTED = 4_000_000, 1_000_000
+#: Bytes of text that a task splits together (a longer text is by itself).
+TOGETHER = 2_000_000
+#: A task gives its counts out beyond so many rows, and forgets its terms beyond so many; rows of a batch.
+ROWS, NOTED, BATCH = 1_500_000, 500_000, 100_000
 
 #: A-Z are lower-cased before; all bytes of other characters are above 7F.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -54,23 +56,76 @@ def digest(term: bytes, bits: int = BITS) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _tally(texts: list[bytes], groups: list[tuple[str, str]]) -> tuple[list[bytes], list[tuple[str, str]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The terms of the texts, the groups, and for each (group, term) its places in these two, occurrences and documents."""
-    index: dict[bytes, int] = {}
-    flat: list[int] = []
-    ends = []
-    for text in texts:
-        flat += [index.setdefault(x, len(index)) for x in _TERM.findall(text.lower())]
-        ends.append(len(flat))
-    names = {g: i for i, g in enumerate(dict.fromkeys(groups))}
-    group = np.array([names[g] for g in groups], np.int64)
-    doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
-    n = max(len(index), 1)
-    in_doc, times = np.unique(doc * n + np.array(flat, np.int64), return_counts=True)
-    keys, at = np.unique(group[in_doc // n] * n + in_doc % n, return_inverse=True)
-    # Sums of 64-bit floats are exact below 2 ** 53.
-    count = np.bincount(at, weights=times, minlength=len(keys)).astype(np.int64)
-    return list(index), list(names), keys // n, keys % n, count, np.bincount(at, minlength=len(keys))
+class _Tally:
+    """Occurrences and documents of each (group, term) of a task, given out when there are many."""
+
+    def __init__(self, bits: int, with_text: bool) -> None:
+        self.bits, self.with_text = bits, with_text
+        self._begin()
+
+    def _begin(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.names: dict[tuple[str, str], int] = {}
+        self.digests = np.empty(0, np.int64)
+        self.told = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, texts: list[bytes], groups: list[tuple[str, str]]) -> None:
+        index, flat, ends = self.index, [], []
+        for text in texts:
+            flat += [index.setdefault(x, len(index)) for x in _TERM.findall(text.lower())]
+            ends.append(len(flat))
+        group = np.array([self.names.setdefault(g, len(self.names)) for g in groups], np.int64)
+        doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
+        # Numbers of documents, groups and terms in a task are far below 2 ** 31.
+        in_doc, times = np.unique((doc << 32) + np.array(flat, np.int64), return_counts=True)
+        self._sum((group[in_doc >> 32] << 32) + (in_doc & 0xFFFFFFFF), times, np.ones(len(in_doc), np.int64))
+
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            keys, n, in_docs = (np.concatenate(x) for x in zip(*self.parts))
+            self.parts, self.rows = [], 0
+            self._sum(keys, n, in_docs)
+
+    def _sum(self, keys: np.ndarray, times: np.ndarray, in_docs: np.ndarray) -> None:
+        keys, at = np.unique(keys, return_inverse=True)
+        # Sums of 64-bit floats are exact below 2 ** 53.
+        self.parts.append((keys, *(np.bincount(at, weights=x, minlength=len(keys)).astype(np.int64) for x in (times, in_docs))))
+        self.rows += len(keys)
+
+    def full(self) -> bool:
+        if self.rows > ROWS:
+            self._merge()
+        return self.rows > ROWS // 2 or len(self.index) > NOTED
+
+    def rows_out(self) -> Iterator[pa.RecordBatch]:
+        """All that is counted, and the texts of the terms that are new."""
+        self._merge()
+        terms = list(self.index)
+        self.digests = np.r_[self.digests, np.fromiter((digest(t, self.bits) for t in terms[len(self.digests) :]), np.int64, len(terms) - len(self.digests))]
+        text = pa.array([t.decode("utf-8") for t in (terms if self.with_text else terms[self.told :])], pa.string())
+        names = [pa.array([x[k] for x in self.names], pa.string()) for k in (0, 1)]
+        for keys, n, in_docs in self.parts:
+            for i in range(0, len(keys), BATCH):
+                group, term = pa.array(keys[i : i + BATCH] >> 32), keys[i : i + BATCH] & 0xFFFFFFFF
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(term), _COUNTS, np.int32)), names[0].take(group), names[1].take(group), pa.array(self.digests[term]),
+                        pa.array(n[i : i + BATCH]), pa.array(in_docs[i : i + BATCH]), text.take(pa.array(term)) if self.with_text else pa.nulls(len(term), pa.string()),
+                    ],
+                    schema=_TALLY,
+                )
+        self.parts, self.rows = [], 0
+        if not self.with_text:
+            for i in range(0, len(text), BATCH):
+                nulls = [pa.nulls(len(text[i : i + BATCH]), f.type) for f in _TALLY]
+                nulls[0] = pa.array(np.full(len(nulls[0]), _TEXTS, np.int32))
+                nulls[3], nulls[6] = pa.array(self.digests[self.told + i : self.told + i + BATCH]), text[i : i + BATCH]
+                yield pa.RecordBatch.from_arrays(nulls, schema=_TALLY)
+        self.told = len(terms)
+        if len(terms) > NOTED:
+            self._begin()
 
 
 def tallies(docs: DataFrame, bits: int, with_text: bool) -> DataFrame:
@@ -80,43 +135,23 @@ def tallies(docs: DataFrame, bits: int, with_text: bool) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        noted: set[int] = set()
-
-        def rows(texts: list[bytes], groups: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-            terms, names, group, term, n, in_docs = _tally(texts, groups)
-            hashes = np.fromiter((digest(t, bits) for t in terms), np.int64, len(terms))
-            none = pa.nulls(len(group), pa.string())
-            lang, source = (pa.array([x[k] for x in names], pa.string()).take(pa.array(group)) for k in (0, 1))
-            text = pa.array([t.decode("utf-8") for t in terms], pa.string()) if with_text else None
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(group), _COUNTS, np.int32)), lang, source, pa.array(hashes[term]), pa.array(n), pa.array(in_docs.astype(np.int64)), text.take(pa.array(term)) if with_text else none],
-                schema=_TALLY,
-            )
-            if with_text:
-                return
-            if len(noted) > NOTED:
-                noted.clear()
-            # By digest and text: two texts of one digest are both noted.
-            keys = [hash(x) for x in zip(hashes.tolist(), terms)]
-            new = [i for i, k in enumerate(keys) if k not in noted]
-            noted.update(keys[i] for i in new)
-            nulls = [pa.nulls(len(new), f.type) for f in _TALLY]
-            nulls[0], nulls[3], nulls[6] = pa.array(np.full(len(new), _TEXTS, np.int32)), pa.array(hashes[new]), pa.array([terms[i].decode("utf-8") for i in new], pa.string())
-            yield pa.RecordBatch.from_arrays(nulls, schema=_TALLY)
-
+        tally = _Tally(bits, with_text)
+        texts: list[bytes] = []
+        groups: list[tuple[str, str]] = []
+        size = 0
         for batch in batches:
-            texts: list[bytes] = []
-            groups: list[tuple[str, str]] = []
-            size = 0
             for text, lang, source in zip(batch["text"], batch["lang"].to_pylist(), batch["source"].to_pylist()):
                 texts.append(text.as_py())
                 groups.append((lang, source))
                 size += len(texts[-1])
                 if size >= TOGETHER:
-                    yield from rows(texts, groups)
+                    tally.add(texts, groups)
                     texts, groups, size = [], [], 0
-            if texts:
-                yield from rows(texts, groups)
+                    if tally.full():
+                        yield from tally.rows_out()
+        if texts:
+            tally.add(texts, groups)
+        yield from tally.rows_out()
 
     return docs.mapInArrow(count, _TALLY_DDL)
 
