@@ -97,7 +97,8 @@ class _Tally:
     def full(self) -> bool:
         if self.rows > ROWS:
             self._merge()
-        return self.rows > ROWS // 2 or len(self.index) > NOTED
+            return self.rows > ROWS // 2 or len(self.index) > NOTED
+        return len(self.index) > NOTED
 
     def rows_out(self) -> Iterator[pa.RecordBatch]:
         """All that is counted, and the texts of the terms that are new."""
