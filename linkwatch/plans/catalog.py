@@ -79,3 +79,4 @@ def _load_all() -> None:
     # Importing the modules registers their queries.
     from linkwatch.plans import queries_core  # noqa: F401
     from linkwatch.plans import queries_stream  # noqa: F401
+    from linkwatch.plans import queries_table  # noqa: F401

@@ -8,6 +8,7 @@ the sinks hold.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from linkwatch.operators import filters as P
 from linkwatch.operators import latest as L
 from linkwatch.session import scratch_path
 from linkwatch.sources.ingest import raw_probes_from_metrics
-from linkwatch.sources.metrics import EVENTS_SCHEMA, append_metrics, load_pm, pm_from_events, scan_metrics
+from linkwatch.sources.metrics import EVENTS_SCHEMA, append_metrics, load_events, load_pm, pm_from_events, scan_metrics
 from linkwatch.streaming import jobs as J
+from linkwatch.streaming import outages as O
 
 def _run_dir(spark: SparkSession, tag: str) -> str:
     return scratch_path(spark, f"stream-{tag}-{uuid.uuid4().hex[:12]}")
@@ -32,14 +34,29 @@ def _metric_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.to_event_time(pm_from_events(_event_stream(spark, sf_dir)))
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given ``events`` table, a file or a folder of files, as a file stream."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    table = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
-    r = spark.readStream.schema(EVENTS_SCHEMA)
-    if table.getFileSystem(conf).getFileStatus(table).isDirectory():
-        return r.parquet(f"{sf_dir}/events.parquet")
-    return r.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+#: Micro-batches in which the registered streams read the table.
+PARTS = 4
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, parts: int = PARTS, more: DataFrame | None = None) -> DataFrame:
+    """The given ``events`` table as a file stream of ``parts`` micro-batches, in the order of time.
+
+    The rows of each quarter of the time are written one after the other, in as
+    many files each as a micro-batch takes. ``more`` comes with the last one.
+    """
+    events = load_events(spark, sf_dir)
+    path = _run_dir(spark, "events")
+    shares = [k / parts for k in range(1, parts)]
+    bounds = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), shares)).first()[0] or []  # parts - 1 numbers
+    files = max(1, -(-events.rdd.getNumPartitions() // parts))
+    quarter = F.lit(0)
+    for b in bounds:
+        quarter = quarter + (F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(b)).cast("int")
+    for i in range(parts):
+        rows = events.where(quarter == i)
+        rows = rows.unionByName(more) if more is not None and i == parts - 1 else rows
+        rows.repartition(files).write.parquet(f"{path}/part={i}")
+    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files).parquet(path).drop("part")
 
 
 def _ntz(df: DataFrame) -> DataFrame:
@@ -76,17 +93,25 @@ def q_stream_downtime(spark, sf_dir):
     downtime_sql() + "\nSELECT * FROM dt",
 )
 def q_stream_downtime_processor(spark, sf_dir):
-    """Outages from the stream via transformWithStateInPandas (RocksDB state)."""
+    """Outages from the stream by keyed state of (host, hour) and host (RocksDB); a closing row ends the feed."""
     base = _run_dir(spark, "downtime-tws")
-    src = _metric_stream(spark, sf_dir)
+    end = load_events(spark, sf_dir).agg(F.max("ts") + F.expr("INTERVAL 3 HOURS")).first()[0]  # one value
+    last = spark.createDataFrame([(0, end, None, "view", None, None)] if end else [], EVENTS_SCHEMA)
+    src = J.to_event_time(pm_from_events(_event_stream(spark, sf_dir, more=last)))
+    with _rocksdb(spark):
+        J.run_available_now(O.stream_outages(src, 30), f"{base}/out", f"{base}/ckpt")
+    return _ntz(spark.read.schema(J.DOWNTIME_OUT_SCHEMA).parquet(f"{base}/out"))
+
+
+@contextmanager
+def _rocksdb(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, J.ROCKSDB_PROVIDER)
     try:
-        J.run_available_now(J.stream_downtime_keyed(src, 30, api="processor"), f"{base}/out", f"{base}/ckpt")
+        yield
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
-    return _ntz(spark.read.parquet(f"{base}/out"))
 
 
 @register(
