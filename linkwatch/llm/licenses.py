@@ -24,6 +24,9 @@ THRESHOLD = 0.8
 #: Bits of the table that tells known bigrams; a wrong "known" costs time only.
 TABLE_BITS = 1 << 20
 
+#: Texts by which the rarest words are chosen.
+SAMPLE = 1000
+
 # Usual notices and grants of public licences.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -95,19 +98,33 @@ def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float =
     return t.withColumn("size", F.explode(F.sequence(least.cast("int"), most.cast("int"))))
 
 
-def telling_words(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+def word_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
+    """How many of SAMPLE texts (any of them) hold each word of the templates.
+
+    It only decides which words ``telling_words`` takes, not what is found.
+    """
+    own = sorted({w for _, text in templates for g in _plain_bigrams(text) for w in g.split(" ")})
+    words = F.array_distinct(F.split(normalised(F.col("text")), " "))
+    rows = docs.select("text").limit(SAMPLE).select(F.explode(F.array_intersect(words, F.array(*map(F.lit, own)))).alias("w"))
+    # At most a row for each word of the templates.
+    return {r["w"]: r["count"] for r in rows.groupBy("w").count().collect()}
+
+
+def telling_words(templates=TEMPLATES, threshold: float = THRESHOLD, frequency: dict[str, int] | None = None) -> list[str]:
     """Words of which every matching span holds at least one.
 
     A span that reaches the threshold ``t`` holds at least ``t / (2 - t)`` of the
     template's bigrams. So if more than the rest of them touch a few words, the
-    span holds one of these. The longest words are taken, as the rarest.
+    span holds one of these. The words that the fewest texts hold are taken, by
+    ``frequency``, then the longest.
     """
+    texts = frequency or {}
     out: set[str] = set()
     for _, text in templates:
         grams = {tuple(g.split(" ")) for g in _plain_bigrams(text)}
         need = (1 - threshold / (2 - threshold)) * len(grams) + 1e-9
         touched: set[tuple[str, ...]] = set()
-        for w in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+        for w in sorted({w for g in grams for w in g}, key=lambda w: (texts.get(w, 0), -len(w), w)):
             touched |= {g for g in grams if w in g}
             out.add(w)
             if len(touched) > need:
@@ -224,7 +241,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES + NOTICES, threshold: flo
     """
     spark = docs.sparkSession
     t = template_table(spark, templates, threshold)
-    words = telling_words(templates, threshold)
+    words = telling_words(templates, threshold, word_frequencies(docs, templates))
     rows = written(telling_documents(docs, words), "license-texts")
     spans = candidate_spans(rows, words)
     spans = spans.select("doc_id", "span_kind", "span_no", bigrams(F.regexp_replace("norm", " +", " ")).alias("found"))
