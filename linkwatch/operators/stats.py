@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from linkwatch import schema as S
 from linkwatch.functions.timefns import bucket, ts_literal, window_start
-from linkwatch.session import written
 from linkwatch.operators.filters import (
     host_filter,
     hosts_filter,
@@ -74,70 +73,22 @@ def avg_response_time_by_hour(pm: DataFrame, as_of: datetime, host: str | None =
     return hourly_stats(pm, as_of, hours=168, host=host, unit="hour")
 
 
-#: Cells of values: so many for each factor of e, and the parts in which each of those is cut.
-CELLS, FINE = 1024, 2**31
-_SPAN = 1 << 21  # more than any cell's number, either way
+#: Cells of values for each factor of e: a cell's values differ by an eight-thousandth at most.
+CELLS = 8192
+#: Numbers of cells lie within this, either way; that of lost probes is above all.
+_SPAN = 1 << 24
+_LOST = 1 << 30
 
 
-def _cell(v: Column) -> tuple[Column, Column]:
-    """(coarse, fine): numbers that never fall as the value rises.
+def _cell(v: Column) -> Column:
+    """A number that never falls as the value rises: its logarithm in steps.
 
-    Like the leading and the middle bits of the value: the logarithm in steps, and
-    the place within a step. Neither depends on the values there are. A step has
-    about 2 ** 21 fine cells, and a fine cell about 2 ** 21 doubles.
+    It doesn't depend on the values there are: one that is far from all others
+    leaves their cells as they are. Lost probes (null) have a cell of their own.
     """
-    size = F.abs(v)
-    k = F.least(F.coalesce(F.floor(F.log(size) * CELLS), F.lit(-_SPAN)), F.lit(_SPAN))
-    at = F.coalesce(F.floor((F.try_divide(size, F.exp(k / CELLS)) - 1) * F.lit(float(FINE))), F.lit(0))
-    plain = (k > -_SPAN) & (k < _SPAN)  # neither 0 nor infinite
-    coarse = F.when(F.isnan(v), F.lit(4 * _SPAN)).when(v < 0, -k - 2 * _SPAN).otherwise(k + 2 * _SPAN)
-    fine = F.when(~plain | F.isnan(v), F.lit(0)).when(v < 0, -at).otherwise(at)
-    return coarse.cast("long"), fine.cast("long")
-
-
-def _held(rows: DataFrame, group: Sequence[str], order: str, ranks: Column, before: Column) -> DataFrame:
-    """The rows of each group, by ``order``, that hold one of its wanted ranks: with ``_before``, the values before them, and their ``_ranks``."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_at", before + F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    rows = rows.withColumn("_in", F.filter(ranks, lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_n"))))
-    return rows.where(F.size("_in") > 0).drop("_before", "_ranks").withColumnsRenamed({"_at": "_before", "_in": "_ranks"})
-
-
-def _values_at_ranks(hist: DataFrame, totals: DataFrame, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles per key, by radix selection: ``keys, _q0, _q1, ...``.
-
-    ``hist`` holds (keys, value, count), ``totals`` (keys, number of values). Values
-    are counted by coarse cell, then, where a wanted rank lies, by fine cell, then
-    one by one: three rounds of partial counts whatever the values are. A group
-    that is ranked has a few million rows at most, also where a key has every
-    row of the table or one value is far from all others.
-    """
-    names = list(keys)
-    known = totals.where("_known > 0").select(*[F.col(k).alias(f"_k_{k}") for k in names], "_known")
-    coarse, fine = _cell(F.col(S.RT))
-    values = hist.where(F.col(S.RT).isNotNull()).select(*names, S.RT, "_n", coarse.alias("_coarse"), fine.alias("_fine"))
-    cells = values.groupBy(*names, "_coarse", "_fine").agg(F.sum("_n").alias("_n"))
-    steps = cells.groupBy(*names, "_coarse").agg(F.sum("_n").alias("_n"))
-    place = lambda p: F.lit(p) * (F.col("_known") - F.lit(1))
-    wanted = F.array_distinct(F.array(*[x.cast("long") for p in shares for x in (F.floor(place(p)), F.ceil(place(p)))]))
-
-    def within(rows: DataFrame, found: DataFrame, group: Sequence[str]) -> DataFrame:
-        at = found.select(*[F.col(c).alias(f"_k_{c}") for c in group], "_before", "_ranks", "_known")
-        return rows.join(at, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in group]).select(*rows.columns, "_before", "_ranks", "_known")
-
-    steps = steps.join(known, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names]).select(*steps.columns, "_known")
-    steps = _held(steps, names, "_coarse", wanted, F.lit(0).cast("long"))
-    of_step = [*names, "_coarse"]
-    cells = _held(within(cells, steps, of_step), of_step, "_fine", F.col("_ranks"), F.col("_before"))
-    of_cell = [*of_step, "_fine"]
-    held = _held(within(values, cells, of_cell), of_cell, S.RT, F.col("_ranks"), F.col("_before"))
-    out = []
-    for i, p in enumerate(shares):
-        low, high = F.floor(place(p)), F.ceil(place(p))
-        at = lambda r: F.max(F.when(F.array_contains("_ranks", r.cast("long")), F.col(S.RT)))
-        share = F.max(place(p) - low)
-        out.append((at(low) + (at(high) - at(low)) * share).alias(f"_q{i}"))
-    return held.groupBy(*names).agg(*out)
+    k = F.least(F.coalesce(F.floor(F.log(F.abs(v)) * CELLS), F.lit(-_SPAN)), F.lit(_SPAN))
+    number = F.when(F.isnan(v), F.lit(4 * _SPAN)).when(v < 0, -k - 2 * _SPAN).otherwise(k + 2 * _SPAN)
+    return F.when(v.isNull(), F.lit(_LOST)).otherwise(number).cast("long")
 
 
 def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -145,39 +96,83 @@ def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     (linear interpolation, NULLs ignored), losses, loss fraction, first/last.
 
     Grouping by ``keys + response_time_ms`` first spreads a hot key over all
-    reducers. That histogram is written once to the shared folder (a job that runs
-    as the plan is built), so ``rows`` are read once; sums per key follow from it,
-    and the percentiles are picked from it by rank (``_values_at_ranks``), without
-    a state per key that grows with its values.
+    reducers. The values of that histogram are counted by cell; running counts
+    over the cells of a key tell which hold a wanted rank, and only these are
+    ranked value by value. The two readers of the histogram use all its columns,
+    so they share one scan and one exchange. A task ranks the values of a cell,
+    and one row for each cell of a key (some hundred thousand for times from
+    microseconds to minutes), never a key's values.
     """
-    names = list(keys)
-    hist = rows.groupBy(*names, F.col(S.RT)).agg(
+    names, rt, n = list(keys), F.col(S.RT), F.col("_n")
+    shares = (0.5, 0.95)
+    hist = rows.groupBy(*names, rt).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(lost()).alias("_losses"),
         F.min(S.TS).alias("_first"),
         F.max(S.TS).alias("_last"),
     )
-    hist = written(hist, "histogram")
-    rt, n = F.col(S.RT), F.col("_n")
-    agg = hist.groupBy(*names).agg(
-        F.sum(n).alias("total_pings"),
-        F.try_divide(F.sum(rt * n.cast("double")), F.sum(F.when(rt.isNotNull(), n))).alias("avg_response_time"),
+    hist = hist.withColumn("_cell", F.coalesce(_cell(rt), F.lit(_LOST)))
+    cells = hist.groupBy(*names, "_cell").agg(
+        F.sum(n).alias("_n"),
+        F.sum("_losses").alias("_losses"),
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
+        F.sum(rt * n.cast("double")).alias("_sum"),
         F.min(rt).alias("_low"),
         F.max(rt).alias("_high"),
-        F.sum(F.when(rt.isNotNull(), n)).alias("_known"),
-        F.sum("_losses").alias("packet_losses"),
-        F.min("_first").alias("first_ping"),
-        F.max("_last").alias("last_ping"),
     )
-    pct = _values_at_ranks(hist, agg, names, (0.5, 0.95))
-    pct = pct.select(*[F.col(k).alias(f"_k_{k}") for k in names], "_q0", "_q1")
-    out = agg.join(pct, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names], "left")
+    of_key = Window.partitionBy(*names)
+    before = of_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("_cell") != _LOST
+    cells = cells.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+            "_total": F.sum("_n").over(of_key),
+            "_known": F.coalesce(F.sum(F.when(known, n)).over(of_key), F.lit(0)),
+            "_all_losses": F.sum("_losses").over(of_key),
+            "_all_first": F.min("_first").over(of_key),
+            "_all_last": F.max("_last").over(of_key),
+            "_all_sum": F.sum("_sum").over(of_key),
+            "_all_low": F.min("_low").over(of_key),
+            "_all_high": F.max("_high").over(of_key),
+        }
+    )
+    place = lambda p: F.lit(p) * (F.col("_known") - F.lit(1))
+    ends = lambda p: (F.floor(place(p)), F.ceil(place(p)))
+    holds = lambda r, at: (r >= at) & (r < at + n)
+    # Cells with a wanted rank; for a key without a known value that of its lost probes.
+    wanted = F.lit(False)
+    for p in shares:
+        for r in ends(p):
+            wanted = wanted | holds(r, F.col("_before"))
+    cells = cells.where(F.when(known, wanted).otherwise(F.col("_known") == 0))
+    cells = cells.select(*[F.col(k).alias(f"_k_{k}") for k in names], F.col("_cell").alias("_k_cell"), "_before", "_total", "_known", *[c for c in cells.columns if c.startswith("_all_")])
+    held = hist.join(cells, [F.col(a).eqNullSafe(F.col(b)) for a, b in [*((k, f"_k_{k}") for k in names), ("_cell", "_k_cell")]])
+    inside = Window.partitionBy(*names, "_cell").orderBy(S.RT).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    value = lambda r: F.max(F.when(holds(r, F.col("_at")), rt))
+    quantiles = []
+    for i, p in enumerate(shares):
+        low, high = ends(p)
+        quantiles.append((value(low) + (value(high) - value(low)) * F.max(place(p) - low)).alias(f"_q{i}"))
+    # A key's totals stand in each of its rows; its cells' own add nothing to them.
+    whole = lambda c: F.max(f"_all_{c}")
+    out = held.groupBy(*names).agg(
+        F.max("_total").alias("total_pings"),
+        F.try_divide(whole("sum"), F.max("_known")).alias("avg_response_time"),
+        whole("low").alias("min_response_time"),
+        whole("high").alias("max_response_time"),
+        *quantiles,
+        F.greatest(whole("losses"), F.max("_losses")).alias("packet_losses"),
+        F.least(whole("first"), F.min("_first")).alias("first_ping"),
+        F.greatest(whole("last"), F.max("_last")).alias("last_ping"),
+    )
     return out.select(
         *names,
         "total_pings",
         "avg_response_time",
-        F.col("_low").alias("min_response_time"),
-        F.col("_high").alias("max_response_time"),
+        "min_response_time",
+        "max_response_time",
         F.col("_q0").alias("median_response_time"),
         F.col("_q1").alias("p95_response_time"),
         "packet_losses",

@@ -54,9 +54,33 @@ def test_flagship_scans_input_once(spark):
 
 
 def test_summary_selects_by_rank(spark):
-    p = plan(A.host_summary(load_pm(spark, SF_SMALL), AS_OF, full_history=True))
-    # no percentile state per key; values are ranked within a key's ranges
-    assert "percentile" not in p and "_part" in p
+    df = A.host_summary(load_pm(spark, SF_SMALL), AS_OF, full_history=True)
+    # no percentile state per key; values are ranked within a key's cells
+    assert "percentile" not in plan(df) and "_cell" in plan(df)
+
+
+def test_summary_reads_the_rows_once(spark):
+    """Both readers of the histogram share its scan and its exchange."""
+    for df in (A.host_summary(load_pm(spark, SF_SMALL), AS_OF, full_history=True), A.summary_by_range(load_pm(spark, SF_SMALL), AS_OF), A.overall_summary(load_pm(spark, SF_SMALL), AS_OF)):
+        df.collect()
+        p = plan(df).split("Initial Plan")[0]
+        assert p.count("FileScan") == 1 and "ReusedExchange" in p
+        assert p.count("Exchange hashpartitioning") <= 7
+
+
+def test_one_far_value_leaves_the_cells_as_they_are(spark):
+    """No cell has more than a small share of the values, whatever the greatest is."""
+    from pyspark.sql import functions as F
+
+    values = load_pm(spark, SF_MID).where(F.col(S.RT).isNotNull()).select(S.RT).distinct()
+    n = values.count()
+    for far in (3e6, 1e300, float("inf"), -5e-324):
+        more = values.unionByName(spark.createDataFrame([(far,)], f"{S.RT} double"))
+        cells = more.groupBy(A._cell(F.col(S.RT)).alias("c")).count()
+        assert cells.agg(F.max("count")).first()[0] < n / 100
+    odd = spark.createDataFrame([(x,) for x in (float("-inf"), -1e308, -2.0, -1e-300, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.001, 7.5, 1e308, float("inf"), float("nan"))], "v double")
+    cells = [r[0] for r in odd.select(A._cell(F.col("v"))).collect()]
+    assert cells == sorted(cells) and cells[-1] < A._LOST
 
 
 def test_latest_stays_on_hash_operators(spark):
