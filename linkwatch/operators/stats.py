@@ -80,15 +80,14 @@ _SPAN = 1 << 24
 _LOST = 1 << 30
 
 
-def _cell(v: Column) -> Column:
-    """A number that never falls as the value rises: its logarithm in steps.
+def _cell(v: str) -> str:
+    """SQL of a number that never falls as the value of column ``v`` rises: its logarithm in steps.
 
     It doesn't depend on the values there are: one that is far from all others
     leaves their cells as they are. Lost probes (null) have a cell of their own.
     """
-    k = F.least(F.coalesce(F.floor(F.log(F.abs(v)) * CELLS), F.lit(-_SPAN)), F.lit(_SPAN))
-    number = F.when(F.isnan(v), F.lit(4 * _SPAN)).when(v < 0, -k - 2 * _SPAN).otherwise(k + 2 * _SPAN)
-    return F.when(v.isNull(), F.lit(_LOST)).otherwise(number).cast("long")
+    k = f"least(coalesce(floor(ln(abs({v})) * {CELLS}), -{_SPAN}), {_SPAN})"
+    return f"CAST(CASE WHEN {v} IS NULL THEN {_LOST} WHEN isnan({v}) THEN {4 * _SPAN} WHEN {v} < 0 THEN -{k} - {2 * _SPAN} ELSE {k} + {2 * _SPAN} END AS BIGINT)"
 
 
 def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -103,80 +102,71 @@ def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     and one row for each cell of a key (some hundred thousand for times from
     microseconds to minutes), never a key's values.
     """
-    names, rt, n = list(keys), F.col(S.RT), F.col("_n")
-    shares = (0.5, 0.95)
-    hist = rows.groupBy(*names, rt).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(lost()).alias("_losses"),
-        F.min(S.TS).alias("_first"),
-        F.max(S.TS).alias("_last"),
+    # Expressions as SQL: each Column operation is a call to the JVM, and here are many.
+    names = list(keys)
+    key = ", ".join(f"`{k}`" for k in names)
+    hist = rows.groupBy(*names, S.RT).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(lost()).alias("_losses"), F.min(S.TS).alias("_first"), F.max(S.TS).alias("_last")
     )
-    hist = hist.withColumn("_cell", F.coalesce(_cell(rt), F.lit(_LOST)))
+    hist = hist.withColumn("_cell", F.expr(f"coalesce({_cell(S.RT)}, {_LOST})"))
     cells = hist.groupBy(*names, "_cell").agg(
-        F.sum(n).alias("_n"),
-        F.sum("_losses").alias("_losses"),
-        F.min("_first").alias("_first"),
-        F.max("_last").alias("_last"),
-        F.sum(rt * n.cast("double")).alias("_sum"),
-        F.min(rt).alias("_low"),
-        F.max(rt).alias("_high"),
+        F.expr("sum(_n) AS _n"),
+        F.expr("sum(_losses) AS _losses"),
+        F.expr("min(_first) AS _first"),
+        F.expr("max(_last) AS _last"),
+        F.expr(f"sum({S.RT} * _n) AS _sum"),
+        F.expr(f"min({S.RT}) AS _low"),
+        F.expr(f"max({S.RT}) AS _high"),
     )
-    of_key = Window.partitionBy(*names)
-    before = of_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.col("_cell") != _LOST
-    cells = cells.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
-            "_total": F.sum("_n").over(of_key),
-            "_known": F.coalesce(F.sum(F.when(known, n)).over(of_key), F.lit(0)),
-            "_all_losses": F.sum("_losses").over(of_key),
-            "_all_first": F.min("_first").over(of_key),
-            "_all_last": F.max("_last").over(of_key),
-            "_all_sum": F.sum("_sum").over(of_key),
-            "_all_low": F.min("_low").over(of_key),
-            "_all_high": F.max("_high").over(of_key),
-        }
+    of_key = f"OVER (PARTITION BY {key})"
+    cells = cells.selectExpr(
+        *[f"`{k}` AS `_k_{k}`" for k in names],
+        "_cell AS _k_cell",
+        "_n AS _cell_n",
+        f"coalesce(sum(_n) OVER (PARTITION BY {key} ORDER BY _cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before",
+        f"sum(_n) {of_key} AS _total",
+        f"coalesce(sum(CASE WHEN _cell <> {_LOST} THEN _n END) {of_key}, 0) AS _known",
+        f"sum(_losses) {of_key} AS _all_losses",
+        f"min(_first) {of_key} AS _all_first",
+        f"max(_last) {of_key} AS _all_last",
+        f"sum(_sum) {of_key} AS _all_sum",
+        f"min(_low) {of_key} AS _all_low",
+        f"max(_high) {of_key} AS _all_high",
     )
-    place = lambda p: F.lit(p) * (F.col("_known") - F.lit(1))
-    ends = lambda p: (F.floor(place(p)), F.ceil(place(p)))
-    holds = lambda r, at: (r >= at) & (r < at + n)
+    # Ranks below and above the place of each share, among the known values.
+    place = {"_q0": "0.5D * (_known - 1)", "_q1": "0.95D * (_known - 1)"}
+    holds = lambda rank, at, count: f"({rank} >= {at} AND {rank} < {at} + {count})"
+    wanted = " OR ".join(holds(f"{end}({p})", "_before", "_cell_n") for p in place.values() for end in ("floor", "ceil"))
     # Cells with a wanted rank; for a key without a known value that of its lost probes.
-    wanted = F.lit(False)
-    for p in shares:
-        for r in ends(p):
-            wanted = wanted | holds(r, F.col("_before"))
-    cells = cells.where(F.when(known, wanted).otherwise(F.col("_known") == 0))
-    cells = cells.select(*[F.col(k).alias(f"_k_{k}") for k in names], F.col("_cell").alias("_k_cell"), "_before", "_total", "_known", *[c for c in cells.columns if c.startswith("_all_")])
-    held = hist.join(cells, [F.col(a).eqNullSafe(F.col(b)) for a, b in [*((k, f"_k_{k}") for k in names), ("_cell", "_k_cell")]])
-    inside = Window.partitionBy(*names, "_cell").orderBy(S.RT).rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    value = lambda r: F.max(F.when(holds(r, F.col("_at")), rt))
-    quantiles = []
-    for i, p in enumerate(shares):
-        low, high = ends(p)
-        quantiles.append((value(low) + (value(high) - value(low)) * F.max(place(p) - low)).alias(f"_q{i}"))
+    cells = cells.where(f"CASE WHEN _k_cell <> {_LOST} THEN {wanted} ELSE _known = 0 END")
+    same = " AND ".join([*(f"`{k}` <=> `_k_{k}`" for k in names), "_cell <=> _k_cell"])
+    held = hist.join(cells, F.expr(same))
+    inside = f"OVER (PARTITION BY {key}, _cell ORDER BY {S.RT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    held = held.selectExpr("*", f"_before + coalesce(sum(_n) {inside}, 0) AS _at")
+    value = lambda rank: f"max(CASE WHEN {holds(rank, '_at', '_n')} THEN {S.RT} END)"
+    quantile = lambda p: f"{value(f'floor({p})')} + ({value(f'ceil({p})')} - {value(f'floor({p})')}) * max({p} - floor({p}))"
     # A key's totals stand in each of its rows; its cells' own add nothing to them.
-    whole = lambda c: F.max(f"_all_{c}")
     out = held.groupBy(*names).agg(
-        F.max("_total").alias("total_pings"),
-        F.try_divide(whole("sum"), F.max("_known")).alias("avg_response_time"),
-        whole("low").alias("min_response_time"),
-        whole("high").alias("max_response_time"),
-        *quantiles,
-        F.greatest(whole("losses"), F.max("_losses")).alias("packet_losses"),
-        F.least(whole("first"), F.min("_first")).alias("first_ping"),
-        F.greatest(whole("last"), F.max("_last")).alias("last_ping"),
+        F.expr("max(_total) AS total_pings"),
+        F.expr("try_divide(max(_all_sum), max(_known)) AS avg_response_time"),
+        F.expr("max(_all_low) AS min_response_time"),
+        F.expr("max(_all_high) AS max_response_time"),
+        F.expr(f"{quantile(place['_q0'])} AS median_response_time"),
+        F.expr(f"{quantile(place['_q1'])} AS p95_response_time"),
+        F.expr("greatest(max(_all_losses), max(_losses)) AS packet_losses"),
+        F.expr("least(max(_all_first), min(_first)) AS first_ping"),
+        F.expr("greatest(max(_all_last), max(_last)) AS last_ping"),
     )
-    return out.select(
-        *names,
+    return out.selectExpr(
+        *[f"`{k}`" for k in names],
         "total_pings",
         "avg_response_time",
         "min_response_time",
         "max_response_time",
-        F.col("_q0").alias("median_response_time"),
-        F.col("_q1").alias("p95_response_time"),
+        "median_response_time",
+        "p95_response_time",
         "packet_losses",
-        _loss_rate(F.col("packet_losses"), F.col("total_pings")).alias("packet_loss_rate"),
+        "try_divide(CAST(packet_losses AS DOUBLE), CAST(total_pings AS DOUBLE)) AS packet_loss_rate",
         "first_ping",
         "last_ping",
     )
