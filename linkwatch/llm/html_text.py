@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,19 +43,20 @@ ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 _PARTS = (
     r"ads?|advert\w*|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar\w*|side-bar|(?:top|sub|main)?nav(?:bar|igation)?|(?:top|sub|main)?menu|breadcrumbs?|footer\w*|masthead|"
     r"cookies?|cookie(?:bar|banner|notice)|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|share|sharing|social|related|recommend(?:ed|ations?)|"
-    r"comments?|comment(?:list|section|form)|disqus|replies|reviews|pagination|pager|toolbar|widgets?|complementary|contentinfo|dialog|search|login|disclaimer|copyright|skip-link"
+    r"comments?|comment(?:list|section|form)|disqus|replies|reviews|responses|discussions?|pagination|pager|toolbar|widgets?|complementary|contentinfo|dialog|search|login|disclaimer|copyright|skip-link"
 )
 NOT_ARTICLE = re.compile(rf"(?:^|[\s_-])(?:{_PARTS})(?:$|[\s_-]|\d)", re.I)
 PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|web)[_-])?header(?:$|\s)", re.I)
 #: Parts that may stand beside those in one word; others (has-sidebar, social-issues) make it a word for something else.
-BESIDE = "box|left|right|top|bottom|upper|lower|container|wrapper|wrap|block|section|list|area|bar|inner|outer|links?|posts?|articles|stories|items?|buttons?|icons?|main|page|site|global|primary|secondary|group|slot|unit|text|form|panel|strip|message|media|bottom|mobile|desktop|sticky|wp|js"
+BESIDE = "box|left|right|top|bottom|upper|lower|container|wrapper|wrap|block|section|list|area|bar|inner|outer|links?|posts?|articles|stories|items?|buttons?|icons?|main|page|site|global|primary|secondary|group|slot|unit|text|form|panel|strip|message|media|mobile|article|entry|blog|news|user|readers?|thread|c|u|w|google|content|card|privacy|policy|breaking|desktop|sticky|wp|js"
 _WHOLE = re.compile(rf"(?:(?:{_PARTS}|{BESIDE}|\d+)(?:[_-]+|$|(?=\d)))+", re.I)
 #: Names and words of parts that may be mistaken for the article's, as they hold most of a page's text; comments often do.
 MAY_HOLD = frozenset("nav header footer aside form".split())
 COMMENTS = re.compile(r"comment|disqus|replies|reviews", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[a-zA-Z/][^<>]*$", re.S)
+#: A quote opens a value right after the equals sign only; elsewhere it is a character like others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)(?:>|$)|<[a-zA-Z/][^<>]*$", re.S)
 #: An attribute: its name, and its value as it may be quoted.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
@@ -104,6 +106,8 @@ def _left_out(name: str, attributes: str, in_article: bool) -> str:
             value = _CAMEL.sub("-", value)
             if name not in ("html", "body", "main", "article") and (_marked(value) or not in_article and PAGE_HEADER.search(value)):
                 out = "yes" if out == "yes" or COMMENTS.search(value) else "maybe"
+        elif key == "itemprop" and COMMENTS.search(value) and name not in ("html", "body", "main", "article"):
+            out = "yes"
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return "yes"
     return out
@@ -112,7 +116,18 @@ def _left_out(name: str, attributes: str, in_article: bool) -> str:
 def parse(page: str) -> Node:
     """The element tree of a page, without what is left out."""
     root = at = Node("html", None)
+    # How many elements of each name are open: an end tag without one, and a start tag that ends none, cost nothing.
+    open_: Counter[str] = Counter()
     pos = 0
+
+    def leave(upto: Node) -> Node:
+        """The parent of ``upto``, all within it closed."""
+        x = at
+        while x is not upto.parent:
+            open_[x.name] -= 1
+            x = x.parent
+        return x
+
     while pos < len(page):
         m = _TOKEN.search(page, pos)
         text = page[pos : m.start() if m else len(page)]
@@ -127,22 +142,26 @@ def parse(page: str) -> Node:
         if not closing and name in RAW and not empty:
             pos = re.compile(rf"</{re.escape(name)}\s*>|$(?!\n)", re.I).search(page, pos).end()
         elif closing:
-            at = next((x.parent for x in at.up() if x.name == name and x.parent), at)
+            if open_[name] > 0:
+                at = leave(next(x for x in at.up() if x.name == name))
         elif name != "html":
             # Start tags end an open paragraph or list item before them.
             ends, stop = ENDS_OWN.get(name, frozenset()), ("ul", "ol", "dl", "table") if name in ENDS_OWN else BLOCKS - {"p"}
-            for x in at.up():
-                if x.parent and (x.name in ends or x.name == "p" and name in ENDS_P):
-                    at = x.parent
+            closes = set(ends) | ({"p"} if name in ENDS_P else set())
+            for x in at.up() if any(open_[c] > 0 for c in closes) else ():
+                if x.parent and x.name in closes:
+                    at = leave(x)
                 elif x.name in stop:
                     break
             node = Node(name, at)
             node.left_out = _left_out(name, m[3], at.in_article)
             # The body ends a head that is left open.
             if name == "body" and at.name == "head":
-                node.parent = at = root
+                node.parent = at = leave(at)
             at.kids.append(node)
-            at = at if name in VOID or empty else node
+            if name not in VOID and not empty:
+                at = node
+                open_[name] += 1
     _leave_out(root)
     return root
 

@@ -303,8 +303,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     apart = apart.join(full_sets(texts.join(apart.select("node").distinct(), "node"), plan), "node")
     links = links.unionByName(written(links_in_blocks(apart, plan), "near-links"))
     # Equal sets under two ids, and two sets under one id, join their documents too.
-    roots = connected_components(links, "near-roots")
-    member = named.join(classes, "set_key").select("doc_id", "node").distinct()
+    member = written(named.join(classes, "set_key").select("doc_id", "node").distinct(), "near-member")
+    several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
+    same = member.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+    roots = connected_components(links.select("a", "b").unionByName(same), "near-roots")
     roots = member.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     of = roots.groupBy("doc_id").agg(F.min("root").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles").join(of, "doc_id", "left")

@@ -91,3 +91,10 @@ def test_results_of_null_and_empty(spark):
     assert lines[10]["n_removed"] == 0 and lines[20]["text"] == "" and lines[22]["n_removed"] == 0 or lines[22]["n_removed"] < 6
     held = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels(spark)).collect()}
     assert all(0 <= v <= 1 for v in held.values())
+
+
+def test_two_texts_of_one_doc_id_join_their_groups(spark):
+    a, b = prose(301), prose(302)
+    docs = spark.createDataFrame([(6, a), (6, b), (7, a), (3, b), (9, prose(303))], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (6, 3, False), (6, 3, False), (7, 3, False), (9, 9, True)]

@@ -37,3 +37,33 @@ def test_parts_left_out(mark):
 def test_link_blocks_stay_in_the_article():
     page = f"<body><article>{PARTS}<p><a href=a>A paragraph that is a link</a></p><ul><li><a href=b>One</a><li><a href=c>Two</a></ul></article></body>"
     assert article_text(page).split("\n") == [*WANT, "A paragraph that is a link", "One", "Two"]
+
+
+def test_quotes_in_attributes():
+    assert article_text("<body><p title=it's>First one here, with words.</p><p>Don't stop</p><p>LAST</p></body>").split("\n") == ["First one here, with words.", "Don't stop", "LAST"]
+    assert article_text(f"""<body><div data-x='a > b' title = "c > d" y=e"f>{PARTS}</div></body>""").split("\n") == WANT
+
+
+@pytest.mark.parametrize(
+    "mark",
+    "article-comments user-comments reader-comments comment-thread c-comments user-reviews responses discussion google-ads sponsored-content related-content promo-card privacy-notice cookie-policy breaking-alert".split(),
+)
+def test_parts_left_out_of_the_article(mark):
+    other = f'<div class="{mark}"><p>Something else, not of it.</p></div>'
+    assert article_text(f"<body><article>{PARTS}{other}</article></body>").split("\n") == WANT
+
+
+def test_comments_by_their_property():
+    assert article_text(f"<body><article>{PARTS}<div itemprop=comment>Something else</div></article></body>").split("\n") == WANT
+
+
+def test_end_tags_without_a_start_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert article_text("<body>" + "<span>" * n + "</b>" * n + "<p>text</p></body>") == "text"
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(16_000) < 16 * seconds(2000) + 0.5
