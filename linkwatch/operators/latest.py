@@ -166,16 +166,27 @@ def current_response(pm: DataFrame, as_of: datetime, preset: str = "1hr", host:
     )
 
 
-def latest_map(pm: DataFrame, shards: int = 32) -> DataFrame:
+#: Hosts of a map or of a message's part, about.
+HOSTS_TOGETHER = 1000
+
+
+def shard_count(rows: DataFrame, host: str = S.HOST) -> int:
+    """Shards that give each about HOSTS_TOGETHER hosts: one small job counts the hosts, within a few per cent."""
+    n = rows.agg(F.approx_count_distinct(host)).first()[0]  # one number
+    return max(1, -(-n // HOSTS_TOGETHER))
+
+
+def latest_map(pm: DataFrame, shards: int | None = None) -> DataFrame:
     """Host -> latest row as a map (the API's response shape).
 
-    The latest rows (one per host) are grouped into ``shards`` maps by a hash
-    of the host, so one map holds about ``#hosts / shards`` entries; raise
-    ``shards`` with the number of hosts. Columns: ``shard, latest``.
+    The latest rows (one per host) are grouped into maps by a hash of the host.
+    Without ``shards`` their number follows the hosts (``shard_count``, a job as the
+    plan is built), so a map holds about HOSTS_TOGETHER entries however many hosts
+    there are. Columns: ``shard, latest``.
     """
     rows = latest_per_host(pm)
     cols = [c for c in rows.columns]
-    shard = F.pmod(F.xxhash64(S.HOST), F.lit(int(shards))).alias("shard")
+    shard = F.pmod(F.xxhash64(S.HOST), F.lit(shard_count(pm) if shards is None else int(shards))).alias("shard")
     return rows.groupBy(shard).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(S.HOST), F.struct(*cols)))).alias("latest")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkwatch import schema as S
 from linkwatch.functions.present import host_input
 from linkwatch.functions.timefns import iso_text
+from linkwatch.operators.latest import shard_count
 
 
 def watchlist(spark: SparkSession, hosts: Iterable[str] = S.DEFAULT_HOSTS) -> DataFrame:
@@ -60,13 +61,16 @@ def probe_results(pm: DataFrame) -> DataFrame:
     )
 
 
-def probe_cycles(pm: DataFrame, interval: str = "10 seconds", shards: int = 32) -> DataFrame:
+def probe_cycles(pm: DataFrame, interval: str = "10 seconds", shards: int | None = None) -> DataFrame:
     """Group probes into cycles (tumbling windows): ``cycle_start, part, has_dns,
     type, timestamp, results array<probe>``.
 
-    A cycle's message comes in parts by a hash of the host, so an array holds
-    about ``#hosts / shards`` results; ``has_dns`` tells of the whole cycle.
+    A cycle's message comes in parts by a hash of the host; ``has_dns`` tells of
+    the whole cycle. Without ``shards`` the parts follow the number of hosts
+    (``shard_count``, a job as the plan is built), so an array holds the results of
+    about HOSTS_TOGETHER hosts.
     """
+    shards = shard_count(pm) if shards is None else shards
     res = probe_results(pm).withColumn("_w", F.window("_ts", interval))
     is_dns = F.col("host").isin(*S.DNS_HOSTS)
     cycles = res.groupBy(F.col("_w").alias("_c")).agg(F.max(is_dns).alias("has_dns"))

@@ -11,6 +11,7 @@ import zlib
 from datetime import datetime
 from typing import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -489,9 +490,10 @@ class OutageFeed:
     late; they are stored in ``late`` and change nothing. Null flags count as
     not lost, as at ingest.
 
-    Folders under ``path``: ``outages``, ``late`` and ``state`` (waiting rows, carried
-    rows and watermark), each with a folder for each micro-batch. A micro-batch
-    that runs again starts from the state before it and replaces its folders.
+    Folders under ``path``: ``outages`` and ``late``, each with a folder for each
+    micro-batch, and ``state`` (waiting rows, carried rows and watermark), of which
+    the last two are kept. A micro-batch that runs again starts from the state
+    before it and replaces its folders. Its rows are read from the source once.
     """
 
     def __init__(self, spark: SparkSession, path: str, min_duration_seconds: float = 30, lateness: str = "1 hour", chunk_unit: str = "hour"):
@@ -516,6 +518,21 @@ class OutageFeed:
         return read.parquet(f"{at}/waiting"), read.parquet(f"{at}/carried"), mark[0] if mark else None
 
     def _advance(self, batch: DataFrame, version: int, flush: bool = False) -> None:
+        # The source is read once, though several writes need its rows.
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            self._step(batch, version, flush)
+        finally:
+            batch.unpersist()
+        # What this micro-batch needed in between, and states that no second try begins from.
+        self._drop(f"work/version={version}")
+        self._drop(f"state/version={version - 2}")
+
+    def _drop(self, what: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _step(self, batch: DataFrame, version: int, flush: bool) -> None:
         waiting, carried, mark = self._state(version - 1)
         put = lambda df, what: df.write.mode("overwrite").parquet(f"{self.path}/{what}")
         late = batch.where(F.col(S.TS) < ts_literal(mark)) if mark else batch.where("false")
@@ -526,7 +543,8 @@ class OutageFeed:
         released = fresh if flush else fresh.where(F.col(S.TS) < ts_literal(mark)) if mark else fresh.where("false")
         rows = carried.unionByName(released).withColumns({S.RT: F.lit(None).cast("double")})
         every = D.downtime_periods(rows, hours=None, min_duration_seconds=0, chunk_unit=self.chunk_unit, as_of=_FAR, include_open=True)
-        every = D.materialize(every, "stream-outages")
+        put(every, f"work/version={version}")
+        every = self.spark.read.schema(every.schema).parquet(f"{self.path}/work/version={version}")
         closed = every.where(F.col("end_time").isNotNull() & (F.col("duration_seconds") >= F.lit(float(self.min_duration_seconds))))
         put(closed, f"outages/version={version}")
         # Carried on: the begin of an open outage, or else the host's last row.

@@ -125,3 +125,15 @@ def test_later_put_wins_without_an_order(spark, tmp_path):
     for i, n in enumerate((5, 7, 6)):
         store.put(spark.createDataFrame([(AS_OF, "a", n), (AS_OF, f"b{i}", n)], schema), "w", i)
     assert sorted((r["k"], r["n"]) for r in store.current().collect()) == [("a", 6), ("b0", 5), ("b1", 7), ("b2", 6)]
+
+
+def test_shards_follow_the_hosts(spark):
+    from linkwatch.operators import watchlist as W
+
+    few = make_pm(spark, flags_to_rows("FT"))
+    many = make_pm(spark, [r for h in range(2600) for r in flags_to_rows("F", host=f"h{h}", first_id=h)])
+    for pm, least in ((few, 1), (many, 3)):
+        maps = L.latest_map(pm).collect()
+        assert least <= len(maps) <= least + 1 and sum(len(r["latest"]) for r in maps) == pm.select(S.HOST).distinct().count()
+        assert least <= W.probe_cycles(pm).where(F.col("cycle_start") == F.lit(pm.first()[S.TS])).count() <= least + 1
+    assert L.latest_map(few.where("false")).collect() == []
