@@ -29,6 +29,8 @@ from linkwatch.llm.sampling import fit_logistic, labelled_sample, remainder, sig
 
 #: Training documents of each label.
 PER_CLASS = 2500
+#: Windows of ordinary training documents, chosen at random, that train the ordinary dictionary.
+PLAIN_WINDOWS = 60_000
 #: Words of a window, and bytes of the two dictionaries.
 WINDOW = 3
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
@@ -136,7 +138,7 @@ def fit_toxicity(sample: pd.DataFrame) -> ToxicModel:
     rng.shuffle(plain)
     own = peculiar_words(learn[1], learn[0])
     rng.shuffle(own)
-    model = ToxicModel(trained(ORDINARY_BYTES, plain[:60_000]), trained(TOXIC_BYTES, own) if own else b"", ())
+    model = ToxicModel(trained(ORDINARY_BYTES, plain[:PLAIN_WINDOWS]), trained(TOXIC_BYTES, own) if own else b"", ())
     x = np.array([model.savings(t) for v in (0, 1) for t in test[v]])
     y = np.repeat([0, 1], [len(test[0]), len(test[1])])
     return ToxicModel(model.ordinary, model.toxic, tuple(map(float, fit_logistic(x, y, l2=0.5))))
