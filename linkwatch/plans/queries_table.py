@@ -12,7 +12,7 @@ from linkwatch.operators import downtime as D
 from linkwatch.operators import latest as L
 from linkwatch.operators import rollup as R
 from linkwatch.plans.catalog import AS_OF_SQL, register, with_pm
-from linkwatch.plans.queries_core import _DNS_IN, _LATEST_SQL, _ROUTED_SQL, PM_COLS, _MESSAGE, _laid_out, _r6, downtime_sql
+from linkwatch.plans.queries_core import _DNS_IN, _LATEST_SQL, _ROUTED_SQL, PM_COLS, _MESSAGE, _laid_out, downtime_sql
 from linkwatch.plans.queries_stream import _metric_stream, _ntz, _run_dir
 from linkwatch.sources.keyed import KeyedStore, latest_store, put_latest
 from linkwatch.sources.metrics import load_events, load_pm
@@ -128,9 +128,10 @@ def q_recent_metrics_next(spark, sf_dir):
     return _plain(L.next_page(table.scan(), tuple(last), 50) if last else table.scan())
 
 
+#: Sums of doubles differ in their last bits by the order of their terms; a shift before rounding keeps halves on one side.
 _TREND = """
-SELECT {bucket} AS hour_bucket, target_host, round(AVG(response_time_ms), 6) AS avg_response_time, COUNT(*) AS packet_count,
-       round(CAST(COUNT(*) FILTER (WHERE packet_loss = TRUE) AS DOUBLE) / COUNT(*) * 100, 6) AS packet_loss_rate,
+SELECT {bucket} AS hour_bucket, target_host, round(AVG(response_time_ms) + 1e-9, 6) AS avg_response_time, COUNT(*) AS packet_count,
+       round(CAST(COUNT(*) FILTER (WHERE packet_loss = TRUE) AS DOUBLE) / COUNT(*) * 100 + 1e-9, 6) AS packet_loss_rate,
        MIN(response_time_ms) AS min_response_time, MAX(response_time_ms) AS max_response_time
 FROM pm GROUP BY 1, 2"""
 
@@ -152,16 +153,20 @@ def _rolled(spark, sf_dir) -> R.Rollup:
     return rollup
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("avg_response_time", "packet_loss_rate")})
+
+
 @register("rollup_daily", with_pm(_TREND.format(bucket="date_trunc('day', \"timestamp\")::TIMESTAMP")))
 def q_rollup_daily(spark, sf_dir):
     """Daily trend from the kept hourly partials."""
-    return _r6(R.trend(_rolled(spark, sf_dir).scan(), "day"), "avg_response_time", "packet_loss_rate")
+    return _rounded(R.trend(_rolled(spark, sf_dir).scan(), "day"))
 
 
 @register("rollup_weekly", with_pm(_TREND.format(bucket="date_trunc('week', \"timestamp\")::TIMESTAMP")))
 def q_rollup_weekly(spark, sf_dir):
     """Weekly trend from the kept hourly partials."""
-    return _r6(R.trend(_rolled(spark, sf_dir).scan(), "week"), "avg_response_time", "packet_loss_rate")
+    return _rounded(R.trend(_rolled(spark, sf_dir).scan(), "week"))
 
 
 @register("stream_latest_store", _LATEST_SQL)
