@@ -27,6 +27,8 @@ MESSAGE_SCHEMA = T.StructType(
         T.StructField(SUBSCRIBE, T.BooleanType(), True),
     ]
 )
+#: Rows of a host that share a slot of its time, about; parts of a host's time with equal numbers of rows, at most.
+SHARED, PARTS = 256, 1024
 DELIVERED_SCHEMA = T.StructType([T.StructField(CLIENT, T.StringType(), True), *S.METRICS_SCHEMA.fields])
 
 
@@ -41,14 +43,66 @@ def subscription_spans(messages: DataFrame) -> DataFrame:
     return spans.select(CLIENT, S.HOST, F.col(S.TS).alias("begin"), "end").where(F.col("end").isNull() | (F.col("end") > F.col("begin")))
 
 
+def _micros(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
+def host_slots(rows: DataFrame) -> DataFrame:
+    """(_host, low, high, edges, per): how the time of each host of ``rows`` is cut into slots of about ``SHARED`` rows.
+
+    ``edges`` begin and end parts of about as many rows each (microseconds, at
+    most ``PARTS`` parts); a part has ``per`` slots of equal length.
+    """
+    n, cuts = F.col("_n"), F.col("_cuts")
+    shares = [k / PARTS for k in range(1, PARTS)]
+    known = rows.where(F.col(S.HOST).isNotNull() & F.col(S.TS).isNotNull()).select(F.col(S.HOST).alias("_host"), _micros(S.TS).alias("_at"))
+    found = known.groupBy("_host").agg(F.count("*").alias("_n"), F.min("_at").alias("low"), F.max("_at").alias("high"), F.percentile_approx("_at", shares, 10_000).alias("_cuts"))
+    parts = F.least(F.lit(PARTS), F.ceil(n / SHARED)).cast("int")
+    inner = F.transform(F.sequence(F.lit(1), parts - 1), lambda k: F.get(cuts, F.floor(k * PARTS / parts).cast("int") - 1))
+    inner = F.when(parts > 1, inner).otherwise(F.array().cast("array<bigint>"))
+    edges = F.array_distinct(F.concat(F.array("low"), inner, F.array(F.col("high") + 1)))
+    return found.select("_host", "low", "high", edges.alias("edges"), F.ceil(n / (SHARED * PARTS)).alias("per"))
+
+
+def _slotted(df: DataFrame, at: Column, name: str) -> DataFrame:
+    """``df``, with ``edges`` and ``per`` of its hosts, with the slot of a time between ``low`` and ``high``. Later times are in no earlier slot."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((PARTS + 1).bit_length()))])
+    # The number of edges that are not above the time, by halving.
+    upto = F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get("edges", i + step - 1) <= F.col("_at"), i + step).otherwise(i))
+    df = df.withColumn("_at", at).withColumn("_part", upto - 1)
+    begin, end = F.get("edges", F.col("_part")), F.get("edges", F.col("_part") + 1)
+    slot = F.floor((F.col("_at") - begin) / (end - begin) * F.col("per"))
+    return df.withColumn(name, F.col("_part") * F.col("per") + F.least(slot, F.col("per") - 1)).drop("_at", "_part")
+
+
+def dealt(rows: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``_slot``, and the spans of ``messages`` (client, _host, begin, end, _slot) once for each slot with rows that they reach into."""
+    hosts = host_slots(rows)
+    # A host with few rows has one slot. Others have an entry for each SHARED rows at most.
+    many = hosts.where(F.size("edges") > 2).select(F.col("_host").alias(S.HOST), "edges", "per")
+    rows = _slotted(rows.join(F.broadcast(many), S.HOST, "left"), _micros(S.TS), "_slot").drop("edges", "per")
+    rows = rows.withColumn("_slot", F.coalesce("_slot", F.lit(0).cast("long")))
+    spans = subscription_spans(messages).withColumnRenamed(S.HOST, "_host").join(hosts, "_host")
+    # ``end`` itself is out, and null while a subscription holds.
+    spans = spans.withColumns({"_first": _micros("begin"), "_last": F.coalesce(_micros("end") - 1, F.col("high"))})
+    spans = spans.where((F.col("_first") <= F.col("high")) & (F.col("_last") >= F.col("low")))
+    spans = _slotted(spans, F.greatest("_first", "low"), "_from")
+    spans = _slotted(spans, F.least("_last", "high"), "_to")
+    return rows, spans.select(CLIENT, "_host", "begin", "end", F.explode(F.sequence("_from", "_to")).alias("_slot"))
+
+
 def subscribed_rows(rows: DataFrame, messages: DataFrame) -> DataFrame:
     """(client, row) of every row and each client subscribed to its host at its time.
 
-    An equal join on the host with a range on the time; AQE splits hosts with many rows.
+    An equal join on the host and a slot of its time, with a range on the time: a
+    span meets the rows of its first and last slots, and all rows of the others
+    are delivered.
     """
-    spans = subscription_spans(messages).withColumnRenamed(S.HOST, "_host")
-    at = (F.col(S.HOST) == F.col("_host")) & (F.col(S.TS) >= F.col("begin")) & (F.col("end").isNull() | (F.col(S.TS) < F.col("end")))
-    return rows.join(spans, at).select(CLIENT, *rows.columns)
+    columns = rows.columns
+    rows, spans = dealt(rows, messages)
+    spans = spans.withColumnRenamed("_slot", "_in")
+    at = (F.col(S.HOST) == F.col("_host")) & (F.col("_slot") == F.col("_in")) & (F.col(S.TS) >= F.col("begin")) & (F.col("end").isNull() | (F.col(S.TS) < F.col("end")))
+    return rows.join(spans, at).select(CLIENT, *columns)
 
 
 class SubscriptionFeed:

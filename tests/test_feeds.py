@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import random
 from datetime import timedelta
@@ -139,3 +140,31 @@ def test_spans_of_messages(spark):
     assert [tuple(r) for r in spans] == [("a", "h", at(0), at(5)), ("a", "h", at(5), at(9)), ("b", "h", at(3), None)]
     empty = spark.createDataFrame([], U.MESSAGE_SCHEMA)
     assert U.subscribed_rows(make_pm(spark, flags_to_rows("FT")), empty).collect() == []
+
+
+def test_spans_meet_the_rows_of_their_slots_only(spark):
+    rng = random.Random(5)
+    at = lambda s: T0 + timedelta(seconds=s)
+    # A burst in the middle of a quiet time, rows of one time, and a host with few rows.
+    times = [rng.uniform(0, 100_000) for _ in range(3000)] + [rng.uniform(50_000, 50_010) for _ in range(3000)] + [70_000.0] * 500
+    rows = [(i, at(t), "h1", 1.0, False, None, at(t)) for i, t in enumerate(times)]
+    rows += [(10_000 + i, at(1000 * i), "h2", 1.0, False, None, at(0)) for i in range(20)]
+    told = [(f"c{rng.randint(0, 3)}", rng.choice(["h1", "h1", "h1", "h2", "h3"]), at(rng.choice(times) + rng.choice([0, 0.5])), i, rng.random() < 0.6) for i in range(3000)]
+    told += [("early", "h1", at(-500), 9001, True), ("early", "h1", at(-400), 9002, False), ("always", "h1", at(-10), 9003, True)]
+    pm, messages = make_pm(spark, rows), spark.createDataFrame(told, U.MESSAGE_SCHEMA)
+    newest: dict = {}
+    for c, h, t, seq, on in sorted(told, key=lambda m: (m[2], m[3])):
+        newest.setdefault((c, h), []).append((t, on))
+    want = []
+    for (c, h), said in newest.items():
+        for r in rows:
+            k = bisect.bisect_right(said, r[1], key=lambda m: m[0])
+            if r[2] == h and k and said[k - 1][1]:
+                want.append((c, r[0]))
+    assert sorted(tuple(r) for r in U.subscribed_rows(pm, messages).select(U.CLIENT, S.ID).collect()) == sorted(want)
+    dealt, spans = U.dealt(pm, messages)
+    met = dealt.groupBy(S.HOST, "_slot").count().join(spans.groupBy(F.col("_host").alias(S.HOST), "_slot").agg(F.count("*").alias("m")), [S.HOST, "_slot"])
+    tried = met.agg(F.sum(F.col("count") * F.col("m"))).first()[0]
+    # Rows of one time share a slot; a span meets two slots' rows beyond those delivered.
+    assert tried <= len(want) + len(told) * (2 * 2 * U.SHARED + 500)
+    assert dealt.where(F.col(S.TS) != F.lit(at(70_000))).groupBy(S.HOST, "_slot").count().agg(F.max("count")).first()[0] <= 2 * U.SHARED
