@@ -188,3 +188,16 @@ def test_empty_rows(spark, tmp_path):
     assert t.scan().collect() == [] and t.compact() == 0 and t.retain(AS_OF) == 0 and t.vacuum() == 0
     t.append(load_pm(spark, SF_SMALL).where("false"), "a", 0)
     assert t.scan().collect() == [] and t.state().done == {"a": 0}
+
+
+def test_compacted_files_have_few_rows_however_they_compress(spark, tmp_path, monkeypatch):
+    from linkwatch.sources import versions as V
+
+    monkeypatch.setattr(V, "TARGET_ROWS", 1000)
+    t = MetricTable(spark, str(tmp_path / "t"))
+    rows = spark.range(8000).select(F.col("id").alias(S.ID), F.lit(AS_OF).cast("timestamp_ntz").alias(S.TS), F.lit("h").alias(S.HOST), F.col("id").cast("double").alias(S.RT), F.lit(False).alias(S.LOSS))
+    for i in range(2):
+        t.append(rows.where(F.col(S.ID) % 2 == i))
+    assert t.compact() == 2 and t.scan().count() == 8000
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{tmp_path}/t/data/w=compact-*/**/*.parquet", recursive=True)]
+    assert sum(sizes) == 8000 and max(sizes) <= 2000
