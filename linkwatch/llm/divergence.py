@@ -14,14 +14,14 @@ what its terms add beyond that, and the rest is a product.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,8 +43,8 @@ TOGETHER = 2_000_000
 #: A task gives its counts out beyond so many rows, and forgets its terms beyond so many; rows of a batch.
 ROWS, NOTED, BATCH = 1_500_000, 500_000, 100_000
 
-#: A-Z are lower-cased before; all bytes of other characters are above 7F.
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Terms are what a space is left between: A-Z become a-z, all bytes of other characters are above 7F, the rest is no term's.
+_LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
 _TALLY = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("source", pa.string()), ("digest", pa.int64()), ("count", pa.int64()), ("docs", pa.int64()), ("term", pa.string())])
 _TALLY_DDL = "kind int, lang string, source string, digest long, count long, docs long, term string"
 _COUNTS, _TEXTS = 0, 1
@@ -56,6 +56,11 @@ def digest(term: bytes, bits: int = BITS) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def terms_of(text: bytes) -> list[bytes]:
+    """The lower-cased terms of a text in UTF-8, in order."""
+    return text.translate(_LETTERS).split()
+
+
 class _Tally:
     """Occurrences and documents of each (group, term) of a task, given out when there are many."""
 
@@ -74,7 +79,7 @@ class _Tally:
     def add(self, texts: list[bytes], groups: list[tuple[str, str]]) -> None:
         index, flat, ends = self.index, [], []
         for text in texts:
-            flat += [index.setdefault(x, len(index)) for x in _TERM.findall(text.lower())]
+            flat += [index.setdefault(x, len(index)) for x in terms_of(text)]
             ends.append(len(flat))
         group = np.array([self.names.setdefault(g, len(self.names)) for g in groups], np.int64)
         doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
@@ -89,9 +94,11 @@ class _Tally:
             self._sum(keys, n, in_docs)
 
     def _sum(self, keys: np.ndarray, times: np.ndarray, in_docs: np.ndarray) -> None:
-        keys, at = np.unique(keys, return_inverse=True)
-        # Sums of 64-bit floats are exact below 2 ** 53.
-        self.parts.append((keys, *(np.bincount(at, weights=x, minlength=len(keys)).astype(np.int64) for x in (times, in_docs))))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        keys = keys[first]
+        self.parts.append((keys, *(np.add.reduceat(x[order], first) if len(first) else x for x in (times, in_docs))))
         self.rows += len(keys)
 
     def full(self) -> bool:
@@ -157,13 +164,26 @@ def tallies(docs: DataFrame, bits: int, with_text: bool) -> DataFrame:
     return docs.mapInArrow(count, _TALLY_DDL)
 
 
+@contextmanager
+def _unsorted(spark: SparkSession) -> Iterator[None]:
+    """Within it a task writes the few folders of its rows side by side, and doesn't sort the rows by folder."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "4")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def term_counts(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, source, digest, twin, count, docs) of every term of a group, and (digest, twin, term) of every term.
 
     ``twin`` tells terms of one digest apart; it is 0 for a digest with one term.
     """
     path = scratch_path(docs.sparkSession, f"divergence-{uuid.uuid4().hex}")
-    tallies(docs, bits, False).write.partitionBy("kind").parquet(path)
+    with _unsorted(docs.sparkSession):
+        tallies(docs, bits, False).write.partitionBy("kind").parquet(path)
     both = docs.sparkSession.read.schema(_TALLY_DDL).parquet(path)
     group = ["lang", "source", "digest"]
     sums = [F.sum("count").alias("count"), F.sum("docs").alias("docs")]

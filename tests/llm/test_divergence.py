@@ -89,3 +89,18 @@ def test_awkward_and_empty(spark):
     got = rows_of(divergence.audit_sources(docs))
     assert got == plain([(r["text"], r["lang"], r["source"]) for r in docs.collect()])
     assert divergence.audit_sources(empty(spark)).collect() == []
+
+
+def test_terms_of_bytes_are_those_of_the_pattern():
+    text = "".join(map(chr, range(0x250))) + " Aé\u00a0B\u2003c\u2028D1e_F\x85g \U0001f600É\x1cH\x00i"
+    for t in (text, text * 3, "", "\x1c\x85", "z"):
+        want = [x.translate(LOWER) for x in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", t)]
+        assert [x.decode() for x in divergence.terms_of(t.encode())] == want
+
+
+def test_folders_of_the_counts_need_no_sort(spark):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    with divergence._unsorted(spark):
+        assert int(spark.conf.get(key)) >= 2
+    assert spark.conf.get(key) == before
